@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import clean, col, not_blank, strip
+from textquarry.functions.text import clean, col, let, not_blank, strip
 
 PAIRS_TYPE = "array<struct<question:string,answer:string>>"
 
@@ -28,17 +28,23 @@ _SPACE = r"[\s\x1c-\x1f]*"
 
 def strict_json(slice_: Column) -> Column:
     """Variant of a text that is exactly one JSON value, else null."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), slice_, F.lit(f',"{_END}"]')))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    whole = (F.size(items) == 2) & (F.try_variant_get(wrapped, "$[1]", "string") == _END)
-    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def unwrap(wrapped: Column) -> Column:
+        items = F.try_variant_get(wrapped, "$", "array<variant>")
+        whole = (F.size(items) == 2) & (F.try_variant_get(wrapped, "$[1]", "string") == _END)
+        return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), slice_, F.lit(f',"{_END}"]'))), unwrap)
 
 
 def _text_field(item: Column, name: str) -> Column:
     """The field when it is a JSON string, else null."""
-    field = F.try_variant_get(item, f"$.{name}", "variant")
-    is_text = F.schema_of_variant(field) == "STRING"
-    return F.when(is_text, F.try_variant_get(item, f"$.{name}", "string"))
+
+    def as_text(field: Column) -> Column:
+        is_text = F.schema_of_variant(field) == "STRING"
+        return F.when(is_text, F.try_variant_get(field, "$", "string"))
+
+    return let(F.try_variant_get(item, f"$.{name}", "variant"), as_text)
 
 
 def _pair(item: Column) -> Column:
@@ -60,9 +66,7 @@ def without_fences(response: Column | str) -> Column:
 def pairs_from_array(text: Column) -> Column:
     """First ``[`` to last ``]`` read as one JSON array; invalid elements are dropped."""
     slice_ = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    items = F.try_variant_get(
-        F.when(slice_ != "", strict_json(slice_)), "$", "array<variant>"
-    )
+    items = F.try_variant_get(strict_json(slice_), "$", "array<variant>")
     return F.filter(F.transform(items, _pair), _valid)
 
 
@@ -89,13 +93,17 @@ def pairs_from_markers(text: Column) -> Column:
         F.lit(rf"(?sU){ANSWER_MARK}{_SPACE}(.+?)(?={QUESTION_MARK}|\z)"),
         F.lit(1),
     )
-    n = F.least(F.size(questions), F.size(answers))
-    zipped = F.zip_with(
-        F.slice(questions, F.lit(1), n),
-        F.slice(answers, F.lit(1), n),
-        lambda q, a: F.struct(q.alias("question"), a.alias("answer")),
-    )
-    return F.filter(zipped, _valid)
+
+    def zip_shorter(found: Column) -> Column:
+        n = F.least(F.size(found["q"]), F.size(found["a"]))
+        zipped = F.zip_with(
+            F.slice(found["q"], F.lit(1), n),
+            F.slice(found["a"], F.lit(1), n),
+            lambda q, a: F.struct(q.alias("question"), a.alias("answer")),
+        )
+        return F.filter(zipped, _valid)
+
+    return let(F.struct(questions.alias("q"), answers.alias("a")), zip_shorter)
 
 
 def _stripped(pairs: Column) -> Column:
@@ -107,37 +115,42 @@ def _stripped(pairs: Column) -> Column:
     )
 
 
-def with_pairs(df: DataFrame, response: str = "response", keep_steps: bool = False) -> DataFrame:
-    """Add ``pairs`` and ``strategy`` (1 array, 2 objects, 3 markers, 0 none).
+def parse_pairs(response: Column | str) -> Column:
+    """``struct<strategy, pairs>`` of the first strategy that finds a valid pair.
 
-    Each strategy is guarded by the ones before it, so a clean response is parsed once.
+    Strategies are 1 array, 2 objects, 3 markers, 0 none. ``coalesce`` stops at the first that
+    succeeds, so a clean response is parsed once.
     """
+    finders = (pairs_from_array, pairs_from_objects, pairs_from_markers)
 
-    def found(pairs: str) -> Column:
-        return F.size(F.coalesce(F.col(pairs), F.array().cast(PAIRS_TYPE))) > 0
+    def result(strategy: int, pairs: Column) -> Column:
+        return F.struct(F.lit(strategy).alias("strategy"), _stripped(pairs).alias("pairs"))
 
-    out = (
-        df.withColumn("_text", without_fences(F.coalesce(F.col(response), F.lit(""))))
-        .withColumn("_p1", pairs_from_array(F.col("_text")))
-        .withColumn("_p2", F.when(~found("_p1"), pairs_from_objects(F.col("_text"))))
-        .withColumn(
-            "_p3", F.when(~found("_p1") & ~found("_p2"), pairs_from_markers(F.col("_text")))
-        )
-        .withColumn(
-            "strategy",
-            F.when(found("_p1"), 1).when(found("_p2"), 2).when(found("_p3"), 3).otherwise(0),
-        )
-        .withColumn(
-            "pairs",
-            _stripped(
-                F.when(F.col("strategy") == 1, F.col("_p1"))
-                .when(F.col("strategy") == 2, F.col("_p2"))
-                .when(F.col("strategy") == 3, F.col("_p3"))
-                .otherwise(F.array().cast(PAIRS_TYPE))
-            ),
-        )
+    def attempt(strategy: int, text: Column) -> Column:
+        pairs = finders[strategy - 1](text)
+        return let(pairs, lambda found: F.when(F.size(found) > 0, result(strategy, found)))
+
+    none = result(0, F.array().cast(PAIRS_TYPE))
+    return let(
+        without_fences(F.coalesce(col(response), F.lit(""))),
+        lambda text: F.coalesce(*[attempt(n, text) for n in (1, 2, 3)], none),
     )
-    return out if keep_steps else out.drop("_text", "_p1", "_p2", "_p3")
+
+
+def with_pairs(df: DataFrame, response: str = "response") -> DataFrame:
+    """Add ``strategy`` and ``pairs``."""
+    parsed = df.withColumn("_parsed", parse_pairs(response))
+    return parsed.select(*df.columns, "_parsed.*")
+
+
+def exploded_pairs(parsed: DataFrame, *columns: Column | str) -> DataFrame:
+    """One row per pair: ``columns``, ``pair_no`` from 0, ``pair``.
+
+    The outer form keeps the optimizer from adding a filter on ``pairs`` that would parse every
+    response a second time.
+    """
+    rows = parsed.select(*columns, F.posexplode_outer("pairs").alias("pair_no", "pair"))
+    return rows.where(F.col("pair_no").isNotNull())
 
 
 def salvage_error(body: Column | str, message: Column | str | None = None) -> Column:
@@ -146,14 +159,19 @@ def salvage_error(body: Column | str, message: Column | str | None = None) -> Co
     ``body`` is the server's JSON error body; without one the error's own text is used.
     """
     body = col(body)
-    parsed = F.try_parse_json(body)
-    kind = F.schema_of_variant(parsed)
-    is_object = kind.startswith("OBJECT<") & (kind != "OBJECT<>")
     own_text = body if message is None else col(message)
-    text = F.when(is_object, _text_field(parsed, "error")).otherwise(own_text)
-    at = F.instr(text, SALVAGE_MARKER)
-    rest = F.when(at > 0, F.substr(text, at + F.lit(len(SALVAGE_MARKER)))).otherwise(text)
-    return F.nullif(rest, F.lit(""))
+
+    def message_of(parsed: Column) -> Column:
+        kind = F.schema_of_variant(parsed)
+        is_object = kind.startswith("OBJECT<") & (kind != "OBJECT<>")
+        return F.when(is_object, _text_field(parsed, "error")).otherwise(own_text)
+
+    def after_marker(text: Column) -> Column:
+        at = F.instr(text, SALVAGE_MARKER)
+        rest = F.substr(text, at + F.lit(len(SALVAGE_MARKER)))
+        return F.nullif(F.when(at > 0, rest).otherwise(text), F.lit(""))
+
+    return let(let(F.try_parse_json(body), message_of), after_marker)
 
 
 def extract_object(text: Column | str) -> Column:
@@ -162,7 +180,5 @@ def extract_object(text: Column | str) -> Column:
     body = F.regexp_replace(body, r"^```[a-z]*\n?", "")
     body = F.regexp_replace(body, r"\n?```\z", "")
     slice_ = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    found = F.try_variant_get(
-        F.when(slice_ != "", strict_json(slice_)), "$", "map<string,variant>"
-    )
+    found = F.try_variant_get(strict_json(slice_), "$", "map<string,variant>")
     return F.coalesce(found, F.create_map().cast("map<string,variant>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Remove Unicode whitespace at both ends; null stays null."""
     return F.btrim(col(text), F.lit(WHITESPACE))
@@ -37,10 +44,8 @@ def not_blank(text: Column | str) -> Column:
 
 def words(text: Column | str, limit: int = -1) -> Column:
     """Words of ``text``; with ``limit``, the last item holds the unsplit rest."""
-    body = clean(text)
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, SPACE_RUN, limit)
-    )
+    # Clean text has no empty item but the one that empty text gives.
+    return F.array_remove(F.split(clean(text), SPACE_RUN, limit), "")
 
 
 def word_count(text: Column | str) -> Column:
@@ -54,10 +59,13 @@ def has_words(text: Column | str, n: int) -> Column:
 
 def truncate_words(text: Column | str, n: int) -> Column:
     """First ``n`` words joined by one space plus an ellipsis; shorter text is unchanged."""
-    head = words(text, n + 1)
-    return F.when(F.size(head) <= n, col(text)).otherwise(
-        F.concat(F.array_join(F.slice(head, 1, n), " "), F.lit(ELLIPSIS))
-    )
+    text = col(text)
+
+    def cut(head: Column) -> Column:
+        first = F.array_join(F.slice(head, 1, n), " ")
+        return F.when(F.size(head) <= n, text).otherwise(F.concat(first, F.lit(ELLIPSIS)))
+
+    return let(words(text, n + 1), cut)
 
 
 def cap(text: Column | str, n: int, mark: str = ELLIPSIS) -> Column:
@@ -107,32 +115,39 @@ def float_text(value: Column | str) -> Column:
 
     Spark writes an exponent outside 1e-3..1e7; the wanted text does so outside 1e-4..1e16.
     """
-    value = col(value).cast("double")
-    raw = F.abs(value).cast("string")
-    sign = F.when(raw == value.cast("string"), F.lit("")).otherwise(F.lit("-"))
-    mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    exponent = F.split_part(raw, F.lit("E"), F.lit(2)).try_cast("int")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    # Beyond 1e7 the digits are padded with zeros, or the point moves right inside them.
-    large = F.when(
-        F.length(digits) <= exponent + 1,
-        F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0")),
-    ).otherwise(
-        F.concat(
-            F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + F.lit(2))
+
+    def parts(raw: Column) -> Column:
+        return F.struct(
+            raw.alias("raw"),
+            F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "").alias("mantissa"),
+            F.split_part(raw, F.lit("E"), F.lit(2)).try_cast("int").alias("exponent"),
         )
-    )
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exponent).cast("string"),
-    )
-    return F.concat(
-        sign,
-        F.when(exponent.isNull(), raw)
-        .when((exponent < -4) | (exponent >= 16), scientific)
-        .when(exponent < 0, small)
-        .otherwise(large),
-    )
+
+    def assemble(p: Column) -> Column:
+        exponent, mantissa = p["exponent"], p["mantissa"]
+        digits = F.replace(mantissa, F.lit("."), F.lit(""))
+        zeros = F.repeat(F.lit("0"), F.abs(exponent) - 1)
+        power = F.abs(exponent).cast("string")
+        return (
+            F.when(exponent.isNull(), p["raw"])
+            .when(exponent < -9, F.concat(mantissa, F.lit("e-"), power))
+            .when(exponent < -4, F.concat(mantissa, F.lit("e-0"), power))
+            .when(exponent < 0, F.concat(F.lit("0."), zeros, digits))
+            .when(exponent >= 16, F.concat(mantissa, F.lit("e+"), power))
+            # The point moves right, behind zeros or between the digits.
+            .when(
+                F.length(digits) <= exponent + 1,
+                F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0")),
+            )
+            .otherwise(
+                F.concat(
+                    F.left(digits, exponent + 1),
+                    F.lit("."),
+                    F.substr(digits, exponent + F.lit(2)),
+                )
+            )
+        )
+
+    value = col(value).cast("double")
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, let(parts(F.abs(value).cast("string")), assemble))

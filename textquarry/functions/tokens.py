@@ -16,10 +16,7 @@ EOS = "</s>"
 
 def encode(text: Column | str, limit: int = -1) -> Column:
     """Tokens whose concatenation is ``text``; with ``limit``, the last holds the unsplit rest."""
-    text = F.coalesce(col(text), F.lit(""))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(text, TOKEN_BOUNDARY, limit)
-    )
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), TOKEN_BOUNDARY, limit), "")
 
 
 def decode(tokens: Column) -> Column:
@@ -31,8 +28,12 @@ def encode_document(text: Column | str, eos: str = EOS) -> Column:
     return F.concat(encode(text), F.array(F.lit(eos)))
 
 
+def encode_head(text: Column | str, n: int | Column, eos: str = EOS) -> Column:
+    """First ``n`` tokens of the closed text, then perhaps more; long text is split no further."""
+    limit = n + 1 if isinstance(n, int) else n + F.lit(1)
+    return F.concat(encode(text, limit), F.array(F.lit(eos)))
+
+
 def truncate(text: Column | str, n: int | Column, eos: str = EOS) -> Column:
     """Encode with the end-of-text token, keep ``n`` tokens, decode. Long text loses the token."""
-    limit = n + 1 if isinstance(n, int) else n + F.lit(1)
-    head = F.concat(encode(text, limit), F.array(F.lit(eos)))
-    return decode(F.slice(head, 1, n))
+    return decode(F.slice(encode_head(text, n, eos), 1, n))

@@ -38,36 +38,32 @@ def prefix_sum(
     """
     keys = list(keys)
     value = F.lit(value) if isinstance(value, int) else value
-    rows = df.withColumn("_block", _block_of(F.col(order), block)).withColumn(
-        "_value", value.cast("bigint")
-    )
+    in_block = _block_of(F.col(order), block).alias("_block")
+    rows = df.select("*", in_block, value.cast("bigint").alias("_value"))
 
-    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    blocks = blocks.withColumn("_super", _block_of(F.col("_block"), super_block))
+    blocks = rows.groupBy(*keys, "_block").agg(
+        F.sum("_value").alias("_total"),
+        F.any_value(_block_of(F.col("_block"), super_block)).alias("_super"),
+    )
     supers = blocks.groupBy(*keys, "_super").agg(F.sum("_total").alias("_total"))
 
-    before_super = W.partitionBy(*keys).orderBy("_super").rowsBetween(W.unboundedPreceding, -1)
+    def before(*within: str, order_by: str, value: str) -> Column:
+        frame = W.partitionBy(*within).orderBy(order_by)
+        frame = frame.rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(frame), F.lit(0))
+
     supers = supers.select(
-        *keys, "_super", F.coalesce(F.sum("_total").over(before_super), F.lit(0)).alias("_start")
-    )
-    before_block = (
-        W.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+        *keys, "_super", before(*keys, order_by="_super", value="_total").alias("_start")
     )
+    before_block = before(*keys, "_super", order_by="_block", value="_total")
     starts = blocks.join(supers, [*keys, "_super"]).select(
-        *keys,
-        "_block",
-        (
-            F.col("_start") + F.coalesce(F.sum("_total").over(before_block), F.lit(0))
-        ).alias("_start"),
+        *keys, "_block", (F.col("_start") + before_block).alias("_start")
     )
-
-    before_row = W.partitionBy(*keys, "_block").orderBy(order)
-    before_row = before_row.rowsBetween(W.unboundedPreceding, -1)
-    out_rows = rows.join(starts, [*keys, "_block"]).withColumn(
-        out, F.col("_start") + F.coalesce(F.sum("_value").over(before_row), F.lit(0))
+    before_row = before(*keys, "_block", order_by=order, value="_value")
+    names = [c for c in df.columns if c != out]
+    return rows.join(starts, [*keys, "_block"]).select(
+        *names, (F.col("_start") + before_row).alias(out), *(["_block"] if keep_block else [])
     )
-    names = [c for c in df.columns if c != out] + [out]
-    return out_rows.select(*names, *(["_block"] if keep_block else []))
 
 
 def number_rows(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import tokens
+from textquarry.functions.text import let
 from textquarry.operators.ordered import prefix_sum
 from textquarry.session import stage
 
@@ -37,25 +38,22 @@ def pack_sequences(
     # The text crosses the shuffle, not its tokens: it is far smaller and is encoded again there.
     sized = body.withColumn("n", F.size(encode(F.col("body"))))
     placed = prefix_sum(sized, order, F.col("n"), "start", block=docs_per_block, keep_block=True)
-    placed = placed.where("n > 0").withColumn("tokens", encode(F.col("body")))
-
     start, size = F.col("start"), F.col("n")
-    first, last = F.floor(start / length), F.floor((start + size - 1) / length)
 
-    def cut(chunk: Column) -> Column:
+    def cut(tokens_: Column, chunk: Column) -> Column:
         at = F.greatest(chunk * length, start)
         end = F.least((chunk + 1) * length, start + size)
-        return F.struct(
-            chunk.alias("chunk_id"),
-            at.alias("at"),
-            F.slice(F.col("tokens"), (at - start + 1).cast("int"), (end - at).cast("int")).alias(
-                "tokens"
-            ),
-        )
-
-    slices = placed.select(
-        "_block", F.explode(F.transform(F.sequence(first, last), cut)).alias("s")
-    ).select("_block", "s.*")
+        piece = F.slice(tokens_, (at - start + 1).cast("int"), (end - at).cast("int"))
+        return F.struct(chunk.alias("chunk_id"), at.alias("at"), piece.alias("tokens"))
+
+    touched = F.sequence(F.floor(start / length), F.floor((start + size - 1) / length))
+    # One encoding per document, whatever number of chunks it touches.
+    cuts = let(
+        encode(F.col("body")),
+        lambda tokens_: F.transform(touched, lambda chunk: cut(tokens_, chunk)),
+    )
+    slices = placed.where("n > 0").select("_block", F.explode_outer(cuts).alias("s"))
+    slices = slices.select("_block", "s.*")
     in_block = _join_slices(slices, "_block", "chunk_id")
     chunks = _join_slices(in_block.drop("_block"), "chunk_id").select(
         "chunk_id", F.size("tokens").alias("n_tokens"), "tokens"

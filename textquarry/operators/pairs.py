@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.parsing import salvage_error, with_pairs
+from textquarry.functions.parsing import exploded_pairs, salvage_error, with_pairs
 
 
 def responses(ledger: DataFrame) -> DataFrame:
@@ -26,22 +26,9 @@ def parsed_documents(docs: DataFrame, ledger: DataFrame, key: str = "doc_id") ->
 
 def enriched_pairs(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per pair with its document's metadata; ``source`` is the citation."""
-    rows = parsed.select(
-        key,
-        F.posexplode("pairs").alias("pair_no", "pair"),
-        F.col("citation").alias("source"),
-        "jurisdiction",
-        "type",
-    )
-    return rows.select(
-        key,
-        "pair_no",
-        F.col("pair.question").alias("question"),
-        F.col("pair.answer").alias("answer"),
-        "source",
-        "jurisdiction",
-        "type",
-    )
+    metadata = (F.col("citation").alias("source"), "jurisdiction", "type")
+    rows = exploded_pairs(parsed, key, *metadata)
+    return rows.select(key, "pair_no", "pair.*", "source", "jurisdiction", "type")
 
 
 def run_counters() -> list[Column]:

@@ -12,16 +12,14 @@ from textquarry.sources.tiers import BOUNDS
 
 Bounds = Mapping[str, tuple[float, float, bool]]
 
-_BOUND_TYPE = "struct<lo:double,hi:double,whole:boolean>"
 
-
-def bounds_map(bounds: Bounds = BOUNDS) -> Column:
-    """Literal ``map<key, struct<lo, hi, whole>>``; a handful of constants needs no join."""
-    entries = [
-        F.struct(F.lit(key), F.struct(F.lit(float(lo)), F.lit(float(hi)), F.lit(whole)))
+def bounds_table(bounds: Bounds = BOUNDS) -> Column:
+    """Literal array of ``struct<key, lo, hi, whole>``; a handful of constants needs no join."""
+    rows = [
+        f"struct('{key}' AS key, {float(lo)!r}D AS lo, {float(hi)!r}D AS hi, {whole} AS whole)"
         for key, (lo, hi, whole) in bounds.items()
     ]
-    return F.map_from_entries(F.array(*entries)).cast(f"map<string,{_BOUND_TYPE}>")
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def clamp(value: Column, lo: Column, hi: Column) -> Column:
@@ -40,48 +38,57 @@ def number_text(value: Column, whole: Column) -> Column:
     return F.when(whole, value.cast("bigint").cast("string")).otherwise(float_text(value))
 
 
-def _change(key: Column, current: Column, proposed: Column, bound: Column) -> Column:
-    """Struct of the stored value and the log line; the line is null when nothing changed."""
-    kind = F.schema_of_variant(proposed)
-    is_bool = kind == "BOOLEAN"
-    numeric = is_bool | kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    value = F.when(
-        is_bool, F.try_variant_get(proposed, "$", "boolean").cast("int").cast("double")
-    ).otherwise(F.try_variant_get(proposed, "$", "double"))
-    clamped = clamp(value, bound["lo"], bound["hi"])
-    # A value strictly inside its bounds keeps its own form in the log, one at a bound takes the
-    # bound's form.
-    inside = (value > bound["lo"]) & (value < bound["hi"])
-    shown = (
-        F.when(inside & is_bool, F.lit("True"))
-        .when(inside, number_text(clamped, kind == "BIGINT"))
-        .otherwise(number_text(clamped, bound["whole"]))
-    )
-    changed = numeric & bound.isNotNull() & (current.isNull() | (clamped != current))
-    whole = F.when(current.isNull(), kind.isin("BIGINT", "BOOLEAN")).otherwise(bound["whole"])
-    stored = F.when(whole, F.signum(clamped) * F.floor(F.abs(clamped))).otherwise(clamped)
-    before = F.coalesce(number_text(current, bound["whole"]), F.lit("None"))
-    line = F.concat(F.lit("  "), key, F.lit(": "), before, F.lit(" → "), shown)
-    return F.struct(
-        key.alias("key"),
-        current.alias("current"),
-        F.when(changed, stored.cast("double")).otherwise(current).alias("stored"),
-        F.when(changed, line).alias("change"),
-    )
+def patch_changes(config: Column, patch: Column, bounds: Bounds = BOUNDS) -> Column:
+    """``array<struct<key, current, stored, change>>``, one per tunable key of ``patch``.
 
+    ``change`` is the log line, null when nothing changed. Keys come in bounds order.
+    """
 
-def patch_changes(config: Column, patch: Column, bounds: Bounds = BOUNDS) -> Column:
-    """Array with one struct per tunable key of ``patch``, in bounds order."""
-    allowed = bounds_map(bounds)
-    names = F.filter(
-        F.array(*[F.lit(k) for k in bounds]), lambda k: F.map_contains_key(patch, k)
-    )
-    return F.transform(
-        names,
-        lambda k: _change(
-            k, F.try_element_at(config, k), F.try_element_at(patch, k), F.try_element_at(allowed, k)
-        ),
-    )
+    def look_up(bound: Column) -> Column:
+        proposed = F.try_element_at(patch, bound["key"])
+        return F.struct(
+            bound.alias("bound"),
+            F.try_element_at(config, bound["key"]).alias("current"),
+            F.schema_of_variant(proposed).alias("kind"),
+            F.coalesce(
+                F.try_variant_get(proposed, "$", "double"),
+                F.try_variant_get(proposed, "$", "boolean").cast("int").cast("double"),
+            ).alias("value"),
+        )
+
+    def compare(s: Column) -> Column:
+        numeric = s["kind"].isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
+        numeric = numeric | s["kind"].startswith("DECIMAL")
+        bound, value = s["bound"], s["value"]
+        clamped = clamp(value, bound["lo"], bound["hi"])
+        # A value inside its bounds keeps its own form in the log, one at a bound has the bound's.
+        inside = (value > bound["lo"]) & (value < bound["hi"])
+        return F.struct(
+            bound["key"].alias("key"),
+            bound["whole"].alias("whole"),
+            s["current"].alias("current"),
+            clamped.alias("clamped"),
+            (inside & (s["kind"] == "BOOLEAN")).alias("as_bool"),
+            F.when(inside, s["kind"] == "BIGINT").otherwise(bound["whole"]).alias("as_whole"),
+            (numeric & (s["current"].isNull() | (clamped != s["current"]))).alias("changed"),
+        )
+
+    def describe(s: Column) -> Column:
+        shown = F.when(s["as_bool"], "True").otherwise(number_text(s["clamped"], s["as_whole"]))
+        before = F.coalesce(number_text(s["current"], s["whole"]), F.lit("None"))
+        line = F.concat(F.lit("  "), s["key"], F.lit(": "), before, F.lit(" → "), shown)
+        whole = F.when(s["current"].isNull(), s["as_whole"]).otherwise(s["whole"])
+        # Whole settings are cut towards zero; none is negative.
+        stored = F.when(whole, F.floor(s["clamped"]).cast("double")).otherwise(s["clamped"])
+        return F.struct(
+            s["key"],
+            s["current"],
+            F.when(s["changed"], stored).otherwise(s["current"]).alias("stored"),
+            F.when(s["changed"], line).alias("change"),
+        )
+
+    asked = F.filter(bounds_table(bounds), lambda b: F.map_contains_key(patch, b["key"]))
+    return F.transform(F.transform(F.transform(asked, look_up), compare), describe)
 
 
 def apply_patch(
@@ -91,17 +98,20 @@ def apply_patch(
 
     Keys outside ``bounds`` and values that are not numbers are ignored; whole settings stay whole.
     """
-    steps = df.withColumn("_changes", patch_changes(F.col(config), F.col(patch), bounds))
-    steps = steps.withColumn(
-        "_changes", F.filter("_changes", lambda c: c["change"].isNotNull())
+    made = F.filter(
+        patch_changes(F.col(config), F.col(patch), bounds), lambda c: c["change"].isNotNull()
     )
     changed = F.map_from_entries(
-        F.transform("_changes", lambda c: F.struct(c["key"], c["stored"]))
+        F.transform("_made", lambda c: F.struct(c["key"], c["stored"]))
+    )
+    kept = F.map_filter(
+        F.col(config), lambda k, _: ~F.array_contains(F.col("_made.key"), k)
+    )
+    return df.withColumn("_made", made).select(
+        *df.columns,
+        F.map_concat(kept, changed).alias("new_config"),
+        F.col("_made.change").alias("changes"),
     )
-    kept = F.map_filter(F.col(config), lambda k, _: ~F.map_contains_key(changed, k))
-    return steps.withColumn("new_config", F.map_concat(kept, changed)).withColumn(
-        "changes", F.transform("_changes", lambda c: c["change"])
-    ).drop("_changes")
 
 
 def patch_rows(
@@ -113,4 +123,5 @@ def patch_rows(
 ) -> DataFrame:
     """``(keys, key, current, stored, change)``, one row per tunable key of the patch."""
     changes = patch_changes(F.col(config), F.col(patch), bounds)
-    return df.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.*")
+    rows = df.select(*keys, F.explode_outer(changes).alias("c"))
+    return rows.where(F.col("c").isNotNull()).select(*keys, "c.*")

@@ -91,6 +91,23 @@ def with_tiers(
     return docs.withColumn("_tier", F.explode(F.array(*rows))).select(*docs.columns, "_tier.*")
 
 
+def training_documents_by_tier(
+    docs: DataFrame,
+    tiers: Sequence[str] = tuple(TIERS),
+    eos: str = tokens.EOS,
+    defaults: dict[str, str] = TRAINING_UNKNOWN,
+    overrides: dict[str, float] | None = None,
+) -> DataFrame:
+    """``training_documents`` for several tiers, each text encoded once for the longest."""
+    longest = max(TIERS[tier]["token_truncation_length"] for tier in tiers)
+    full = prompts.training_document("citation", "jurisdiction", "type", "text")
+    ready = with_defaults(docs, defaults)
+    encoded = ready.withColumn("text", tokens.encode_head(full, longest, eos))
+    tiered = with_tiers(encoded, tiers, overrides=overrides)
+    head = F.slice("text", F.lit(1), F.col("token_truncation_length"))
+    return tiered.withColumn("text", tokens.decode(head))
+
+
 def start_row(df: DataFrame, start: int, row: str = "row") -> DataFrame:
     return df.where(F.col(row) >= start)
 

@@ -23,10 +23,17 @@ from textquarry.operators.ordered import (
     ordered_list,
     with_lookback,
 )
-from textquarry.operators.patches import Bounds, apply_patch, number_text, tunable
+from textquarry.operators.patches import (
+    Bounds,
+    apply_patch,
+    bounds_table,
+    number_text,
+    tunable,
+)
 from textquarry.sources.tiers import BOUNDS
 
 ROUND = ["run_id", "round"]
+SAMPLE_STEP = 5
 
 
 def first_last_loss(losses: DataFrame) -> DataFrame:
@@ -66,8 +73,15 @@ def with_outcome(losses: DataFrame, proposals: DataFrame, bounds: Bounds = BOUND
     ``proposals`` holds ``(run_id, round, config, response)``, where ``config`` is the settings map
     the answer in ``response`` was asked about. No round depends on the row of another one.
     """
-    rounds = first_last_loss(losses).join(proposals, ROUND)
-    patched = rounds.withColumn("patch", extract_object("response"))
+    rounds = first_last_loss(losses).join(proposals, ROUND, "left")
+    no_settings = F.create_map().cast("map<string,double>")
+    patched = rounds.withColumns(
+        {
+            "config": F.coalesce("config", no_settings),
+            "response": F.coalesce("response", F.lit("")),
+            "patch": extract_object("response"),
+        }
+    )
     return apply_patch(patched, bounds=bounds)
 
 
@@ -100,19 +114,18 @@ def with_round_history(rounds: DataFrame, reach: int = 3) -> DataFrame:
 def settings_json(config: Column | str, bounds: Bounds = BOUNDS) -> Column:
     """Tunable settings as indented JSON, in bounds order."""
     config = F.col(config) if isinstance(config, str) else config
-    entries = [
-        F.when(
-            F.map_contains_key(config, F.lit(key)),
-            F.concat(
-                F.lit(f'  "{key}": '),
-                number_text(F.try_element_at(config, F.lit(key)), F.lit(whole)),
-            ),
-        )
-        for key, (_, _, whole) in bounds.items()
-    ]
-    lines = F.array_join(F.array_compact(F.array(*entries)), ",\n")
-    return F.when(lines == "", F.lit("{}")).otherwise(
-        F.concat(F.lit("{\n"), lines, F.lit("\n}"))
+    known = F.filter(bounds_table(bounds), lambda b: F.map_contains_key(config, b["key"]))
+    entries = F.transform(
+        known,
+        lambda b: F.concat(
+            F.lit('  "'),
+            b["key"],
+            F.lit('": '),
+            number_text(F.try_element_at(config, b["key"]), b["whole"]),
+        ),
+    )
+    return F.when(F.size(known) == 0, "{}").otherwise(
+        F.concat(F.lit("{\n"), F.array_join(entries, ",\n"), F.lit("\n}"))
     )
 
 
@@ -133,8 +146,10 @@ def round_reviews(
     before, after_round, after_config, after_losses, after_history, after_answers = [
         F.lit(literal) for literal, _ in split_template(templates.ROUND_REVIEW)
     ]
-    answers = sampled_answers(results, ROUND)
-    n_answers = answers.groupBy(*ROUND).agg(F.count("*").alias("n_answers"))
+    answers = sampled_answers(results, ROUND, SAMPLE_STEP)
+    n_answers = results.groupBy(*ROUND).agg(
+        F.ceil(F.count("*") / SAMPLE_STEP).alias("n_answers")
+    )
     frame = rounds.join(n_answers, ROUND, "left").withColumn(
         "n_answers", F.coalesce("n_answers", F.lit(0))
     )
@@ -160,7 +175,7 @@ def round_reviews(
     )
     framed = frame.select(*ROUND, F.inline(own))
     curve = loss_lines(losses).select(*piece(F.col("pos") + 1, after_first("\n", "line")))
-    counts = rounds.select(*ROUND, "n_losses")
+    counts = losses.groupBy(*ROUND).agg(F.count("*").alias("n_losses"))
     sampled = answers.join(counts, ROUND).select(
         *piece(F.col("n_losses") + 2 + F.col("pos"), after_first("\n\n", "line"))
     )

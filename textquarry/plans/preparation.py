@@ -126,8 +126,7 @@ def _sql_document(citation: str, jurisdiction: str, kind: str) -> str:
         FROM d, t""",
 )
 def tier_prepare(spark, sf_dir) -> DataFrame:
-    tiered = prepare.with_tiers(corpus(spark, sf_dir), overrides={"max_steps": 200})
-    cut = prepare.training_documents(tiered, F.col("token_truncation_length"))
+    cut = prepare.training_documents_by_tier(corpus(spark, sf_dir), overrides={"max_steps": 200})
     return cut.select("doc_id", "tier", "max_seq_length", "max_steps", "text")
 
 

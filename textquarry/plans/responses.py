@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.parsing import SALVAGE_MARKER, extract_object, salvage_error, with_pairs
+from textquarry.functions.parsing import (
+    SALVAGE_MARKER,
+    exploded_pairs,
+    extract_object,
+    salvage_error,
+    with_pairs,
+)
 from textquarry.operators import evaluation, pairs, prepare
 from textquarry.plans.registry import (
     SQL_QUESTIONS,
@@ -81,9 +87,7 @@ SQL_PAIRS = f"""
 )
 def parse_pairs(spark, sf_dir) -> DataFrame:
     parsed = with_pairs(_ledger(corpus(spark, sf_dir)))
-    return parsed.select("doc_id", F.posexplode("pairs").alias("pair_no", "pair")).select(
-        "doc_id", "pair_no", "pair.question", "pair.answer"
-    )
+    return exploded_pairs(parsed, "doc_id").select("doc_id", "pair_no", "pair.*")
 
 
 def _parsed(spark, sf_dir) -> DataFrame:

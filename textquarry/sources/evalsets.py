@@ -34,7 +34,9 @@ def scan_open_book_json(spark: SparkSession, path: str) -> DataFrame:
     first_key = F.get(F.json_object_keys("body"), F.lit(0))
     rows = F.when(
         F.startswith("body", F.lit("{")),
-        F.get_json_object("body", F.concat(F.lit("$['"), first_key, F.lit("']"))),
+        F.call_function(
+            "get_json_object", F.col("body"), F.concat(F.lit("$['"), first_key, F.lit("']"))
+        ),
     ).otherwise(F.col("body"))
     parsed = F.from_json(rows, f"array<struct<{schemas.OPEN_BOOK}>>", {"mode": "FAILFAST"})
     return files.select("file", F.posexplode(parsed).alias("pos", "item")).select(
