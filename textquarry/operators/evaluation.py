@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import cap
-from textquarry.operators.ordered import BLOCK, joined_text, number_rows
+from textquarry.operators.ordered import BLOCK, joined_text, number_rows, whole_quotient
 from textquarry.operators.sampling import every_nth
 
 RULE = "=" * 70
@@ -43,7 +43,7 @@ def sampled_answers(
     line = F.concat(
         F.lit("Q"), padded("q"), F.lit(": "), "question", F.lit("\nA: "), cap("answer", limit)
     )
-    place = F.floor((F.col("_row") - 1) / nth).cast("bigint") + 1
+    place = whole_quotient(F.col("_row") - 1, nth) + 1
     return kept.select(*keys, place.alias("pos"), line.alias("line"))
 
 

@@ -17,8 +17,9 @@ BLOCK = 10_000
 SUPER_BLOCK = 1_000
 
 
-def _block_of(order: Column, size: int) -> Column:
-    return F.floor(order / F.lit(size)).cast("bigint")
+def whole_quotient(value: Column, divisor: int) -> Column:
+    """Integer division, exact for every bigint."""
+    return F.call_function("div", value, F.lit(divisor)).cast("bigint")
 
 
 def prefix_sum(
@@ -34,16 +35,18 @@ def prefix_sum(
     """Add ``out``: the sum of ``value`` over the rows before this one inside its group.
 
     ``order`` is an integer column, unique and not null inside a group; ``keys`` are not null.
-    Rows are shuffled once, by group and block, and blocks hold at most ``block`` rows.
+    Rows are shuffled once, by group and block, and blocks hold at most ``block`` rows. With
+    ``keep_block`` the rows also tell their ``_block`` and its sums, ``_block_start`` before it and
+    ``_block_end`` after it.
     """
     keys = list(keys)
     value = F.lit(value) if isinstance(value, int) else value
-    in_block = _block_of(F.col(order), block).alias("_block")
+    in_block = whole_quotient(F.col(order), block).alias("_block")
     rows = df.select("*", in_block, value.cast("bigint").alias("_value"))
 
     blocks = rows.groupBy(*keys, "_block").agg(
         F.sum("_value").alias("_total"),
-        F.any_value(_block_of(F.col("_block"), super_block)).alias("_super"),
+        F.any_value(whole_quotient(F.col("_block"), super_block)).alias("_super"),
     )
     supers = blocks.groupBy(*keys, "_super").agg(F.sum("_total").alias("_total"))
 
@@ -57,12 +60,17 @@ def prefix_sum(
     )
     before_block = before(*keys, "_super", order_by="_block", value="_total")
     starts = blocks.join(supers, [*keys, "_super"]).select(
-        *keys, "_block", (F.col("_start") + before_block).alias("_start")
+        *keys, "_block", (F.col("_start") + before_block).alias("_block_start"), "_total"
     )
     before_row = before(*keys, "_block", order_by=order, value="_value")
     names = [c for c in df.columns if c != out]
-    return rows.join(starts, [*keys, "_block"]).select(
-        *names, (F.col("_start") + before_row).alias(out), *(["_block"] if keep_block else [])
+    block_columns = ["_block", "_block_start", (F.col("_block_start") + F.col("_total")).alias("_block_end")]
+    # The hint keeps the rows on the probe side, spread by block: broadcasting them to the few
+    # blocks would leave the work to the blocks' tasks.
+    return rows.join(starts.hint("shuffle_hash"), [*keys, "_block"]).select(
+        *names,
+        (F.col("_block_start") + before_row).alias(out),
+        *(block_columns if keep_block else []),
     )
 
 
@@ -88,7 +96,7 @@ def with_lookback(
     the block before it, so a window never needs a whole group. Rows grow by ``reach / block``.
     """
     place = F.col(position)
-    own = _block_of(place, block)
+    own = whole_quotient(place, block)
     home = F.struct(own.alias("block"), F.lit(True).alias("home"))
     next_block = F.struct((own + 1).alias("block"), F.lit(False).alias("home"))
     copies = F.when(place % block >= block - reach, F.array(home, next_block)).otherwise(
@@ -125,7 +133,7 @@ def joined_text(
     The parts of a group, joined by ``separator`` in ``part`` order, are its whole text. A group
     up to ``rows_per_part`` rows has one part; a larger one never meets in one task.
     """
-    part = _block_of(F.col(position) - 1, rows_per_part)
+    part = whole_quotient(F.col(position) - 1, rows_per_part)
     return (
         df.groupBy(*keys, part.alias("part"))
         .agg(F.array_join(ordered_list(F.col(text), position), separator).alias(out))

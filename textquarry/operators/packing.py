@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import tokens
 from textquarry.functions.text import let
-from textquarry.operators.ordered import prefix_sum
+from textquarry.operators.ordered import prefix_sum, whole_quotient
 from textquarry.session import stage
 
 
@@ -38,6 +38,7 @@ def pack_sequences(
     # The text crosses the shuffle, not its tokens: it is far smaller and is encoded again there.
     sized = body.withColumn("n", F.size(encode(F.col("body"))))
     placed = prefix_sum(sized, order, F.col("n"), "start", block=docs_per_block, keep_block=True)
+    placed = placed.where("n > 0")
     start, size = F.col("start"), F.col("n")
 
     def cut(tokens_: Column, chunk: Column) -> Column:
@@ -46,19 +47,28 @@ def pack_sequences(
         piece = F.slice(tokens_, (at - start + 1).cast("int"), (end - at).cast("int"))
         return F.struct(chunk.alias("chunk_id"), at.alias("at"), piece.alias("tokens"))
 
-    touched = F.sequence(F.floor(start / length), F.floor((start + size - 1) / length))
-    # One encoding per document, whatever number of chunks it touches.
-    cuts = let(
-        encode(F.col("body")),
-        lambda tokens_: F.transform(touched, lambda chunk: cut(tokens_, chunk)),
-    )
-    slices = placed.where("n > 0").select("_block", F.explode_outer(cuts).alias("s"))
-    slices = slices.select("_block", "s.*")
-    in_block = _join_slices(slices, "_block", "chunk_id")
-    chunks = _join_slices(in_block.drop("_block"), "chunk_id").select(
-        "chunk_id", F.size("tokens").alias("n_tokens"), "tokens"
-    )
-    return chunks.where(F.col("n_tokens") == length) if drop_remainder else chunks
+    def crosses(chunk: Column) -> Column:
+        before_block = chunk * length < F.col("_block_start")
+        return before_block | ((chunk + 1) * length > F.col("_block_end"))
+
+    def joined_chunks(wanted: Callable[[Column], Column]) -> DataFrame:
+        touched = F.sequence(
+            whole_quotient(start, length), whole_quotient(start + size - 1, length)
+        )
+        kept = placed.withColumn("chunks", F.filter(touched, wanted)).where(F.size("chunks") > 0)
+        # One encoding per document, whatever number of chunks it touches.
+        cuts = let(
+            encode(F.col("body")),
+            lambda tokens_: F.transform("chunks", lambda chunk: cut(tokens_, chunk)),
+        )
+        slices = kept.select("_block", F.explode_outer(cuts).alias("s")).select("_block", "s.*")
+        return _join_slices(slices, "_block", "chunk_id").drop("_block")
+
+    inside = joined_chunks(lambda chunk: ~crosses(chunk))
+    across = _join_slices(joined_chunks(crosses), "chunk_id")
+    chunks = inside.select("chunk_id", "tokens").unionByName(across.select("chunk_id", "tokens"))
+    sized_chunks = chunks.select("chunk_id", F.size("tokens").alias("n_tokens"), "tokens")
+    return sized_chunks.where(F.col("n_tokens") == length) if drop_remainder else sized_chunks
 
 
 def _as_is(tokens_: Column) -> Column:

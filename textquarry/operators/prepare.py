@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import prompts, tokens
 from textquarry.functions.text import clean, has_words, not_blank, strip, truncate_words
-from textquarry.operators.ordered import number_rows
+from textquarry.operators.ordered import number_rows, whole_quotient
 from textquarry.sources.tiers import TIERS
 
 METADATA = ("citation", "jurisdiction", "type")
@@ -121,7 +121,7 @@ def skip_answered_estimate(
     """
     existing = F.lit(existing_pairs) if isinstance(existing_pairs, int) else existing_pairs
     numbered = number_rows(sample, order, "_row")
-    skipped = F.floor(existing / F.lit(pairs_per_doc)).cast("bigint")
+    skipped = whole_quotient(existing, pairs_per_doc)
     return numbered.where(F.col("_row") > skipped).drop("_row")
 
 

@@ -21,6 +21,7 @@ from textquarry.operators.ordered import (
     joined_text,
     number_rows,
     ordered_list,
+    whole_quotient,
     with_lookback,
 )
 from textquarry.operators.patches import (
@@ -233,7 +234,7 @@ def round_records(
     ``loss_log`` of a round with more than ``rows_per_part`` entries continues in further parts.
     """
     numbered = number_rows(losses, "step", "pos", ROUND)
-    part = F.floor((F.col("pos") - 1) / rows_per_part).cast("bigint")
+    part = whole_quotient(F.col("pos") - 1, rows_per_part)
     logs = numbered.groupBy(*ROUND, part.alias("part")).agg(
         ordered_list(F.struct("step", "loss")).alias("loss_log")
     )

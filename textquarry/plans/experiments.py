@@ -9,6 +9,7 @@ from textquarry.functions import templates, tokens
 from textquarry.functions.text import strip, word_count
 from textquarry.operators import chat, evaluation, packing, patches, rounds, trajectory
 from textquarry.functions.parsing import extract_object
+from textquarry.operators.ordered import whole_quotient
 from textquarry.plans.registry import (
     SQL_QUESTIONS,
     SQL_SHEETS,
@@ -196,7 +197,7 @@ def _round_sheets(spark, sf_dir) -> DataFrame:
     questions = numbered_questions(table(spark, sf_dir, "benchmark"))
     sheets = evaluation.question_answers(questions, answer_sheets(spark, sf_dir))
     return sheets.withColumn("round", F.col("run_id") % 5 + 1).withColumn(
-        "run_id", F.floor(F.col("run_id") / 5).cast("bigint")
+        "run_id", whole_quotient(F.col("run_id"), 5)
     )
 
 

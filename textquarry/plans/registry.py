@@ -51,7 +51,7 @@ def answer_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as an answer: sheets of as many answers as there are questions."""
     n = table(spark, sf_dir, "benchmark").agg(F.count("*")).scalar()
     return table(spark, sf_dir, "documents").select(
-        F.floor(F.col("doc_id") / n).cast("bigint").alias("run_id"),
+        F.call_function("div", F.col("doc_id"), n).alias("run_id"),
         (F.col("doc_id") % n + 1).alias("q"),
         F.col("text").alias("answer"),
         F.col("lang").alias("model"),

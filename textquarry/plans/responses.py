@@ -13,6 +13,7 @@ from textquarry.functions.parsing import (
     with_pairs,
 )
 from textquarry.operators import evaluation, pairs, prepare
+from textquarry.operators.ordered import whole_quotient
 from textquarry.plans.registry import (
     SQL_QUESTIONS,
     SQL_SHEETS,
@@ -227,7 +228,7 @@ def question_answer(spark, sf_dir) -> DataFrame:
 def compare(spark, sf_dir) -> DataFrame:
     """Even sheets read as the base model's answers, odd ones as the fine-tuned model's."""
     sheets = answer_sheets(spark, sf_dir).withColumn("tuned", F.col("run_id") % 2)
-    sheets = sheets.withColumn("run_id", F.floor(F.col("run_id") / 2).cast("bigint"))
+    sheets = sheets.withColumn("run_id", whole_quotient(F.col("run_id"), 2))
     both = evaluation.compare_models(
         sheets.where("tuned = 0"), sheets.where("tuned = 1"), ["run_id", "q"]
     )

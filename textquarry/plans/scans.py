@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry import schemas
 from textquarry.functions.text import not_blank
-from textquarry.operators.ordered import ordered_list
+from textquarry.operators.ordered import ordered_list, whole_quotient
 from textquarry.operators.prepare import concatenate, with_defaults
 from textquarry.operators.rounds import ROUND, first_last_loss
 from textquarry.plans.experiments import SQL_LOSSES, loss_table
@@ -20,7 +20,7 @@ DOCS_PER_FILE = 100
 
 
 def _file_number() -> Column:
-    return F.floor(F.col("doc_id") / DOCS_PER_FILE).cast("bigint").alias("file_no")
+    return whole_quotient(F.col("doc_id"), DOCS_PER_FILE).alias("file_no")
 
 
 def _question() -> Column:
