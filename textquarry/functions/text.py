@@ -102,10 +102,14 @@ def fixed_decimals(value: Column | str, places: int = 4) -> Column:
     """``%.<places>f`` with the exact binary value rounded half-even, as C and Python do."""
     value = col(value).cast("double")
     pattern = "0." + "0" * places
+    # Java's formatter drops a lone 5 just past the last place without looking at its exact value.
+    half = 5 / 10 ** (places + 1)
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
+        .when(value == half, F.lit(f"{half:.{places}f}"))
+        .when(value == -half, F.lit(f"{-half:.{places}f}"))
         .otherwise(F.call_function("format_number", value, F.lit(pattern)))
     )
 

@@ -48,6 +48,11 @@ def clean_eos(docs: DataFrame, eos: str = tokens.EOS, longer_than: int = 10) ->
     return closed.where(F.length("text") > longer_than)
 
 
+def without_eos(docs: DataFrame, eos: str = tokens.EOS) -> DataFrame:
+    """Undo the last step of ``clean_eos``."""
+    return docs.withColumn("text", F.left("text", F.length("text") - len(eos)))
+
+
 def training_pairs(pairs: DataFrame, eos: str = tokens.EOS) -> DataFrame:
     """Add the training text of question-answer pairs."""
     return pairs.withColumn("text", prompts.training_qa("question", "answer", eos))

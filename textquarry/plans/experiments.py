@@ -31,9 +31,9 @@ from textquarry.sources.tiers import BOUNDS, TIERS
 # -- events read as loss logs: one run per user, one round per event type, event_id as step
 
 EVENT_ROUNDS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
-SQL_ROUND = "CASE event_type " + " ".join(
+SQL_ROUND = "CAST(CASE event_type " + " ".join(
     f"WHEN '{name}' THEN {n}" for name, n in EVENT_ROUNDS.items()
-) + " END"
+) + " END AS BIGINT)"
 SQL_LOSSES = f"""
     SELECT user_id AS run_id, {SQL_ROUND} AS round, event_id AS step, value AS loss FROM events
 """
@@ -109,7 +109,7 @@ def first_last(spark, sf_dir) -> DataFrame:
     "a_loss_summary",
     f"""WITH l AS ({SQL_LOSSES}),
         n AS (SELECT *, row_number() OVER (PARTITION BY run_id, round ORDER BY step) AS pos FROM l)
-        SELECT run_id, round, (pos - 1) // 10000 AS part,
+        SELECT run_id, round, (pos - 1) // 10000::BIGINT AS part,
                string_agg({SQL_LOSS_LINE}, chr(10) ORDER BY step) AS text
         FROM n GROUP BY ALL""",
 )
@@ -150,7 +150,7 @@ def round_history(spark, sf_dir) -> DataFrame:
     f"""WITH l AS ({SQL_LOSSES}),
         c AS (SELECT run_id, round, string_agg(step || '=' || loss, ' ' ORDER BY step) AS loss_log
               FROM l GROUP BY run_id, round)
-        SELECT run_id, round, 0 AS part, {len(K_BOUNDS)} AS n_settings, 50.0::DOUBLE AS k, loss_log,
+        SELECT run_id, round, 0::BIGINT AS part, {len(K_BOUNDS)} AS n_settings, 50.0::DOUBLE AS k, loss_log,
                start_loss, end_loss, 'Try this:' || chr(10) || props AS lm_response,
                json_extract_string(props, '$.k') AS patch_k,
                coalesce(change, '') AS changes,
@@ -215,7 +215,7 @@ SQL_SAMPLED = """
               FROM l GROUP BY run_id, round),
         a AS (SELECT run_id, round, {SQL_SAMPLED} AS answers
               FROM ({SQL_ROUND_SHEETS}) GROUP BY run_id, round)
-        SELECT run_id, round, 0 AS part, {sql_render(
+        SELECT run_id, round, 0::BIGINT AS part, {sql_render(
             templates.ROUND_REVIEW,
             round="round",
             config=sql_text(SQL_CONFIG),
@@ -268,7 +268,7 @@ def clamp_patch(spark, sf_dir) -> DataFrame:
 
 @query(
     "a_sample_answers",
-    f"""SELECT run_id, round, 0 AS part, {SQL_SAMPLED} AS text
+    f"""SELECT run_id, round, 0::BIGINT AS part, {SQL_SAMPLED} AS text
         FROM ({SQL_ROUND_SHEETS}) GROUP BY run_id, round HAVING min(q) = 1""",
 )
 def sample_answers(spark, sf_dir) -> DataFrame:
@@ -342,7 +342,8 @@ SQL_CHAT = """
 @query("w_chat_history", f"SELECT conv_id, turn, history, n_history FROM ({SQL_CHAT})")
 def chat_history(spark, sf_dir) -> DataFrame:
     history = chat.with_history(dialogue(spark, sf_dir))
-    return history.select("conv_id", "turn", "history", "n_history")
+    n_history = F.col("n_history").cast("bigint")
+    return history.select("conv_id", "turn", "history", n_history.alias("n_history"))
 
 
 @query(
