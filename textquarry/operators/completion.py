@@ -38,11 +38,13 @@ def complete(
     completer: Callable[[str], str],
     tries: int = 3,
     pause: Callable[[float], None] = time.sleep,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """``(doc_id, response, error_body)``: one answer, or the last salvageable error, per prompt.
 
     Calls are retried after 1, 2, 4 ... seconds; when every try fails both values are null. The
-    calls of one partition run one after another, so partitions set the load on the server.
+    calls of one partition run one after another, so ``parallelism`` partitions bound the load on
+    the server.
     """
 
     def ask(prompt: str) -> tuple[str | None, str | None]:
@@ -68,7 +70,10 @@ def complete(
                 }
             )
 
-    return prompts.select("doc_id", "prompt").mapInPandas(batches, schemas.COMPLETION)
+    asked = prompts.select("doc_id", "prompt")
+    if parallelism is not None:
+        asked = asked.repartition(parallelism, "doc_id")
+    return asked.mapInPandas(batches, schemas.COMPLETION)
 
 
 def completion_ledger(prompts: DataFrame, completer: Callable[[str], str], **options) -> DataFrame:

@@ -125,9 +125,11 @@ def skip_answered_estimate(
     An estimate: documents that gave fewer pairs are counted short. Prefer ``unanswered``.
     """
     existing = F.lit(existing_pairs) if isinstance(existing_pairs, int) else existing_pairs
-    numbered = number_rows(sample, order, "_row")
-    skipped = whole_quotient(existing, pairs_per_doc)
-    return numbered.where(F.col("_row") > skipped).drop("_row")
+    numbered = number_rows(sample.select(order), order, "row")
+    skipped = numbered.where(F.col("row") <= whole_quotient(existing, pairs_per_doc))
+    # Only the order column is numbered; the documents are filtered where they are.
+    last = skipped.agg(F.max(order)).scalar()
+    return sample.where(last.isNull() | (F.col(order) > last))
 
 
 def concatenate(*parts: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TOP_K_LIMIT = 100_000
+# Hex digits of the hash told apart per counting pass: 4,096 bins each.
+DIGITS = 3
 
 
 def _draw(seed: int, key: str) -> Column:
@@ -16,34 +17,42 @@ def _draw(seed: int, key: str) -> Column:
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """``n`` rows without replacement (all when fewer), the same for any partitioning.
 
-    Rows are ordered by a hash of the unique ``key``; only hash and key are ranked. The rank-``n``
-    pair then filters the input, so document texts are neither sorted nor shuffled.
+    The sample is the ``n`` lowest hashes of the unique ``key``. Two counting passes over the key
+    find the narrow hash range in which rank ``n`` falls, and only that range is ranked, so no
+    task meets the candidates of every other task. Documents are then kept by comparing their hash:
+    texts are neither sorted nor shuffled.
     """
-    ticket = F.struct(_draw(seed, key).alias("h"), F.col(key).alias("k"))
-    tickets = df.select(ticket.alias("ticket"))
     if n <= 0:
         return df.where(F.lit(False))
-    if n <= TOP_K_LIMIT:
-        cutoff = tickets.orderBy("ticket").limit(n).agg(F.max("ticket"))
-    else:
-        cutoff = _cutoff_by_bins(tickets, n)
-    return df.where(ticket <= cutoff.scalar())
-
-
-def _cutoff_by_bins(tickets: DataFrame, n: int) -> DataFrame:
-    """Rank-``n`` ticket for large ``n``: count 65,536 hash bins, rank inside the one it falls in."""
-    binned = tickets.withColumn("bin", F.left(F.col("ticket.h"), F.lit(4)))
-    counts = binned.groupBy("bin").agg(F.count("*").alias("rows"))
-    before = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    # The bin that holds rank n, or the last bin when there are fewer than n rows.
-    hit = counts.where(F.col("before") < n).agg(
-        F.max_by(F.struct("bin", "before"), "before").alias("hit")
+    ticket = F.struct(_draw(seed, key).alias("h"), F.col(key).alias("k"))
+    tickets = df.select(ticket.alias("ticket"))
+    coarse = _bin_of_rank(tickets, n, DIGITS, F.lit(0))
+    near = tickets.where(_prefix(DIGITS) == coarse.scalar()["bin"])
+    fine = _bin_of_rank(near, n, 2 * DIGITS, coarse.scalar()["before"])
+    last = tickets.where(_prefix(2 * DIGITS) == fine.scalar()["bin"])
+    rank = F.row_number().over(W.partitionBy(_prefix(2 * DIGITS)).orderBy("ticket"))
+    wanted = last.withColumn("rank", rank).where(
+        F.col("rank") + fine.scalar()["before"] <= n
+    )
+    return df.where(ticket <= wanted.agg(F.max("ticket")).scalar())
+
+
+def _prefix(digits: int) -> Column:
+    return F.left(F.col("ticket.h"), F.lit(digits))
+
+
+def _bin_of_rank(tickets: DataFrame, n: int, digits: int, lower: Column) -> DataFrame:
+    """One row with ``struct<bin, before>``: where rank ``n`` falls and the tickets before that.
+
+    ``lower`` tickets precede these. The last bin is taken when there are fewer than ``n``.
+    """
+    counts = tickets.groupBy(_prefix(digits).alias("bin")).agg(F.count("*").alias("rows"))
+    frame = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # over the bins only
+    before = lower + F.coalesce(F.sum("rows").over(frame), F.lit(0))
+    bins = counts.select("bin", before.alias("before"))
+    return bins.where(F.col("before") < n).agg(
+        F.max_by(F.struct("bin", "before"), "bin").alias("hit")
     )
-    inside = binned.join(F.broadcast(hit), F.col("bin") == F.col("hit.bin"))
-    ranked = inside.withColumn("rank", F.row_number().over(W.partitionBy("bin").orderBy("ticket")))
-    wanted = ranked.where(F.col("rank") <= F.lit(n) - F.col("hit.before"))
-    return wanted.agg(F.max("ticket"))
 
 
 def every_nth(df: DataFrame, position: str, n: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from textquarry.functions.tokens import EOS
 from textquarry.operators import completion, pairs, prepare
@@ -40,9 +40,10 @@ def generate_pairs(
     fresh.write.mode("append" if resume else "overwrite").parquet(ledger)
 
     documents = prepare.with_defaults(docs).join(fresh.select("doc_id"), "doc_id", "left_semi")
-    parsed = pairs.parsed_documents(documents, fresh)
+    counters = Observation("pair generation")
+    parsed = pairs.parsed_documents(documents, fresh).observe(counters, *pairs.run_counters())
     write_pairs(pairs.enriched_pairs(parsed), output, resume)
-    return parsed.agg(*pairs.run_counters()).first().asDict()
+    return counters.get
 
 
 def pretraining_set(
