@@ -87,7 +87,7 @@ def test_training_sets(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, " a b "), (2, ""), (3, "long enough text")],
                                  "doc_id bigint, text string")
-    chunks = jobs.pretraining_set(docs, 3, longer_than=3).orderBy("chunk_id").collect()
+    chunks = jobs.pretraining_set(docs, length=3, longer_than=3).orderBy("chunk_id").collect()
     assert ["".join(c.tokens) for c in chunks] == ["a b</s>", "long enough text", "</s>"]
 
 

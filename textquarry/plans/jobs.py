@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-from textquarry.functions.tokens import EOS
+from textquarry.functions.tokens import EOS, encode_document
 from textquarry.operators import completion, pairs, prepare
 from textquarry.operators.packing import pack_sequences
 from textquarry.operators.sampling import seeded_sample
 from textquarry.sources.corpus import preferred_source
 from textquarry.sources.sinks import write_pairs
-from textquarry.sources.tiers import TIERS
+from textquarry.sources.tiers import PACKED_LENGTH, TIERS
 
 
 def generate_pairs(
@@ -47,13 +48,22 @@ def generate_pairs(
 
 
 def pretraining_set(
-    docs: DataFrame, length: int, eos: str = EOS, longer_than: int = 10, **options
+    docs: DataFrame,
+    tier: str = "8gb",
+    length: int | None = None,
+    eos: str = EOS,
+    longer_than: int = 10,
+    **options,
 ) -> DataFrame:
-    """Cleaned texts packed into sequences of ``length`` tokens, in ``doc_id`` order."""
+    """Cleaned texts packed into sequences of the tier's length, in ``doc_id`` order.
+
+    Another ``length`` replaces the tier's; ``options`` go to ``pack_sequences``.
+    """
     kept = prepare.clean_eos(docs, eos, longer_than)
     # Packing closes each document with the end token itself.
     texts = prepare.without_eos(kept, eos)
-    return pack_sequences(texts, length, **options)
+    options.setdefault("encode", partial(encode_document, eos=eos))
+    return pack_sequences(texts, length or PACKED_LENGTH[tier], **options)
 
 
 def fine_tuning_set(
