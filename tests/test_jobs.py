@@ -2,9 +2,10 @@ import json
 
 import pytest
 
+from textquarry.functions import prompts
+from textquarry.functions.parsing import SALVAGE_MARKER
 from textquarry.operators.completion import CompletionError, complete, completion_ledger
 from textquarry.operators.pairs import responses, unanswered
-from textquarry.functions.parsing import SALVAGE_MARKER
 from textquarry.plans import jobs
 from textquarry.session import shared_dir
 from textquarry.streaming.jobs import stream_pairs, stream_prompts, stream_results
@@ -91,6 +92,54 @@ def test_training_sets(spark, tmp_path):
     assert ["".join(c.tokens) for c in chunks] == ["a b</s>", "long enough text", "</s>"]
 
 
+def test_closed_book_evaluation_resumes(spark):
+    questions = spark.createDataFrame([(q, f"q{q}?") for q in range(1, 5)], "q bigint, question string")
+
+    def completer(prompt):
+        if "q3?" in prompt:
+            raise ValueError("down")
+        assert prompt.endswith("### Response:\n")
+        return "new"
+
+    earlier = spark.createDataFrame(
+        [(1, "q1?", "old"), (2, "q2?", "old")], "q bigint, question string, answer string"
+    )
+    got = jobs.closed_book_evaluation(questions, completer, 2, earlier, pause=no_pause)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "q1?", "old"), (2, "q2?", "new"), (4, "q4?", "new"),
+    ]
+    short = jobs.closed_book_evaluation(
+        questions, lambda p: str(len(p)), prompt=prompts.short, pause=no_pause, parallelism=2
+    )
+    assert short.count() == 4
+
+
+def test_open_book_evaluation(spark):
+    rows = spark.createDataFrame(
+        [(1, " q? ", " a b  c\n"), (2, "r?", "d")], "row bigint, question string, context string"
+    )
+    got = jobs.open_book_evaluation(rows, lambda p: "yes " if "a b  c\n\nQUESTION:\nq?" in p else "no")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "q?", 3, "yes"), (2, "r?", 1, "no")]
+
+
+def test_review_rounds_fit_the_budget(spark):
+    losses = spark.createDataFrame(
+        [("a", 1, 1, 2.0)], "run_id string, round bigint, step bigint, loss double"
+    )
+    proposals = spark.createDataFrame(
+        [("a", 1, {"r": 8.0}, None)],
+        "run_id string, round bigint, config map<string,double>, response string",
+    )
+    results = spark.createDataFrame(
+        [("a", 1, 1, "q", "y" * 590)],
+        "run_id string, round bigint, q bigint, question string, answer string",
+    )
+    whole = jobs.review_rounds(losses, proposals, results, 10_000).first()
+    cut = jobs.review_rounds(losses, proposals, results, len(whole["text"]) - 1).first()
+    assert whole["answer_limit"] is None and cut["answer_limit"] == 500
+    assert cut["text"] == whole["text"].replace("A: " + "y" * 590, "A: " + "y" * 497 + "…")
+
+
 def write_json(folder, name, rows):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(map(json.dumps, rows)) + "\n")

@@ -16,6 +16,19 @@ def test_corpus_skips_blank_lines_and_fails_on_bad_ones(spark, tmp_path):
         corpus.scan_corpus(spark, str(path)).collect()
 
 
+def test_doc_ids_are_unique_and_follow_the_file(spark, tmp_path):
+    lines = [json.dumps({"text": f"t{i}", "citation": "c" * 500}) for i in range(3_000)]
+    (tmp_path / "c.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        docs = corpus.with_doc_ids(corpus.scan_corpus(spark, str(tmp_path / "c.jsonl")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = docs.orderBy("doc_id").collect()
+    assert len({r.doc_id for r in rows}) == 3_000
+    assert [r.text for r in rows] == [f"t{i}" for i in range(3_000)]
+
+
 def test_directory(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "one", "x": 1}\n{"x": 2}\n')
     (tmp_path / "b.txt").write_bytes(b"  two\nlines \xff \n")

@@ -39,8 +39,9 @@ def complete(
     tries: int = 3,
     pause: Callable[[float], None] = time.sleep,
     parallelism: int | None = None,
+    key: str = "doc_id",
 ) -> DataFrame:
-    """``(doc_id, response, error_body)``: one answer, or the last salvageable error, per prompt.
+    """``(key, response, error_body)``: one answer, or the last salvageable error, per prompt.
 
     Calls are retried after 1, 2, 4 ... seconds; when every try fails both values are null. The
     calls of one partition run one after another, so ``parallelism`` partitions bound the load on
@@ -64,16 +65,16 @@ def complete(
             answers = [ask(prompt) for prompt in frame["prompt"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"],
+                    key: frame[key],
                     "response": [a[0] for a in answers],
                     "error_body": [a[1] for a in answers],
                 }
             )
 
-    asked = prompts.select("doc_id", "prompt")
+    asked = prompts.select(key, "prompt")
     if parallelism is not None:
-        asked = asked.repartition(parallelism, "doc_id")
-    return asked.mapInPandas(batches, schemas.COMPLETION)
+        asked = asked.repartition(parallelism, key)
+    return asked.mapInPandas(batches, schemas.COMPLETION.replace("doc_id", key, 1))
 
 
 def completion_ledger(prompts: DataFrame, completer: Callable[[str], str], **options) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from textquarry.functions import prompts
+from textquarry.functions.text import clean, word_count
 from textquarry.functions.tokens import EOS, encode_document
-from textquarry.operators import completion, pairs, prepare
+from textquarry.operators import completion, pairs, prepare, rounds
 from textquarry.operators.packing import pack_sequences
 from textquarry.operators.sampling import seeded_sample
 from textquarry.sources.corpus import preferred_source
 from textquarry.sources.sinks import write_pairs
-from textquarry.sources.tiers import PACKED_LENGTH, TIERS
+from textquarry.sources.tiers import BOUNDS, PACKED_LENGTH, TIERS
 
 
 def generate_pairs(
@@ -47,6 +50,61 @@ def generate_pairs(
     return counters.get
 
 
+def _ask(asked: DataFrame, completer: Callable[[str], str], key: str, options: dict) -> DataFrame:
+    """Rows with the answer they got; a row whose every try failed is left for the next run."""
+    ledger = completion.completion_ledger(asked, completer, key=key, **options)
+    answers = pairs.responses(ledger).select(key, F.col("response").alias("answer"))
+    return asked.drop("prompt").join(answers.where(F.col("answer").isNotNull()), key)
+
+
+def closed_book_evaluation(
+    questions: DataFrame,
+    completer: Callable[[str], str],
+    start: int = 1,
+    earlier: DataFrame | None = None,
+    prompt: Callable[[str], Column] = prompts.closed_book,
+    **options,
+) -> DataFrame:
+    """``(q, question, answer)`` for numbered questions from ``start`` on, merged with ``earlier``."""
+    asked = prepare.start_row(questions.select("q", "question"), start, "q")
+    results = _ask(asked.withColumn("prompt", prompt("question")), completer, "q", options)
+    return pairs.merge_results(earlier, results) if earlier is not None else results
+
+
+def open_book_evaluation(
+    rows: DataFrame,
+    completer: Callable[[str], str],
+    start: int = 1,
+    earlier: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """``(row, question, context_length, answer)`` for rows with ``question`` and ``context``."""
+    asked = prepare.start_row(rows, start).select(
+        "row",
+        clean("question").alias("question"),
+        word_count("context").cast("bigint").alias("context_length"),
+        prompts.open_book("question", "context").alias("prompt"),
+    )
+    results = _ask(asked, completer, "row", options)
+    return pairs.merge_results(earlier, results, "row") if earlier is not None else results
+
+
+def review_rounds(
+    losses: DataFrame,
+    proposals: DataFrame,
+    results: DataFrame,
+    budget: int,
+    bounds: rounds.Bounds = BOUNDS,
+) -> DataFrame:
+    """Review prompt of every round, its answers shortened as far as ``budget`` needs.
+
+    The round under review needs a proposal row too, for its settings; its response may be null.
+    """
+    outcome = rounds.with_round_history(rounds.with_outcome(losses, proposals, bounds))
+    reviews = rounds.round_reviews(losses, outcome, results, bounds)
+    return rounds.fit_budget(reviews, rounds.ROUND, budget)
+
+
 def pretraining_set(
     docs: DataFrame,
     tier: str = "8gb",

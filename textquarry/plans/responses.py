@@ -27,15 +27,16 @@ from textquarry.plans.registry import (
 )
 from textquarry.sources.evalsets import numbered_questions
 
-# The form a document's response takes, by doc_id modulo 8:
-# 0 clean array, 1 fenced, 2 inside prose, 3 one object per line, 4 marked plain text, 5 no pair,
-# 6 only an error body with the output, 7 nothing.
-FORMS = 8
+# The forms responses take, in turn over the documents: bare array, fenced, inside prose, one object
+# per line, marked plain text, text without a pair, only an error body with the output, no answer.
+FORMS = ["array", "fenced", "prose", "objects", "marked", "none", "error", "failed"]
+SQL_FORM = f"({FORMS})[doc_id % {len(FORMS)} + 1]"
 
 
 def _ledger(docs: DataFrame) -> DataFrame:
-    """Responses rendered from the documents, two pairs each, in every form a model uses."""
-    form = F.col("doc_id") % FORMS
+    """Responses rendered from the documents, two pairs each, in every form."""
+    forms = F.array(*[F.lit(name) for name in FORMS])
+    form = F.get(forms, F.col("doc_id") % len(FORMS))
     q1 = F.concat(F.lit("What is said in "), "citation", F.lit("?"))
     q2 = F.lit("How long is it?")
     a2 = F.concat(F.length("text").cast("string"), F.lit(" units"))
@@ -56,35 +57,37 @@ def _ledger(docs: DataFrame) -> DataFrame:
     fenced = F.concat(F.lit("```json\n"), array, F.lit("\n```"))
     none = F.translate("text", "aAqQ{}[]", "")
     response = (
-        F.when(form == 0, array)
-        .when(form == 1, fenced)
-        .when(form == 2, prose)
-        .when(form == 3, objects)
-        .when(form == 4, marked)
-        .when(form == 5, none)
+        F.when(form == "array", array)
+        .when(form == "fenced", fenced)
+        .when(form == "prose", prose)
+        .when(form == "objects", objects)
+        .when(form == "marked", marked)
+        .when(form == "none", none)
     )
     error = F.to_json(F.struct(F.concat(F.lit(SALVAGE_MARKER), array).alias("error")))
     return docs.select(
-        "doc_id", response.alias("response"), F.when(form == 6, error).alias("error_body")
+        "doc_id", response.alias("response"), F.when(form == "error", error).alias("error_body")
     )
 
 
 # The pairs each document must give, stated from the same columns without any parsing.
 SQL_PAIRS = f"""
-    SELECT doc_id, pair_no, question, answer, source, lang FROM (
+    WITH f AS (SELECT *, {SQL_FORM} AS form FROM documents)
+    SELECT doc_id, pair_no, question, answer, source, lang, form FROM (
         SELECT doc_id, 0 AS pair_no, 'What is said in ' || source || '?' AS question, source, lang,
-               {sql_strip('''CASE doc_id % 8 WHEN 3 THEN translate(text, '{}', '')
-                             WHEN 4 THEN translate(text, 'aAqQ', '') ELSE text END''')} AS answer
-        FROM documents
+               {sql_strip("CASE form WHEN 'objects' THEN translate(text, '{}', '') "
+                          "WHEN 'marked' THEN translate(text, 'aAqQ', '') ELSE text END")}
+               AS answer, form
+        FROM f
         UNION ALL
-        SELECT doc_id, 1, 'How long is it?', source, lang, length(text) || ' units' FROM documents)
-    WHERE doc_id % 8 NOT IN (5, 7)
+        SELECT doc_id, 1, 'How long is it?', source, lang, length(text) || ' units', form FROM f)
+    WHERE form NOT IN ('none', 'failed')
 """
 
 
 @query(
     "n_parse_pairs",
-    f"SELECT doc_id, pair_no, question, answer FROM ({SQL_PAIRS}) WHERE doc_id % 8 <> 6",
+    f"SELECT doc_id, pair_no, question, answer FROM ({SQL_PAIRS}) WHERE form <> 'error'",
 )
 def parse_pairs(spark, sf_dir) -> DataFrame:
     parsed = with_pairs(_ledger(corpus(spark, sf_dir)))
@@ -107,10 +110,10 @@ def pairs_enriched(spark, sf_dir) -> DataFrame:
 
 @query(
     "n_parse_strategy_counts",
-    """SELECT strategy, count(*) AS documents FROM
-           (SELECT CASE WHEN doc_id % 8 IN (0, 1, 2, 6) THEN 1 WHEN doc_id % 8 = 3 THEN 2
-                        WHEN doc_id % 8 = 4 THEN 3 ELSE 0 END AS strategy FROM documents)
-       GROUP BY strategy""",
+    f"""SELECT strategy, count(*) AS documents FROM
+            (SELECT CASE {SQL_FORM} WHEN 'objects' THEN 2 WHEN 'marked' THEN 3
+                    WHEN 'none' THEN 0 WHEN 'failed' THEN 0 ELSE 1 END AS strategy FROM documents)
+        GROUP BY strategy""",
 )
 def strategy_counts(spark, sf_dir) -> DataFrame:
     return _parsed(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("documents"))
@@ -120,9 +123,9 @@ def strategy_counts(spark, sf_dir) -> DataFrame:
     "a_run_counters",
     f"""SELECT count(*) AS documents,
                (SELECT count(*) FROM ({SQL_PAIRS})) AS total_pairs,
-               count(*) FILTER (doc_id % 8 = 7) AS no_response,
-               count(*) FILTER (doc_id % 8 = 5) AS unparsed,
-               count(*) FILTER (doc_id % 8 IN (5, 7)) AS errors
+               count(*) FILTER ({SQL_FORM} = 'failed') AS no_response,
+               count(*) FILTER ({SQL_FORM} = 'none') AS unparsed,
+               count(*) FILTER ({SQL_FORM} IN ('none', 'failed')) AS errors
         FROM documents""",
 )
 def run_counters(spark, sf_dir) -> DataFrame:

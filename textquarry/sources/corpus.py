@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry import schemas
 from textquarry.functions.text import not_blank, strip
-from textquarry.session import hadoop
+from textquarry.session import hadoop, stage
 
 
 def scan_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -60,6 +60,15 @@ def _require_text_field(spark: SparkSession, paths: list[str]) -> None:
         raise ValueError("the .jsonl files have no 'text' field")
 
 
+def with_doc_ids(docs: DataFrame) -> DataFrame:
+    """Add a unique bigint ``doc_id`` that grows in reading order, and fix it by writing once.
+
+    Ids computed anew in each job could differ after a change of files or splits; later jobs read
+    the stored ones.
+    """
+    return stage(docs.withColumn("doc_id", F.monotonically_increasing_id()), "corpus")
+
+
 def latest_snapshot_path(spark: SparkSession, root: str, name: str = "corpus.jsonl") -> str | None:
     """File in the numerically highest all-digit directory that holds one, or None."""
     found = {}
