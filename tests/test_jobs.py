@@ -2,12 +2,12 @@ import json
 
 import pytest
 
+from textquarry import session
 from textquarry.functions import prompts
 from textquarry.functions.parsing import SALVAGE_MARKER
 from textquarry.operators.completion import CompletionError, complete, completion_ledger
 from textquarry.operators.pairs import responses, unanswered
 from textquarry.plans import jobs
-from textquarry.session import shared_dir
 from textquarry.streaming.jobs import stream_pairs, stream_prompts, stream_results
 
 GOOD = json.dumps([{"question": "q", "answer": "a"}])
@@ -180,7 +180,20 @@ def test_stream_prompts_and_results(spark, tmp_path):
     assert sum(line.value.startswith("Q00") for line in lines) == 2
 
 
+def test_shuffle_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    (tmp_path / "data").write_bytes(b"x" * 9_000)
+    try:
+        session.configure(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        monkeypatch.setattr(session, "PARTITION_BYTES", 1_000)
+        session.configure(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        assert shared_dir(spark) == configured
+        assert session.shared_dir(spark) == configured

@@ -20,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(configure(spark), sf_dir)
+            return function(configure(spark, sf_dir), sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run

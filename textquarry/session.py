@@ -14,13 +14,27 @@ _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Stored bytes per shuffle partition, and the number of partitions above which their bookkeeping
+# costs more than larger ones do.
+PARTITION_BYTES = 256 << 20
+MAX_PARTITIONS = 100_000
+
 _local_dirs: dict[str, str] = {}
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the session settings the operators rely on; cluster sizing is left alone."""
+def configure(spark: SparkSession, input_path: str | None = None) -> SparkSession:
+    """Apply the session settings the operators rely on.
+
+    With ``input_path``, shuffles get enough partitions for the bytes stored there; a larger
+    setting is kept, and adaptive execution merges what turns out small.
+    """
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    if input_path is not None:
+        path, fs = hadoop(spark, input_path)
+        wanted = min(fs.getContentSummary(path).getLength() // PARTITION_BYTES, MAX_PARTITIONS)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
 
 
