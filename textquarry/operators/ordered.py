@@ -31,23 +31,32 @@ def prefix_sum(
     block: int = BLOCK,
     super_block: int = SUPER_BLOCK,
     keep_block: bool = False,
+    costly: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one inside its group.
 
     ``order`` is an integer column, unique and not null inside a group; ``keys`` are not null.
     Rows are shuffled once, by group and block, and blocks hold at most ``block`` rows. With
-    ``keep_block`` the rows also tell their ``_block`` and its sums, ``_block_start`` before it and
-    ``_block_end`` after it.
+    ``keep_block`` the rows also tell their ``_value``, their ``_block`` and its sums,
+    ``_block_start`` before it and ``_block_end`` after it.
+
+    Block totals are summed where the rows are read, from the columns they need. A ``costly`` value
+    is computed behind the shuffle instead, where the work is even and the input is read once.
     """
     keys = list(keys)
     value = F.lit(value) if isinstance(value, int) else value
     in_block = whole_quotient(F.col(order), block).alias("_block")
-    rows = df.select("*", in_block, value.cast("bigint").alias("_value"))
+    blocked = df.select("*", in_block)
+    if costly:
+        blocked = blocked.repartition(*keys, "_block")
+    rows = blocked.select("*", value.cast("bigint").alias("_value"))
 
     blocks = rows.groupBy(*keys, "_block").agg(
         F.sum("_value").alias("_total"),
         F.any_value(whole_quotient(F.col("_block"), super_block)).alias("_super"),
     )
+    # Both uses below read this one shuffle.
+    blocks = blocks.repartition(*keys, "_super")
     supers = blocks.groupBy(*keys, "_super").agg(F.sum("_total").alias("_total"))
 
     def before(*within: str, order_by: str, value: str) -> Column:
@@ -64,7 +73,8 @@ def prefix_sum(
     )
     before_row = before(*keys, "_block", order_by=order, value="_value")
     names = [c for c in df.columns if c != out]
-    block_columns = ["_block", "_block_start", (F.col("_block_start") + F.col("_total")).alias("_block_end")]
+    block_end = (F.col("_block_start") + F.col("_total")).alias("_block_end")
+    block_columns = ["_value", "_block", "_block_start", block_end]
     # The hint keeps the rows on the probe side, spread by block: broadcasting them to the few
     # blocks would leave the work to the blocks' tasks.
     return rows.join(starts.hint("shuffle_hash"), [*keys, "_block"]).select(

@@ -35,11 +35,17 @@ def pack_sequences(
     if stage_tokens:
         body = stage(body.withColumn("body", encode(F.col("body"))), "tokens")
         encode = _as_is
-    # The text crosses the shuffle, not its tokens: it is far smaller and is encoded again there.
-    sized = body.withColumn("n", F.size(encode(F.col("body"))))
-    placed = prefix_sum(sized, order, F.col("n"), "start", block=docs_per_block, keep_block=True)
-    placed = placed.where("n > 0")
-    start, size = F.col("start"), F.col("n")
+    # The text crosses the shuffle, not its tokens: it is far smaller and is encoded behind it.
+    placed = prefix_sum(
+        body,
+        order,
+        F.size(encode(F.col("body"))),
+        "start",
+        block=docs_per_block,
+        keep_block=True,
+        costly=True,
+    ).where("_value > 0")
+    start, size = F.col("start"), F.col("_value")
 
     def cut(tokens_: Column, chunk: Column) -> Column:
         at = F.greatest(chunk * length, start)
