@@ -2,7 +2,6 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from textquarry.functions import tokens

@@ -3,6 +3,7 @@ import json
 
 from textquarry.functions.templates import ANSWERS_HEADING, ROUND_REVIEW
 from textquarry.operators import rounds
+from textquarry.sources import sinks
 
 CONFIG = {"r": 16.0, "learning_rate": 5e-5}
 
@@ -79,6 +80,14 @@ def test_round_records_continue_in_parts(spark):
     assert not [r for r in records if r.round == 4]  # no losses, no record
 
 
+def test_round_log_round_trip(spark, tmp_path):
+    losses, proposals, _ = tables(spark)
+    records = rounds.round_records(losses, rounds.with_outcome(losses, proposals), "out")
+    sinks.write_round_log(records, str(tmp_path / "log"))
+    back = spark.read.schema(records.schema).json(str(tmp_path / "log"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
+
+
 def test_best_round_prefers_the_earlier(spark):
     df = spark.createDataFrame(
         [("a", 1, 2.0), ("a", 2, 1.0), ("a", 3, 1.0), ("b", 1, 5.0)],

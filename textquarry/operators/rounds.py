@@ -21,8 +21,8 @@ from textquarry.operators.ordered import (
     joined_text,
     number_rows,
     ordered_list,
-    whole_quotient,
     with_lookback,
+    whole_quotient,
 )
 from textquarry.operators.patches import (
     Bounds,

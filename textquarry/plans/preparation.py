@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions import prompts, templates, text
+from textquarry.functions import prompts, templates, text, tokens
 from textquarry.functions.tokens import EOS
-from textquarry.operators import prepare
+from textquarry.operators import chat, prepare
 from textquarry.operators.ordered import number_rows
 from textquarry.operators.rounds import fit_budget
 from textquarry.operators.sampling import every_nth, seeded_sample
@@ -17,7 +17,6 @@ from textquarry.plans.registry import (
     query,
     sql_render,
     sql_strip,
-    sql_text,
     sql_tokens,
     sql_words,
     table,
@@ -137,8 +136,6 @@ def tier_prepare(spark, sf_dir) -> DataFrame:
         FROM documents""",
 )
 def truncate_tokens(spark, sf_dir) -> DataFrame:
-    from textquarry.functions import tokens
-
     return corpus(spark, sf_dir).select("doc_id", tokens.truncate("text", 500).alias("text"))
 
 
@@ -351,8 +348,6 @@ def union_parts(spark, sf_dir) -> DataFrame:
        UNION ALL SELECT conv_id, last + 2, 'assistant', 'See above.' FROM e""",
 )
 def append_exchange(spark, sf_dir) -> DataFrame:
-    from textquarry.operators import chat
-
     messages = dialogue(spark, sf_dir)
     exchanges = messages.groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("question"), F.lit("See above.").alias("reply")

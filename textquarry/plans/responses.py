@@ -21,7 +21,6 @@ from textquarry.plans.registry import (
     corpus,
     query,
     sql_strip,
-    sql_text,
     sql_words,
     table,
 )

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry import schemas
-from textquarry.functions.text import not_blank
 from textquarry.operators.ordered import ordered_list, whole_quotient
 from textquarry.operators.prepare import concatenate, with_defaults
-from textquarry.operators.rounds import ROUND, first_last_loss
+from textquarry.operators.rounds import first_last_loss
 from textquarry.plans.experiments import SQL_LOSSES, loss_table
-from textquarry.plans.registry import corpus, query, sql_strip, sql_text, table
+from textquarry.plans.registry import corpus, query, sql_strip, table
 from textquarry.session import staging_path
 from textquarry.sources import corpus as readers
 from textquarry.sources import evalsets, sinks

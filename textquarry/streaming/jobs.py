@@ -7,7 +7,6 @@ resume. The checkpoint folder must be shared by all executors, as the output fol
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textquarry import schemas
