@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from textquarry.llm import exact_dedup  # noqa: F401
+from textquarry.llm import exact_dedup, packing  # noqa: F401
 from textquarry.llm.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

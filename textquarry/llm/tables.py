@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+_ROOT = str(Path(__file__).resolve().parents[2])
 _SETTINGS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
 
 
@@ -21,6 +23,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             for key, value in _SETTINGS.items():
                 spark.conf.set(key, value)
+            # Python workers import this package from where the driver found it.
+            spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
             return function(spark, sf_dir)
 
         run.__name__ = name
@@ -44,12 +48,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def write(self, df: DataFrame, step: str) -> DataFrame:
         path = staging_path(self.spark, f"{self.name}-{step}")
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths = {**getattr(self, "_paths", {}), id(out): (out, path)}
+        self._paths[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame) -> None:
