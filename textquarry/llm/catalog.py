@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from textquarry.llm import decontamination, exact_dedup, language_id, packing  # noqa: F401
+from textquarry.llm import decontamination, exact_dedup, language_id, packing, secret_scan  # noqa: F401
 from textquarry.llm.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
