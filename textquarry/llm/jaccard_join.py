@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.arrow_text import chunks
 from textquarry.llm.components import components
-from textquarry.llm.shingles import mixed, shingle_sets
+from textquarry.llm.shingles import mixed, set_ids, shingle_sets
 from textquarry.llm.tables import Scratch, query, table
 
 SHARE, WHOLE = 75, 100  # similarity of at least SHARE / WHOLE
@@ -119,8 +119,7 @@ def _sets(frequent):
                 front = place < head[owner]
                 # What scanning the lists of all but the last of these costs.
                 cost = np.where(place < head[owner] - 1, np.exp2(level[order]), 0)
-                sums = np.concatenate([[0], np.cumsum(mixed(value + np.uint64(1)))]).astype("u8")
-                sid = mixed(sums[ends] - sums[ends - n] + n.astype(np.uint64))
+                sid = set_ids(value, ends, n)
                 bits = np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64) - 1, 0)
                 width = np.where(n > 0, 1 << bits, 0)
                 at = np.concatenate([[0], np.cumsum(width)])
@@ -132,7 +131,7 @@ def _sets(frequent):
                     [
                         rows["doc_id"],
                         pa.array(n.astype(np.int64)),
-                        pa.array(sid.view(np.int64), mask=n == 0),
+                        pa.array(sid, mask=n == 0),
                         pa.ListArray.from_arrays(
                             pa.array(heads.astype(np.int32)), _signed(value[order][front])
                         ),
@@ -244,8 +243,7 @@ def _whole_sets(wanted):
             for chunk in chunks(batch["text"]):
                 value, ends = shingle_sets(chunk)
                 n = np.diff(ends, prepend=0)
-                sums = np.concatenate([[0], np.cumsum(mixed(value + np.uint64(1)))]).astype("u8")
-                sid = mixed(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
+                sid = set_ids(value, ends, n)
                 rows = np.flatnonzero((n > 0) & (slots[sid % len(slots)] > 0))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -84,3 +84,10 @@ def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[fresh], owner[fresh]
     return value, np.cumsum(np.bincount(owner, minlength=len(chunk.ends)))
+
+
+def set_ids(value: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number for each set, from all its shingles in any order."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mixed(value + np.uint64(1)), out=sums[1:])
+    return mixed(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
