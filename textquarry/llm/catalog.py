@@ -1,6 +1,6 @@
 """All queries of this package."""
 
-from textquarry.llm import chat_format, decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan  # noqa: F401
+from textquarry.llm import chat_format, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan  # noqa: F401
 from textquarry.llm.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -35,8 +35,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(32))
 
 
-def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, A-Z in lower case, and the text of the chunk it stands in."""
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash for each run of bytes begin..end, none of them empty."""
+    size = 1 << (max(len(data), CHUNK_BYTES) - 1).bit_length()
+    up, down = _powers(size)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
+    value = (sums[end] - sums[begin]) * down[begin]
+    return mixed(value + (end - begin).astype(np.uint64))
+
+
+def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a chunk begin and end; no word spans two texts."""
     data = chunk.data
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
@@ -45,15 +55,14 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     first[chunk.starts[chunk.starts < len(data)]] = True
     last = space[2:].copy()
     last[chunk.ends[chunk.ends > 0] - 1] = True
-    begin = np.flatnonzero(inner & first)
-    end = np.flatnonzero(inner & last) + 1
-    size = 1 << (max(len(data), CHUNK_BYTES) - 1).bit_length()
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[_LOWER[data]] * up[: len(data)], out=sums[1:])
-    value = (sums[end] - sums[begin]) * down[begin]
-    length = (end - begin).astype(np.uint64)
-    return mixed(value + length), np.searchsorted(chunk.ends, begin, side="right")
+    return np.flatnonzero(inner & first), np.flatnonzero(inner & last) + 1
+
+
+def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, A-Z in lower case, and the text of the chunk it stands in."""
+    begin, end = word_spans(chunk)
+    value = hashes(_LOWER[chunk.data], begin, end)
+    return value, np.searchsorted(chunk.ends, begin, side="right")
 
 
 def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
