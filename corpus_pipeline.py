@@ -3,16 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm.tables import Scratch
+from textquarry.llm import decontamination, jaccard_join, language_id, line_dedup, packing
+from textquarry.llm.tables import Scratch, prepare, table
 
-STAGES = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those the models reject go."""
+    prepare(spark)
+    return language_id.recognised(docs, language_id.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; those left without a word go.
+
+    A document that held no word before stays. n_chars follows the text.
+    """
+    prepare(spark)
+    cut = line_dedup.without_later_copies(docs)
+    cut = cut.where("n_removed = 0 OR text <> ''")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+    return cut.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the least id."""
+    prepare(spark)
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.without_leaks(docs, table(prepare(spark), sf_dir, "benchmark"))
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, packed into windows."""
+    prepare(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("jaccard_join", near_copies),
+    ("decontamination", benchmark),
+    ("packing", windows),
+]
+# Models, edit distances and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, writing each one's result as Parquet in between."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(prepare(spark), sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)

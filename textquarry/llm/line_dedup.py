@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.arrow_text import Chunk, chunks
 from textquarry.llm.shingles import hashes, word_spans
-from textquarry.llm.tables import Scratch, query, table
+from textquarry.llm.tables import Scratch, free_name, query, table
 
 MIN_WORDS = 50
 _SALT = np.random.default_rng(11).permutation(256).astype(np.uint8)
@@ -164,18 +164,19 @@ def without_later_copies(
     in the same document, goes; lines without words stay and do not interrupt a run. n_lines counts
     the lines that hold words. A text that keeps no word becomes empty. Null and empty texts stay
     as they are. Documents without an id come last. Rows that repeat an id and its text are one
-    document and change alike. All other columns stay.
+    document and change alike. All other columns stay, but for any named n_lines or n_removed.
     """
     gone = later_copies(docs, id_col, text_col, min_words)
-    gone = gone.groupBy("d").agg(F.array_sort(F.collect_list("pos")).alias("gone_lines"))
-    keyed = docs.withColumn("document_key", _document(docs, id_col, text_col))
-    both = keyed.join(gone, keyed["document_key"] == gone["d"], "left")
-    both = both.select(*[keyed[c] for c in docs.columns], "gone_lines")
+    docs = docs.drop("n_lines", "n_removed")
+    key, list_col = free_name(docs, "document_key"), free_name(docs, "gone_lines")
+    gone = gone.groupBy(F.col("d").alias(key)).agg(F.collect_list("pos").alias(list_col))
+    keyed = docs.withColumn(key, _document(docs, id_col, text_col))
+    both = keyed.join(gone, key, "left").drop(key)
 
     def cut(batches):
         for batch in batches:
             texts, totals, removed = [], [], []
-            for text, gone in zip(batch[text_col], batch["gone_lines"].to_pylist(), strict=True):
+            for text, gone in zip(batch[text_col], batch[list_col].to_pylist(), strict=True):
                 text = text.as_py()
                 lines = (text or "").split("\n")
                 held = [bool(line.strip(" \t\n\v\f\r")) for line in lines]
@@ -186,13 +187,13 @@ def without_later_copies(
                     kept = [k for k in range(len(lines)) if k not in out]
                     text = "\n".join(lines[k] for k in kept) if any(held[k] for k in kept) else ""
                 texts.append(text)
-            columns = {n: batch[n] for n in batch.schema.names if n != "gone_lines"}
+            columns = {n: batch[n] for n in batch.schema.names if n != list_col}
             columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
             columns |= {"n_lines": pa.array(totals, pa.int64())}
             columns |= {"n_removed": pa.array(removed, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = both.drop("gone_lines").schema.add("n_lines", "long").add("n_removed", "long")
+    schema = both.drop(list_col).schema.add("n_lines", "long").add("n_removed", "long")
     return both.mapInArrow(cut, schema)
 
 

@@ -18,14 +18,19 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 _SETTINGS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings these operators rely on."""
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
+    # Python workers import this package from where the driver found it.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    return spark
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in _SETTINGS.items():
-                spark.conf.set(key, value)
-            # Python workers import this package from where the driver found it.
-            spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
-            return function(spark, sf_dir)
+            return function(prepare(spark), sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run
@@ -40,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Intermediate tables in the shared folder: what is read twice is written once.
 
