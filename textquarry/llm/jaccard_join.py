@@ -7,18 +7,21 @@ the pairs (subsets of fixed size two) of their first shingles, which few others
 for which that would be too many, scan the inverted lists of single shingles. The boundary is the
 size at which the two cost the same over all sets.
 
-Lists are never expanded into all their pairs. First every set is compared with one leader it shares
-a list with; sets so linked form components. Then only sets of one list that are still in different
-components are compared, leaving no link out. Exact intersections decide; an upper bound from small
+Lists are never expanded into all their pairs. In a few turns, sets outside the largest component of
+a list are compared with some of its members, and components grow. Then all sets of one list that
+are still in different components are compared, so no link between components is left out. Exact intersections decide; an upper bound from small
 bucket counts settles most unequal pairs before.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.llm.arrow_text import chunks
 from textquarry.llm.components import components
@@ -29,6 +32,9 @@ SHARE, WHOLE = 75, 100  # similarity of at least SHARE / WHOLE
 FREQUENT = 1 << 20  # shingles in the table of frequent ones, at most
 FILTER_BITS = 1 << 26  # of the filter of sets to compare
 MAX_SMALL = 512
+TRIED = 4  # sets of another component that a set is compared with in one turn
+GAIN = 0.8  # a turn that leaves more than this share of the comparisons is the last
+TURNS = 8  # turns at most; what they leave apart is compared in full
 
 
 def least_shared(n):
@@ -117,8 +123,8 @@ def _sets(frequent):
                 head = np.where(n > 0, np.minimum(n - least_shared(n) + 2, n), 0)
                 place = np.arange(len(value)) - np.repeat(ends - n, n)
                 front = place < head[owner]
-                # What scanning the lists of all but the last of these costs.
-                cost = np.where(place < head[owner] - 1, np.exp2(level[order]), 0)
+                # Scanning costs an entry in every list but the last's, sorted among the others.
+                cost = np.where(place < head[owner] - 1, 1 + level[order], 0)
                 sid = set_ids(value, ends, n)
                 bits = np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64) - 1, 0)
                 width = np.where(n > 0, 1 << bits, 0)
@@ -164,9 +170,10 @@ def boundary(sets: DataFrame) -> int:
 
 
 def _keys(limit: int):
-    """Task: (key, sid, n) of subsets of small sets and of single shingles of the others.
+    """Task: (key, sid, n, rest) of subsets of small sets and of single shingles of the others.
 
-    Sets near the boundary give both, as their partners may lie beyond it.
+    Sets near the boundary give both, as their partners may lie beyond it. rest bounds what the set
+    shares with one for which this is the first key both have: nothing before it is shared.
     """
 
     def run(batches):
@@ -174,37 +181,42 @@ def _keys(limit: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000)
-                keys, sids, sizes = [], [], []
+                keys, sids, sizes, rests = [], [], [], []
                 columns = (rows[c].to_numpy(zero_copy_only=False) for c in ("sid", "n", "head"))
                 for sid, n, head in zip(*columns, strict=True):
                     head = head.view(np.uint64) if len(head) else np.zeros(0, np.uint64)
-                    own = []
+                    own, rest = [], []
                     if n <= limit:
                         if len(head) not in corners:
                             corners[len(head)] = np.triu_indices(len(head), 1)
                         i, j = corners[len(head)]
                         low, high = np.minimum(head[i], head[j]), np.maximum(head[i], head[j])
                         own.append(mixed(low * np.uint64(0x9FB21C651E98DF25) ^ mixed(high)))
+                        rest.append(n - j + 1)
                     if n * WHOLE > limit * SHARE:
                         own.append(head[: n - least_shared(n) + 1])
+                        rest.append(n - np.arange(len(own[-1])))
                     own = np.concatenate(own)
                     keys.append(own)
                     sids.append(np.full(len(own), sid, np.int64))
                     sizes.append(np.full(len(own), n, np.int64))
+                    rests += rest
                 yield pa.RecordBatch.from_arrays(
                     [
                         _signed(np.concatenate(keys)),
                         pa.array(np.concatenate(sids)),
                         pa.array(np.concatenate(sizes)),
+                        pa.array(np.concatenate(rests).astype(np.int64)),
                     ],
-                    names=["key", "sid", "n"],
+                    names=["key", "sid", "n", "rest"],
                 )
 
     return run
 
 
-def _similar_sizes(a, b):
-    return (F.least(a, b) * WHOLE) >= (F.greatest(a, b) * SHARE)
+def _room(na, nb, *rests):
+    """Whether sets of these sizes may be similar if they share no more than the least of rests."""
+    return F.least(*rests, na, nb) * (WHOLE + SHARE) >= (na + nb) * SHARE
 
 
 def _may_link(batches):
@@ -269,88 +281,133 @@ class Near:
         schema = f"doc_id {id_type}, n long, sid long, head array<long>, cost double, buckets binary"
         self.docs = self.scratch.write(texts.mapInArrow(_sets(frequent), schema), "sets")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of sets that are similar, by their whole sets."""
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+    def whole_sets(self, wanted: DataFrame) -> DataFrame:
+        """(sid, shingles) of the distinct ids ``wanted``, read again from the texts.
+
+        Most other texts are left where they are by a filter of FILTER_BITS, whatever the input.
+        """
         slot = F.pmod("sid", F.lit(FILTER_BITS)) + 1
         rows = (
             wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
             .collect()
-        )  # FILTER_BITS in all, whatever the input
+        )
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for r in rows:
             part = np.frombuffer(bytes(r.bits), np.uint8)
             bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
         bits = self.spark.sparkContext.broadcast(bits)
         sets = self.texts.mapInArrow(_whole_sets(bits), "sid long, shingles binary")
-        sets = sets.join(wanted.distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-        sets = self.scratch.write(sets, "whole")
-        left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xa"))
-        right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("xb"))
+        sets = sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+        return self.scratch.write(sets, "whole")
+
+    def linked(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of sets that are similar."""
+        left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("xa"))
+        right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("xb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
-        out = self.scratch.write(both.mapInArrow(_links, "a long, b long"), "links")
-        self.scratch.drop(sets)
-        return out
+        return self.scratch.write(both.mapInArrow(_links, "a long, b long"), "links")
 
     def bounded(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs whose bucket counts do not rule the similarity out."""
         left, right = (
-            sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("buckets").alias(f"b{s}"))
+            sets.select(
+                F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("buckets").alias(f"b{s}")
+            )
             for s in "ab"
         )
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
         return self.scratch.write(both.mapInArrow(_may_link, "a long, b long"), "pairs")
 
+    def apart(
+        self, keys: DataFrame, roots: DataFrame | None, turn: int
+    ) -> tuple[DataFrame, DataFrame]:
+        """All entries with their component, and the lists that lie in several with their main one.
+
+        main is (size, root, TRIED sets of it, drawn by hash and turn, with their sizes).
+        """
+        member = keys.withColumn("root", F.col("sid"))
+        if roots is not None:
+            member = keys.join(roots, keys["sid"] == roots["node"], "left").select(
+                "key", "sid", "n", "rest", F.coalesce("root", "sid").alias("root")
+            )
+        member = self.scratch.write(member, "members")
+        drawn = [
+            F.min(F.struct(F.xxhash64(F.lit(turn * TRIED + k), "sid"), "sid", "n", "rest")).alias(f"t{k}")
+            for k in range(TRIED)
+        ]
+        parts = member.groupBy("key", "root").agg(F.count("*").alias("size"), *drawn)
+        lists = parts.groupBy("key").agg(
+            F.max(
+                F.struct("size", "root", F.array(*[f"t{k}" for k in range(TRIED)]).alias("tried"))
+            ).alias("main"),
+            F.count("*").alias("parts"),
+            F.sum("size").alias("length"),
+        )
+        lists = lists.where("parts > 1").drop("parts")
+        lists = self.scratch.write(lists, "apart")
+        return member, lists
+
     def components(self) -> DataFrame:
         """(node, root) over the ids of sets that are linked to another."""
         write = self.scratch.write
         sets = self.docs.where("n > 0").dropDuplicates(["sid"])
         sets = write(sets.select("sid", "n", "head", "cost", "buckets"), "distinct")
         keys = sets.select("sid", "n", "head").mapInArrow(
-            _keys(boundary(sets)), "key long, sid long, n long"
-        )
-        lists = keys.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-        keys = write(keys.join(lists.select("key"), "key"), "lists")
-
-        # A leader for each list and class of sizes within a factor of 4/3.
-        band = F.floor(F.log("n") / F.log(F.lit(WHOLE / SHARE))).cast("int")
-        banded = keys.withColumn("band", band)
-        leaders = banded.groupBy("key", "band").agg(F.min("sid").alias("leader"))
-        led = banded.join(leaders, ["key", "band"]).where("sid <> leader")
-        led = led.groupBy(F.col("sid").alias("a")).agg(F.min("leader").alias("b"))
-        first = self.linked(self.bounded(led, sets))
-        roots = components(first, self.scratch)
-
-        # Sets of one list in different components; the list's largest component only answers.
-        member = keys.join(roots, keys["sid"] == roots["node"], "left").select(
-            "key", "sid", "n", F.coalesce("root", "sid").alias("root")
-        )
-        member = write(member, "members")
-        parts = member.groupBy("key", "root").agg(F.count("*").alias("size"))
-        mixed_lists = parts.groupBy("key").agg(
-            F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("parts")
-        )
-        mixed_lists = mixed_lists.where("parts > 1").select("key", F.col("main.root").alias("main"))
-        member = write(member.join(mixed_lists, "key"), "apart")
-        x = member.where("root <> main").select(
-            "key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")
+            _keys(boundary(sets)), "key long, sid long, n long, rest long"
         )
+        lists = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("n").alias("least"))
+        keys = keys.join(lists.where("length > 1").select("key", "least"), "key")
+        # An entry that has no room even for the smallest set of its list is no first common key.
+        keys = keys.where(_room(F.col("n"), F.greatest("least", F.lit(0)), F.col("rest")))
+        keys = write(keys.drop("least"), "lists")
+        entries = keys.count()
+        wanted = write(keys.select("sid").distinct(), "wanted")
+        whole = self.whole_sets(wanted)
+
+        # Members outside a list's largest component try a few sets of it, the ones they share most
+        # lists with first. Few turns leave little to compare in full.
+        links, roots, turn, before = [], None, 0, float("inf")
+        while True:
+            member, lists = self.apart(keys, roots, turn)
+            left = lists.agg(F.sum((F.col("length") - F.col("main.size")) * F.col("length")))
+            left = left.first()[0] or 0
+            outside = member.join(lists, "key").where(F.col("root") != F.col("main.root"))
+            if left <= entries or turn == TURNS or left > GAIN * before:
+                break
+            before = left
+            tried = outside.select("sid", "n", "rest", F.explode("main.tried").alias("t"))
+            tried = tried.where(_room(*map(F.col, ("n", "t.n", "rest", "t.rest"))))
+            tried = tried.groupBy(F.col("sid").alias("a"), F.col("t.sid").alias("b"))
+            tried = tried.agg(F.count("*").alias("votes"))
+            best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+            tried = tried.withColumn("at", F.row_number().over(best)).where(F.col("at") <= TRIED)
+            links.append(self.linked(tried.select("a", "b"), whole))
+            roots = components(reduce(DataFrame.union, links), self.scratch)
+            turn += 1
+
+        # What is still apart is compared in full.
+        x = outside.select(
+            "key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
+            F.col("rest").alias("sa"), F.col("main.root").alias("main"),
+        )
         y = member.select(
-            "key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main"
-        )
-        apart = (
+            "key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
+            F.col("rest").alias("sb"),
+        )
+        rest = (
             x.join(
                 y,
                 (x["key"] == y["key"])
                 & (F.col("ra") != F.col("rb"))
                 & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-                & _similar_sizes(F.col("na"), F.col("nb")),
+                & _room(*map(F.col, ("na", "nb", "sa", "sb"))),
             )
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        rest = self.linked(self.bounded(apart, sets))
-        return components(first.union(rest), self.scratch)
+        links.append(self.linked(self.bounded(rest, sets), whole))
+        return components(reduce(DataFrame.union, links), self.scratch)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
