@@ -25,7 +25,9 @@ SAMPLE_CHARS = 50_000  # longer documents are not sampled
 UNDETERMINED = "und"
 _PAD = 2  # stands before every text
 _A = np.uint64(0xD6E8FEB86659FD93)
-_RESERVE = 1.5  # how far beyond the calibration texts a text must lie to be rejected
+# How far beyond the calibration texts a text must lie to be rejected, and in any case: 24 is 1.2
+# bits per character for a long text, where one in another alphabet lies 6 bits off.
+_RESERVE, _LEAST = 1.5, 24.0
 
 
 @functools.cache
@@ -161,7 +163,7 @@ class Models:
         The bound is one for all languages, since texts that mix two are normal in each.
         """
         self.mean = np.zeros(len(self.languages))
-        furthest = 0.1
+        furthest = 0.0
         logits, truth = [], []
         for i, language in enumerate(self.languages):
             raw = [t.encode() for t in texts.get(language, [])]
@@ -178,7 +180,7 @@ class Models:
                 truth += [i] * len(n)
         self.bound, self.scale = np.inf, 1.0
         if truth:
-            self.bound = _RESERVE * furthest
+            self.bound = max(_LEAST, _RESERVE * furthest)
             logits = np.concatenate(logits)
             losses = {
                 s: -np.log(_softmax(logits / s)[np.arange(len(truth)), truth] + 1e-12).mean()
