@@ -1,8 +1,7 @@
 """Cross-entropy difference of documents under a target and a background bigram model.
 
-Both models have one vocabulary (the words that repeat in the target documents, as far as its size
-allows, and one entry for all others), one order and one discount; only the documents they count
-differ. A document's score is the mean over its tokens of target loss less background loss: below
+Both models have one vocabulary (the most frequent words of all documents, as far as its size allows,
+and one entry for all others), one order and one discount; only the documents they count differ. A document's score is the mean over its tokens of target loss less background loss: below
 zero it reads more like the target.
 
 Counts cover all documents and stay distributed. Only what the vocabulary bounds is sent to every
@@ -92,7 +91,6 @@ def _tokens(vocabulary):
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows["doc_id"],
-                        rows["target"],
                         pa.array(
                             [
                                 token[a:b].tobytes()
@@ -101,7 +99,7 @@ def _tokens(vocabulary):
                             pa.binary(),
                         ),
                     ],
-                    names=["doc_id", "target", "tokens"],
+                    names=["doc_id", "tokens"],
                 )
 
     return run
@@ -117,33 +115,34 @@ def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (before << 16) | token, np.repeat(np.arange(len(n)), n)
 
 
-def _bigram_counts(batches):
-    """Task: (bigram, n_target, n) over the tokens it holds."""
-    seen, size = [], 0
-    one = np.int64(1) << 32  # n_target * one + n
+def _bigram_counts(target: bool):
+    """Task: (bigram, n_target, n) over the tokens it holds, one of the two zero."""
 
-    def emitted():
-        value, n = _uniques([s for s, _ in seen], [w for _, w in seen])
+    def emitted(seen):
+        value, n = _uniques(seen, [np.ones(len(s), np.int64) for s in seen])
         for at in range(0, len(value), 100_000):
             v, m = value[at : at + 100_000], n[at : at + 100_000]
+            none = np.zeros(len(v), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v), pa.array(m >> 32), pa.array(m & (one - 1))],
+                [pa.array(v), pa.array(m if target else none), pa.array(none if target else m)],
                 names=["bigram", "n_target", "n"],
             )
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            bigram, row = _bigrams(some["tokens"])
-            if len(bigram):
-                target = some["target"].to_numpy(zero_copy_only=False).astype(np.int64)
-                seen.append((bigram, 1 + one * target[row]))
-                size += len(bigram)
-            if size > _HELD:
-                yield from emitted()
-                seen, size = [], 0
-    if seen:
-        yield from emitted()
+    def run(batches):
+        seen, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                bigram, _ = _bigrams(batch.slice(at, 1000)["tokens"])
+                if len(bigram):
+                    seen.append(bigram)
+                    size += len(bigram)
+                if size > _HELD:
+                    yield from emitted(seen)
+                    seen, size = [], 0
+        if seen:
+            yield from emitted(seen)
+
+    return run
 
 
 def _losses(words_of):
@@ -160,7 +159,8 @@ def _losses(words_of):
                 total = np.maximum(context[before], 1)
                 own = np.maximum(n - DISCOUNT, 0) / total
                 left = np.where(context[before] > 0, DISCOUNT * kinds[before] / total, 1.0)
-                out.append(pa.array(-np.log2(own + left * unigram[token])))
+                loss = -np.log2(own + left * unigram[token])
+                out.append(pa.array(loss.astype(np.float32)))
             yield pa.RecordBatch.from_arrays(out, names=["bigram", "target", "background"])
 
     return run
@@ -180,9 +180,8 @@ def _common_sums(common):
                 place[place == len(key)] = 0
                 found = key[place] == bigram if len(key) else np.zeros(len(bigram), bool)
                 for loss in losses:
-                    out.append(
-                        np.bincount(row[found], loss[place[found]], minlength=some.num_rows)
-                    )
+                    total = np.bincount(row[found], loss[place[found]], minlength=some.num_rows)
+                    out.append(total.astype(float))
                 yield pa.RecordBatch.from_arrays(
                     [some["row"], some["doc_id"], *map(pa.array, out)],
                     names=["row", "doc_id", "n_tokens", "target", "background"],
@@ -256,28 +255,24 @@ def cross_entropy_difference(
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("id")).where("id IS NOT NULL")
     ids = ids.distinct()
-    in_target = chosen.join(ids, chosen["doc_id"] == ids["id"], "left_semi").select("text")
-    found = in_target.mapInArrow(_word_counts, "word long, n long")
+    found = chosen.select("text").mapInArrow(_word_counts, "word long, n long")
     found = scratch.write(found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     frequent = _most_frequent(found, "n", VOCABULARY).select("word").toArrow()["word"].to_numpy()
     vocabulary = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
 
-    marked = chosen.join(ids, chosen["doc_id"] == ids["id"], "left").select(
-        "doc_id", F.col("id").isNotNull().alias("target"), "text"
-    )
     id_type = chosen.schema["doc_id"].dataType.simpleString()
-    tokens = marked.mapInArrow(
-        _tokens(vocabulary), f"doc_id {id_type}, target boolean, tokens binary"
-    )
+    tokens = chosen.mapInArrow(_tokens(vocabulary), f"doc_id {id_type}, tokens binary")
     tokens = scratch.write(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
-    counts = tokens.select("target", "tokens").mapInArrow(
-        _bigram_counts, "bigram long, n_target long, n long"
-    )
+    # The target is joined to tokens, not texts: a fraction of their size.
+    target = tokens.join(ids, tokens["doc_id"] == ids["id"], "left_semi")
+    of_side = "bigram long, n_target long, n long"
+    counts = tokens.select("tokens").mapInArrow(_bigram_counts(False), of_side)
+    counts = counts.union(target.select("tokens").mapInArrow(_bigram_counts(True), of_side))
     counts = counts.groupBy("bigram").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
     counts = scratch.write(counts, "counts")
     per_word = spark.sparkContext.broadcast(_per_word(counts))
-    of_bigram = "bigram long, target double, background double"
+    of_bigram = "bigram long, target float, background float"
     often = _most_frequent(counts, "n", COMMON).mapInArrow(_losses(per_word), of_bigram).toArrow()
     key = often["bigram"].to_numpy()
     order = np.argsort(key)
