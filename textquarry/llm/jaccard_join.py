@@ -141,7 +141,7 @@ def _sets(frequent):
                         pa.ListArray.from_arrays(
                             pa.array(heads.astype(np.int32)), _signed(value[order][front])
                         ),
-                        pa.array(np.bincount(owner, cost, minlength=len(n))),
+                        pa.array(np.bincount(owner, cost, minlength=len(n)).astype(float)),
                         pa.array(
                             [filled[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
                             pa.binary(),

@@ -30,14 +30,15 @@ def _line_rows(chunk: Chunk, min_words: int) -> dict[str, np.ndarray]:
     """Lines that hold words: text, pos (line of the text), i, two hashes, and how many lines the
     shortest run of ``min_words`` words has that begins (ahead) or ends (back) here, 0 for none."""
     data = chunk.data
+    if not len(data):
+        return {k: np.zeros(0, np.int64) for k in ("text", "pos", "i", "h1", "h2", "ahead", "back")}
     begin, _ = word_spans(chunk)
     cuts = np.flatnonzero(data == 10) + 1
-    first = np.unique(np.concatenate([chunk.starts[chunk.starts < len(data)], cuts[cuts < len(data)]]))
+    first = np.concatenate([chunk.starts, cuts])
+    first = np.unique(first[first < len(data)])
     last = np.append(first[1:], len(data))
     text = np.searchsorted(chunk.ends, first, side="right")
-    last = np.where((last > first) & (data[last - 1] == 10) & (last <= chunk.ends[text]), last - 1, last)
-    if not len(first):
-        return {k: np.zeros(0, np.int64) for k in ("text", "pos", "i", "h1", "h2", "ahead", "back")}
+    last = np.where(data[last - 1] == 10, last - 1, last)
     pos = np.arange(len(first)) - np.searchsorted(text, text)
     n = np.diff(np.searchsorted(begin, np.append(first, len(data))))
     held = np.flatnonzero(n > 0)
