@@ -66,8 +66,8 @@ def test_sampled_answers_go_by_place_not_number(spark):
     results = spark.createDataFrame(
         [(q, f"q{q}", "z") for q in (3, 4, 5, 6, 7, 20)], "q bigint, question string, answer string"
     )
-    text = evaluation.sampled_answers_text(results, []).first()["text"]
-    assert text == "Q003: q3\nA: z\n\nQ020: q20\nA: z"
+    lines = evaluation.sampled_answers(results).orderBy("pos").collect()
+    assert [(r.pos, r.line) for r in lines] == [(1, "Q003: q3\nA: z"), (2, "Q020: q20\nA: z")]
 
 
 def test_resume_and_merge(spark):

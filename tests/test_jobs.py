@@ -180,17 +180,29 @@ def test_stream_prompts_and_results(spark, tmp_path):
     assert sum(line.value.startswith("Q00") for line in lines) == 2
 
 
-def test_shuffle_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+def test_settings_leave_the_shuffle_partitions_alone(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    (tmp_path / "data").write_bytes(b"x" * 9_000)
+    session.configure(spark)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "local-cluster[2,1,1024]", "x"
+
+    class Session:
+        conf = spark.conf
+        sparkContext = Context()
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
     try:
-        session.configure(spark, str(tmp_path))
-        assert spark.conf.get("spark.sql.shuffle.partitions") == before
-        monkeypatch.setattr(session, "PARTITION_BYTES", 1_000)
-        session.configure(spark, str(tmp_path))
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session())
+    except AssertionError:
+        assert spark.conf.get("spark.checkpoint.dir", None)  # a static setting stays
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.checkpoint.dir", folder)
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textquarry.operators.ordered import joined_text, number_rows, prefix_sum, with_lookback
+from textquarry.operators.ordered import number_rows, prefix_sum, with_lookback
 
 
 def hot_rows(seed=3):
@@ -50,15 +50,15 @@ def test_lookback_across_blocks(spark):
     assert got == want
 
 
-def test_joined_text_parts_make_the_whole(spark):
-    df = spark.createDataFrame(
-        [(k, i, f"l{i}") for k, n in ((0, 95), (1, 10), (2, 3)) for i in range(1, n + 1)],
-        "k int, pos bigint, line string",
-    ).repartition(4)
-    parts = joined_text(df, ["k"], "pos", "line", "\n", rows_per_part=10).collect()
-    assert max(len(p.text.split("\n")) for p in parts) == 10
-    whole = {}
-    for p in sorted(parts, key=lambda p: (p.k, p.part)):
-        whole.setdefault(p.k, []).append(p.text)
-    assert "\n".join(whole[0]) == "\n".join(f"l{i}" for i in range(1, 96))
-    assert [len(whole[k]) for k in range(3)] == [10, 1, 1]
+def test_lookback_reaches_over_several_blocks(spark):
+    df = spark.range(60).withColumnRenamed("id", "p")
+    out = with_lookback(df, "p", 8, {"seen": F.collect_list("p")}, block=3)
+    assert {r.p: r.seen for r in out.collect()} == {p: list(range(max(0, p - 8), p)) for p in range(60)}
+
+
+def test_blocks_follow_the_rows_not_the_gaps(spark):
+    ids = spark.range(2_000).select(F.xxhash64("id").alias("o"))
+    out = prefix_sum(ids, "o", 1, "n", block=100, keep_block=True)
+    assert out.select("_block").distinct().count() <= 2_000 / 100 + 2
+    rows = sorted((r.o, r.n) for r in out.collect())
+    assert [n for _, n in rows] == list(range(2_000))

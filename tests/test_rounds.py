@@ -1,5 +1,6 @@
 import json
 
+from pyspark.sql import functions as F
 
 from textquarry.functions.templates import ANSWERS_HEADING, ROUND_REVIEW
 from textquarry.operators import rounds
@@ -46,36 +47,26 @@ def expected_prompt(r):
     )
 
 
-def review(spark, rows_per_part):
+def test_review_prompt_of_pieces(spark):
     losses, proposals, results = tables(spark)
     outcome = rounds.with_round_history(rounds.with_outcome(losses, proposals))
-    parts = rounds.round_reviews(losses, outcome, results, rows_per_part=rows_per_part)
-    return sorted(parts.collect(), key=lambda p: (p.round, p.part))
-
-
-def test_review_prompt(spark):
-    got = review(spark, 10_000)
-    assert [(p.round, p.part) for p in got] == [(1, 0), (2, 0), (3, 0), (5, 0)]
-    for part in got:
-        assert part.text == expected_prompt(part.round)
-
-
-def test_review_parts_join_to_the_same_prompt(spark):
+    pieces = rounds.round_reviews(losses, outcome, results).orderBy("round", "pos").collect()
     whole = {}
-    for part in review(spark, 2):
-        whole[part.round] = whole.get(part.round, "") + part.text
+    for r in pieces:
+        whole[r.round] = whole.get(r.round, "") + r.text
     assert whole == {r: expected_prompt(r) for r in (1, 2, 3, 5)}
 
 
-def test_round_records_continue_in_parts(spark):
-    losses, proposals, _ = tables(spark, hot=25)
+def test_a_round_is_one_record_at_any_size(spark):
+    losses, proposals, _ = tables(spark, hot=12_000)
     outcome = rounds.with_outcome(losses, proposals)
-    records = rounds.round_records(losses, outcome, "out", rows_per_part=10).collect()
-    hot = sorted((r for r in records if r.round == 6), key=lambda r: r.part)
-    assert [len(r.loss_log) for r in hot] == [10, 10, 5]
-    assert [e.step for r in hot for e in r.loss_log] == list(range(25))
+    when = F.to_timestamp(F.lit("2026-01-02 03:04:05"))
+    records = rounds.round_records(losses, outcome, "out", timestamp=when).collect()
+    (hot,) = [r for r in records if r.round == 6]
+    assert [e.step for e in hot.loss_log] == list(range(12_000))
     third = next(r for r in records if r.round == 3)
-    assert third.adapter_dir == "out/round_03_adapter" and third.patch["r"] == "99"
+    assert third.adapter_dir == "out/round_03_adapter" and third.patch["r"].toJson() == "99"
+    assert third.timestamp == "2026-01-02T03:04:05"
     assert third.changes == ["  learning_rate: 5e-05 → 0.0001", "  r: 16 → 64"]
     assert not [r for r in records if r.round == 4]  # no losses, no record
 
@@ -84,8 +75,8 @@ def test_round_log_round_trip(spark, tmp_path):
     losses, proposals, _ = tables(spark)
     records = rounds.round_records(losses, rounds.with_outcome(losses, proposals), "out")
     sinks.write_round_log(records, str(tmp_path / "log"))
-    back = spark.read.schema(records.schema).json(str(tmp_path / "log"))
-    assert sorted(map(str, back.collect())) == sorted(map(str, records.collect()))
+    back = spark.read.schema(records.schema).json(str(tmp_path / "log")).drop("timestamp")
+    assert sorted(map(str, back.collect())) == sorted(map(str, records.drop("timestamp").collect()))
 
 
 def test_best_round_prefers_the_earlier(spark):
@@ -127,6 +118,7 @@ def test_loss_summary_formats(spark):
         [("a", 1, 10, 1.23456), ("a", 1, 9, 2.0), ("a", 1, 12345, 0.00005)],
         "run_id string, round bigint, step bigint, loss double",
     )
-    assert rounds.loss_summary(df).first()["text"] == "\n".join(
+    lines = rounds.loss_summary(df).orderBy("pos").collect()
+    assert "\n".join(r.text for r in lines) == "\n".join(
         f"  step {s:4d}: loss={v:.4f}" for s, v in ((9, 2.0), (10, 1.23456), (12345, 0.00005))
     )

@@ -36,7 +36,7 @@ def prefix_sum(
     """Add ``out``: the sum of ``value`` over the rows before this one inside its group.
 
     ``order`` is an integer column, unique and not null inside a group; ``keys`` are not null.
-    Rows are shuffled once, by group and block, and blocks hold at most ``block`` rows. With
+    Rows are shuffled once, by group and block, and blocks hold about ``block`` rows. With
     ``keep_block`` the rows also tell their ``_value``, their ``_block`` and its sums,
     ``_block_start`` before it and ``_block_end`` after it.
 
@@ -45,7 +45,13 @@ def prefix_sum(
     """
     keys = list(keys)
     value = F.lit(value) if isinstance(value, int) else value
-    in_block = whole_quotient(F.col(order), block).alias("_block")
+    # Blocks of equal width in the order column, as wide as gives ``block`` rows on average: ids
+    # that are hashes or timestamps leave gaps, and blocks must follow the rows, not the gaps.
+    low, high = F.min(order).cast("double"), F.max(order).cast("double")
+    width = F.ceil((high - low + 1) / F.ceil(F.count("*") / block))
+    width = F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("bigint")
+    width = df.agg(width.alias("width")).scalar()
+    in_block = F.call_function("div", F.col(order), width).cast("bigint").alias("_block")
     blocked = df.select("*", in_block)
     if costly:
         blocked = blocked.repartition(*keys, "_block")
@@ -102,15 +108,14 @@ def with_lookback(
 ) -> DataFrame:
     """Add aggregate ``columns`` over the ``reach`` rows before each row of its group.
 
-    ``position`` counts a group's rows without gaps. Each block borrows the last ``reach`` rows of
-    the block before it, so a window never needs a whole group. Rows grow by ``reach / block``.
+    ``position`` counts a group's rows without gaps. Each row is lent to every block within its
+    reach, so a window never needs a whole group. Rows grow by ``reach / block``.
     """
     place = F.col(position)
     own = whole_quotient(place, block)
-    home = F.struct(own.alias("block"), F.lit(True).alias("home"))
-    next_block = F.struct((own + 1).alias("block"), F.lit(False).alias("home"))
-    copies = F.when(place % block >= block - reach, F.array(home, next_block)).otherwise(
-        F.array(home)
+    blocks = F.sequence(own, whole_quotient(place + reach, block))
+    copies = F.transform(
+        blocks, lambda b: F.struct(b.alias("block"), (b == own).alias("home"))
     )
     rows = df.withColumn("_copy", F.explode(copies))
     frame = (
@@ -127,24 +132,3 @@ def ordered_list(value: Column, position: str = "pos") -> Column:
     """Aggregate: ``value`` of a bounded group in ``position`` order."""
     items = F.collect_list(F.struct(F.col(position).alias("at"), value.alias("value")))
     return F.transform(F.array_sort(items), lambda item: item["value"])
-
-
-def joined_text(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    text: str,
-    separator: str,
-    out: str = "text",
-    rows_per_part: int = BLOCK,
-) -> DataFrame:
-    """Ordered string aggregate in parts of at most ``rows_per_part`` rows.
-
-    The parts of a group, joined by ``separator`` in ``part`` order, are its whole text. A group
-    up to ``rows_per_part`` rows has one part; a larger one never meets in one task.
-    """
-    part = whole_quotient(F.col(position) - 1, rows_per_part)
-    return (
-        df.groupBy(*keys, part.alias("part"))
-        .agg(F.array_join(ordered_list(F.col(text), position), separator).alias(out))
-    )

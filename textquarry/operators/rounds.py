@@ -17,12 +17,9 @@ from textquarry.functions.prompts import split_template
 from textquarry.functions.text import fixed_decimals, truncate_answer_lines
 from textquarry.operators.evaluation import sampled_answers
 from textquarry.operators.ordered import (
-    BLOCK,
-    joined_text,
     number_rows,
     ordered_list,
     with_lookback,
-    whole_quotient,
 )
 from textquarry.operators.patches import (
     Bounds,
@@ -55,11 +52,9 @@ def loss_lines(losses: DataFrame) -> DataFrame:
     return numbered.select(*ROUND, "pos", line.alias("line"))
 
 
-def loss_summary(losses: DataFrame, rows_per_part: int = BLOCK) -> DataFrame:
-    """``(run_id, round, part, text)``: the loss curve as lines."""
-    return joined_text(
-        loss_lines(losses), ROUND, "pos", "line", "\n", rows_per_part=rows_per_part
-    )
+def loss_summary(losses: DataFrame) -> DataFrame:
+    """``(run_id, round, pos, text)``: the loss curve, a row per line."""
+    return loss_lines(losses).withColumnRenamed("line", "text")
 
 
 def best_round(rounds: DataFrame) -> DataFrame:
@@ -135,14 +130,12 @@ def round_reviews(
     rounds: DataFrame,
     results: DataFrame,
     bounds: Bounds = BOUNDS,
-    rows_per_part: int = BLOCK,
 ) -> DataFrame:
-    """``(run_id, round, part, text)``: the review prompt of every round.
+    """``(run_id, round, pos, text)``: the review prompt of every round.
 
     ``rounds`` comes from ``with_round_history``, ``results`` holds ``(run_id, round, q, question,
-    answer)``. The prompt is laid out as numbered pieces, so its parts, joined, are the whole
-    prompt, and a round with a huge curve or answer sheet still never meets in one task. A prompt
-    of up to ``rows_per_part`` pieces is one part.
+    answer)``. The prompt is laid out as numbered pieces which, joined in order, are the whole: a
+    round with a huge curve or answer sheet never meets in one task.
     """
     before, after_round, after_config, after_losses, after_history, after_answers = [
         F.lit(literal) for literal, _ in split_template(templates.ROUND_REVIEW)
@@ -176,12 +169,10 @@ def round_reviews(
     )
     framed = frame.select(*ROUND, F.inline(own))
     curve = loss_lines(losses).select(*piece(F.col("pos") + 1, after_first("\n", "line")))
-    counts = losses.groupBy(*ROUND).agg(F.count("*").alias("n_losses"))
-    sampled = answers.join(counts, ROUND).select(
+    sampled = answers.join(rounds.select(*ROUND, "n_losses"), ROUND).select(
         *piece(F.col("n_losses") + 2 + F.col("pos"), after_first("\n\n", "line"))
     )
-    pieces = framed.unionByName(curve).unionByName(sampled)
-    return joined_text(pieces, ROUND, "pos", "text", "", rows_per_part=rows_per_part)
+    return framed.unionByName(curve).unionByName(sampled)
 
 
 def fit_budget(
@@ -194,8 +185,8 @@ def fit_budget(
     """Shorten answer lines just enough for the whole prompt to fit ``budget`` characters.
 
     Adds ``answer_limit`` (null for the full text) and ``fits``; when even the last limit is too
-    long ``text`` is null and ``fits`` false. Works on prompts in parts: lengths are summed over
-    them, and answer lines never cross a part border.
+    long ``text`` is null and ``fits`` false. Works on prompts in pieces: lengths are summed over
+    them, and answer lines never cross a border of pieces.
     """
     tries: list[int | None] = [None, *limits]
 
@@ -226,28 +217,31 @@ def fit_budget(
 
 
 def round_records(
-    losses: DataFrame, rounds: DataFrame, output_dir: str, bounds: Bounds = BOUNDS,
-    rows_per_part: int = BLOCK,
+    losses: DataFrame,
+    rounds: DataFrame,
+    output_dir: str,
+    bounds: Bounds = BOUNDS,
+    timestamp: Column | None = None,
 ) -> DataFrame:
-    """Nested record of every round, as written to the experiment log.
+    """Nested record of every round, as written to the experiment log: one row each.
 
-    ``loss_log`` of a round with more than ``rows_per_part`` entries continues in further parts.
+    A record holds its round's whole loss log, which is as long as the round had logged steps.
+    ``timestamp`` is when the round was recorded, now by default.
     """
-    numbered = number_rows(losses, "step", "pos", ROUND)
-    part = whole_quotient(F.col("pos") - 1, rows_per_part)
-    logs = numbered.groupBy(*ROUND, part.alias("part")).agg(
-        ordered_list(F.struct("step", "loss")).alias("loss_log")
+    recorded = F.current_timestamp() if timestamp is None else timestamp
+    logs = losses.groupBy(*ROUND).agg(
+        ordered_list(F.struct("step", "loss"), "step").alias("loss_log")
     )
     name = F.concat(F.lit(f"{output_dir}/round_"), F.format_string("%02d", "round"))
     return logs.join(rounds, ROUND).select(
         *ROUND,
-        "part",
+        F.date_format(recorded, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         tunable("config", bounds).alias("config"),
         "loss_log",
         "start_loss",
         "end_loss",
         F.col("response").alias("lm_response"),
-        F.transform_values("patch", lambda _, v: v.cast("string")).alias("patch"),
+        "patch",
         "changes",
         F.concat(name, F.lit("_adapter")).alias("adapter_dir"),
         F.concat(name, F.lit("_answers.txt")).alias("eval_answers"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import templates, tokens
 from textquarry.functions.parsing import extract_object
+from textquarry.functions.prompts import split_template
 from textquarry.functions.text import strip, word_count
 from textquarry.operators import chat, evaluation, packing, patches, rounds, trajectory
 from textquarry.operators.ordered import whole_quotient
@@ -109,9 +110,7 @@ def first_last(spark, sf_dir) -> DataFrame:
     "a_loss_summary",
     f"""WITH l AS ({SQL_LOSSES}),
         n AS (SELECT *, row_number() OVER (PARTITION BY run_id, round ORDER BY step) AS pos FROM l)
-        SELECT run_id, round, (pos - 1) // 10000::BIGINT AS part,
-               string_agg({SQL_LOSS_LINE}, chr(10) ORDER BY step) AS text
-        FROM n GROUP BY ALL""",
+        SELECT run_id, round, pos, {SQL_LOSS_LINE} AS text FROM n""",
 )
 def loss_summary(spark, sf_dir) -> DataFrame:
     return rounds.loss_summary(loss_table(spark, sf_dir))
@@ -150,7 +149,7 @@ def round_history(spark, sf_dir) -> DataFrame:
     f"""WITH l AS ({SQL_LOSSES}),
         c AS (SELECT run_id, round, string_agg(step || '=' || loss, ' ' ORDER BY step) AS loss_log
               FROM l GROUP BY run_id, round)
-        SELECT run_id, round, 0::BIGINT AS part, {len(K_BOUNDS)} AS n_settings, 50.0::DOUBLE AS k, loss_log,
+        SELECT run_id, round, '2026-01-02T03:04:05' AS timestamp, {len(K_BOUNDS)} AS n_settings, 50.0::DOUBLE AS k, loss_log,
                start_loss, end_loss, 'Try this:' || chr(10) || props AS lm_response,
                json_extract_string(props, '$.k') AS patch_k,
                coalesce(change, '') AS changes,
@@ -161,20 +160,21 @@ def round_history(spark, sf_dir) -> DataFrame:
 def round_records(spark, sf_dir) -> DataFrame:
     """Records with their nested fields shown as text."""
     records = rounds.round_records(
-        loss_table(spark, sf_dir), _outcome(spark, sf_dir), "out", K_BOUNDS
+        loss_table(spark, sf_dir), _outcome(spark, sf_dir), "out", K_BOUNDS,
+        F.to_timestamp(F.lit("2026-01-02 03:04:05")),
     )
     entry = lambda e: F.concat(e["step"].cast("string"), F.lit("="), e["loss"].cast("string"))
     return records.select(
         "run_id",
         "round",
-        "part",
+        "timestamp",
         F.size("config").alias("n_settings"),
         F.try_element_at("config", F.lit("k")).alias("k"),
         F.array_join(F.transform("loss_log", entry), " ").alias("loss_log"),
         "start_loss",
         "end_loss",
         "lm_response",
-        F.try_element_at("patch", F.lit("k")).alias("patch_k"),
+        F.try_element_at("patch", F.lit("k")).cast("string").alias("patch_k"),
         F.array_join("changes", "|").alias("changes"),
         "adapter_dir",
         "eval_answers",
@@ -201,29 +201,37 @@ def _round_sheets(spark, sf_dir) -> DataFrame:
     )
 
 
-SQL_SAMPLED = """
-    string_agg(printf('Q%03d: ', q) || question || chr(10) || 'A: ' || left(answer, 600)
-               || CASE WHEN length(answer) > 600 THEN '…' ELSE '' END, chr(10) || chr(10)
-               ORDER BY q) FILTER ((q - 1) % 5 = 0)
+SQL_SAMPLED = f"""
+    SELECT run_id, round, (q - 1) // 5 + 1 AS pos,
+           printf('Q%03d: ', q) || question || chr(10) || 'A: ' || left(answer, 600)
+           || CASE WHEN length(answer) > 600 THEN '…' ELSE '' END AS text
+    FROM ({SQL_ROUND_SHEETS}) WHERE (q - 1) % 5 = 0
 """
+REVIEW = [sql_text(literal) for literal, _ in split_template(templates.ROUND_REVIEW)]
 
 
 @query(
     "c_round_review",
     f"""WITH l AS ({SQL_LOSSES}),
-        c AS (SELECT run_id, round, string_agg({SQL_LOSS_LINE}, chr(10) ORDER BY step) AS losses
-              FROM l GROUP BY run_id, round),
-        a AS (SELECT run_id, round, {SQL_SAMPLED} AS answers
-              FROM ({SQL_ROUND_SHEETS}) GROUP BY run_id, round)
-        SELECT run_id, round, 0::BIGINT AS part, {sql_render(
-            templates.ROUND_REVIEW,
-            round="round",
-            config=sql_text(SQL_CONFIG),
-            losses="losses",
-            history="history",
-            answers=f"coalesce({sql_text(templates.ANSWERS_HEADING)} || answers, '')",
-        )} AS text
-        FROM ({SQL_HISTORY}) JOIN c USING (run_id, round) LEFT JOIN a USING (run_id, round)""",
+        c AS (SELECT run_id, round, row_number() OVER w AS pos, {SQL_LOSS_LINE} AS text
+              FROM l WINDOW w AS (PARTITION BY run_id, round ORDER BY step)),
+        a AS ({SQL_SAMPLED}),
+        h AS (SELECT run_id, round, history, count(DISTINCT c.pos) AS n, count(DISTINCT a.pos) AS m
+              FROM ({SQL_HISTORY}) JOIN c USING (run_id, round) LEFT JOIN a USING (run_id, round)
+              GROUP BY ALL)
+        SELECT run_id, round, 1 AS pos, {REVIEW[0]} || round || {REVIEW[1]}
+               || {sql_text(SQL_CONFIG)} || {REVIEW[2]} AS text FROM h
+        UNION ALL
+        SELECT run_id, round, pos + 1, CASE WHEN pos > 1 THEN chr(10) ELSE '' END || text FROM c
+        UNION ALL
+        SELECT run_id, round, n + 2, {REVIEW[3]} || history || {REVIEW[4]}
+               || CASE WHEN m > 0 THEN {sql_text(templates.ANSWERS_HEADING)} ELSE '' END FROM h
+        UNION ALL
+        SELECT run_id, round, n + 2 + pos,
+               CASE WHEN pos > 1 THEN chr(10) || chr(10) ELSE '' END || text
+        FROM a JOIN h USING (run_id, round)
+        UNION ALL
+        SELECT run_id, round, n + m + 3, {REVIEW[5]} FROM h""",
 )
 def round_review(spark, sf_dir) -> DataFrame:
     history = rounds.with_round_history(_outcome(spark, sf_dir))
@@ -268,11 +276,11 @@ def clamp_patch(spark, sf_dir) -> DataFrame:
 
 @query(
     "a_sample_answers",
-    f"""SELECT run_id, round, 0::BIGINT AS part, {SQL_SAMPLED} AS text
-        FROM ({SQL_ROUND_SHEETS}) GROUP BY run_id, round HAVING min(q) = 1""",
+    SQL_SAMPLED,
 )
 def sample_answers(spark, sf_dir) -> DataFrame:
-    return evaluation.sampled_answers_text(_round_sheets(spark, sf_dir), rounds.ROUND)
+    lines = evaluation.sampled_answers(_round_sheets(spark, sf_dir), rounds.ROUND)
+    return lines.withColumnRenamed("line", "text")
 
 
 RULE, THIN = "=" * 70, "-" * 70
@@ -304,7 +312,7 @@ def closed_report(spark, sf_dir) -> DataFrame:
 @query(
     "k_open_report",
     f"""WITH r AS (SELECT doc_id + 1 AS row, lang, 'What is in it?' AS question,
-                          len({sql_words("text")}) AS context_length, left(text, 40) AS answer
+                          len({sql_words("text")}) AS context_length, text AS answer
                    FROM documents)
         SELECT lang, 0 AS pos, 'RAG EVALUATION RESULTS' || chr(10) || 'Model  : ' || lang
                || chr(10) || 'Input  : documents' || chr(10) || 'Rows answered: ' || count(*)
@@ -322,7 +330,7 @@ def open_report(spark, sf_dir) -> DataFrame:
         (F.col("doc_id") + 1).alias("row"),
         F.lit("What is in it?").alias("question"),
         word_count("text").alias("context_length"),
-        F.left("text", F.lit(40)).alias("answer"),
+        F.col("text").alias("answer"),
     )
     total = docs.agg(F.count("*"))
     return evaluation.open_book_report(results, total, F.col("lang"), "documents", ["lang"])

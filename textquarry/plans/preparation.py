@@ -287,7 +287,7 @@ BUDGET = 2_000
                    {_sql_cut_lines(SQL_ANSWER_LINES, 200)} AS t2,
                    {_sql_cut_lines(SQL_ANSWER_LINES, 100)} AS t3
             FROM documents)
-        SELECT doc_id, 0 AS part,
+        SELECT doc_id, 0 AS pos,
                CASE WHEN length(t0) <= {BUDGET} THEN 0 WHEN length(t1) <= {BUDGET} THEN 500
                     WHEN length(t2) <= {BUDGET} THEN 200 WHEN length(t3) <= {BUDGET} THEN 100
                     ELSE -1 END AS answer_limit,
@@ -299,7 +299,7 @@ BUDGET = 2_000
 )
 def budget(spark, sf_dir) -> DataFrame:
     texts = corpus(spark, sf_dir).select(
-        "doc_id", F.lit(0).alias("part"), _answer_lines().alias("text")
+        "doc_id", F.lit(0).alias("pos"), _answer_lines().alias("text")
     )
     fitted = fit_budget(texts, ["doc_id"], BUDGET)
     limit = F.when(F.col("fits"), F.coalesce("answer_limit", F.lit(0))).otherwise(-1)

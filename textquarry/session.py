@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,44 +15,38 @@ _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# Stored bytes per shuffle partition, and the number of partitions above which their bookkeeping
-# costs more than larger ones do.
-PARTITION_BYTES = 256 << 20
-MAX_PARTITIONS = 100_000
-
 _local_dirs: dict[str, str] = {}
 
 
-def configure(spark: SparkSession, input_path: str | None = None) -> SparkSession:
+def configure(spark: SparkSession) -> SparkSession:
     """Apply the session settings the operators rely on.
 
-    With ``input_path``, shuffles get enough partitions for the bytes stored there; a larger
-    setting is kept, and adaptive execution merges what turns out small.
+    The number of shuffle partitions stays the caller's: set it, or
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``, for the size of the cluster;
+    adaptive execution merges what turns out small.
     """
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
-    if input_path is not None:
-        path, fs = hadoop(spark, input_path)
-        wanted = min(fs.getContentSummary(path).getLength() // PARTITION_BYTES, MAX_PARTITIONS)
-        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a folder of its own; elsewhere a missing
-    setting is an error, since a machine-local folder would be lost with its executor.
+    Only a session that runs in this one process and names none gets a folder of its own; elsewhere
+    a missing setting is an error, since a machine-local folder would be lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="textquarry-")
+        folder = tempfile.mkdtemp(prefix="textquarry-")
+        path, fs = hadoop(spark, f"file://{folder}")
+        fs.deleteOnExit(path)
+        _local_dirs[context.applicationId] = folder
     return _local_dirs[context.applicationId]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +28,19 @@ def scan_open_book(spark: SparkSession, path: str) -> DataFrame:
 def scan_open_book_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects per file, or an object whose first value is that array.
 
-    ``row`` counts from 1 inside each file. Files are read whole, in parallel.
+    ``row`` counts from 1 inside each file. Files are read whole, in parallel, so a file is one
+    task's work and at most 2 GB; larger sets come as CSV. A body that is neither is an error.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), strip("value").alias("body")
     )
-    first_key = F.get(F.json_object_keys("body"), F.lit(0))
-    rows = F.when(
-        F.startswith("body", F.lit("{")),
-        F.call_function(
-            "get_json_object", F.col("body"), F.concat(F.lit("$['"), first_key, F.lit("']"))
-        ),
-    ).otherwise(F.col("body"))
+    # Read as a map, the values of an envelope stay JSON text and any key will do.
+    envelope = F.from_json("body", "map<string,string>", {"mode": "FAILFAST"})
+    first_value = envelope[F.get(F.json_object_keys("body"), F.lit(0))]
+    body = F.when(F.startswith("body", F.lit("{")), first_value).otherwise(F.col("body"))
+    message = F.concat(F.lit("no array of rows in "), F.col("file"))
+    is_array = F.startswith(body, F.lit("["))
+    rows = F.when(is_array, body).otherwise(F.raise_error(message).cast("string"))
     parsed = F.from_json(rows, f"array<struct<{schemas.OPEN_BOOK}>>", {"mode": "FAILFAST"})
     return files.select("file", F.posexplode(parsed).alias("pos", "item")).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("row"), "item.*"
@@ -96,10 +99,19 @@ def scan_results(spark: SparkSession, path: str, schema: str = schemas.CLOSED_RE
     """Earlier results, as JSON lines or JSON arrays; no rows when there are none yet."""
     if not _matches(spark, path):
         return spark.createDataFrame([], schema)
-    first_line = spark.read.text(path).where(not_blank("value")).first()
-    is_array = first_line is not None and first_line["value"].lstrip().startswith("[")
+    # Each file tells its own form: an array begins with a bracket, lines with an object.
+    lines = spark.read.text(path).where(not_blank("value")).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.startswith(F.ltrim("value"), F.lit("[")).alias("opens"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("opens", "at").alias("is_array"))
+    forms = {r.is_array: r.files for r in
+             first.groupBy("is_array").agg(F.collect_list("file").alias("files")).collect()}
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return reader.option("multiLine", is_array).json(path)
+    parts = [
+        reader.option("multiLine", is_array).json(files) for is_array, files in sorted(forms.items())
+    ]
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def scan_loss_log(spark: SparkSession, path: str) -> DataFrame:
