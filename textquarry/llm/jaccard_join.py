@@ -9,8 +9,8 @@ size at which the two cost the same over all sets.
 
 Lists are never expanded into all their pairs. In a few turns, sets outside the largest component of
 a list are compared with some of its members, and components grow. Then all sets of one list that
-are still in different components are compared, so no link between components is left out. Exact intersections decide; an upper bound from small
-bucket counts settles most unequal pairs before.
+are still in different components are compared, so no link between components is left out. Exact
+intersections decide.
 """
 
 from __future__ import annotations
@@ -90,7 +90,8 @@ def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarra
     """
     counts = texts.mapInArrow(_local_counts, "shingle long, n long")
     counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = Scratch(texts.sparkSession, "near-copies").write(counts, "frequent")
+    scratch = Scratch(texts.sparkSession, "near-copies")
+    counts = scratch.write(counts, "frequent")
     level = F.floor(F.log2("n")).cast("int")
     sizes = dict(counts.groupBy(level.alias("level")).agg(F.count("*")).collect())
     total, least = 0, 63
@@ -100,6 +101,7 @@ def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarra
             break
         least = found
     rows = counts.where(level >= least).select("shingle", level.alias("level")).toArrow()
+    scratch.drop(counts)
     value = rows["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(value)
     return value[order], rows["level"].to_numpy().astype(np.int16)[order]
@@ -126,11 +128,6 @@ def _sets(frequent):
                 # Scanning costs an entry in every list but the last's, sorted among the others.
                 cost = np.where(place < head[owner] - 1, 1 + level[order], 0)
                 sid = set_ids(value, ends, n)
-                bits = np.maximum(np.log2(np.maximum(n, 1)).astype(np.int64) - 1, 0)
-                width = np.where(n > 0, 1 << bits, 0)
-                at = np.concatenate([[0], np.cumsum(width)])
-                bucket = (value >> np.uint64(32)).astype(np.int64) >> (32 - bits[owner])
-                filled = np.bincount(at[owner] + bucket, minlength=at[-1]).astype(np.uint8)
                 heads = np.concatenate([[0], np.cumsum(head)])
                 rows = batch.slice(chunk.first, len(n))
                 yield pa.RecordBatch.from_arrays(
@@ -142,12 +139,8 @@ def _sets(frequent):
                             pa.array(heads.astype(np.int32)), _signed(value[order][front])
                         ),
                         pa.array(np.bincount(owner, cost, minlength=len(n)).astype(float)),
-                        pa.array(
-                            [filled[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
-                            pa.binary(),
-                        ),
                     ],
-                    names=["doc_id", "n", "sid", "head", "cost", "buckets"],
+                    names=["doc_id", "n", "sid", "head", "cost"],
                 )
 
     return run
@@ -219,22 +212,6 @@ def _room(na, nb, *rests):
     return F.least(*rests, na, nb) * (WHOLE + SHARE) >= (na + nb) * SHARE
 
 
-def _may_link(batches):
-    """Task: pairs whose bucket counts leave room for the similarity."""
-    for batch in batches:
-        keep = []
-        columns = (batch[c].to_pylist() for c in ("na", "nb", "ba", "bb"))
-        for na, nb, x, y in zip(*columns, strict=True):
-            x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
-            while len(x) > len(y):
-                x = x[::2] + x[1::2]
-            while len(y) > len(x):
-                y = y[::2] + y[1::2]
-            shared = int(np.minimum(x, y).sum())
-            keep.append(WHOLE * shared >= SHARE * (na + nb - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _links(batches):
     """Task: pairs that are similar."""
     for batch in batches:
@@ -243,7 +220,7 @@ def _links(batches):
             x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
             shared = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(WHOLE * shared >= SHARE * (len(x) + len(y) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.drop_columns(["xa", "xb"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _whole_sets(wanted):
@@ -270,6 +247,16 @@ def _whole_sets(wanted):
     return run
 
 
+def _moved(links: DataFrame) -> DataFrame:
+    """(root, moved): every component that links reach takes the least root around a common one."""
+    ends = links.select("from_root", "to_root").distinct()
+    least = ends.groupBy("to_root").agg(F.min("from_root").alias("moved"))
+    least = least.select("to_root", F.least("to_root", "moved").alias("moved"))
+    around = ends.join(least, "to_root").select(F.col("from_root").alias("root"), "moved")
+    around = around.union(least.select(F.col("to_root").alias("root"), "moved"))
+    return around.groupBy("root").agg(F.min("moved").alias("moved"))
+
+
 class Near:
     """One run of the join over a table of (doc_id, text)."""
 
@@ -278,7 +265,7 @@ class Near:
         self.scratch = Scratch(self.spark, "near-copies")
         frequent = self.spark.sparkContext.broadcast(frequent_shingles(texts))
         id_type = texts.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {id_type}, n long, sid long, head array<long>, cost double, buckets binary"
+        schema = f"doc_id {id_type}, n long, sid long, head array<long>, cost double"
         self.docs = self.scratch.write(texts.mapInArrow(_sets(frequent), schema), "sets")
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
@@ -302,22 +289,11 @@ class Near:
         return self.scratch.write(sets, "whole")
 
     def linked(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of sets that are similar."""
+        """Those of the pairs (a, b) of sets that are similar, with all their columns."""
         left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("xa"))
         right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("xb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb")
-        return self.scratch.write(both.mapInArrow(_links, "a long, b long"), "links")
-
-    def bounded(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs whose bucket counts do not rule the similarity out."""
-        left, right = (
-            sets.select(
-                F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("buckets").alias(f"b{s}")
-            )
-            for s in "ab"
-        )
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb")
-        return self.scratch.write(both.mapInArrow(_may_link, "a long, b long"), "pairs")
+        both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "xa", "xb")
+        return self.scratch.write(both.mapInArrow(_links, pairs.schema), "links")
 
     def apart(
         self, keys: DataFrame, roots: DataFrame | None, turn: int
@@ -328,14 +304,13 @@ class Near:
         """
         member = keys.withColumn("root", F.col("sid"))
         if roots is not None:
-            member = keys.join(roots, keys["sid"] == roots["node"], "left").select(
-                "key", "sid", "n", "rest", F.coalesce("root", "sid").alias("root")
-            )
+            member = keys.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         member = self.scratch.write(member, "members")
         drawn = [
-            F.min(F.struct(F.xxhash64(F.lit(turn * TRIED + k), "sid"), "sid", "n", "rest")).alias(f"t{k}")
+            F.min(F.struct(F.xxhash64(F.lit(turn * TRIED + k), "sid"), "sid", "n", "rest"))
             for k in range(TRIED)
         ]
+        drawn = [d.alias(f"t{k}") for k, d in enumerate(drawn)]
         parts = member.groupBy("key", "root").agg(F.count("*").alias("size"), *drawn)
         lists = parts.groupBy("key").agg(
             F.max(
@@ -344,29 +319,25 @@ class Near:
             F.count("*").alias("parts"),
             F.sum("size").alias("length"),
         )
-        lists = lists.where("parts > 1").drop("parts")
-        lists = self.scratch.write(lists, "apart")
-        return member, lists
+        return member, self.scratch.write(lists.where("parts > 1").drop("parts"), "apart")
 
     def components(self) -> DataFrame:
         """(node, root) over the ids of sets that are linked to another."""
-        write = self.scratch.write
-        sets = self.docs.where("n > 0").dropDuplicates(["sid"])
-        sets = write(sets.select("sid", "n", "head", "cost", "buckets"), "distinct")
-        keys = sets.select("sid", "n", "head").mapInArrow(
-            _keys(boundary(sets)), "key long, sid long, n long, rest long"
-        )
+        write, drop = self.scratch.write, self.scratch.drop
+        held = self.docs.where("n > 0")
+        sets = held.select("sid", "n", "head").dropDuplicates(["sid"])
+        keys = sets.mapInArrow(_keys(boundary(held)), "key long, sid long, n long, rest long")
         lists = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("n").alias("least"))
         keys = keys.join(lists.where("length > 1").select("key", "least"), "key")
         # An entry that has no room even for the smallest set of its list is no first common key.
-        keys = keys.where(_room(F.col("n"), F.greatest("least", F.lit(0)), F.col("rest")))
+        keys = keys.where(_room(F.col("n"), F.col("least"), F.col("rest")))
         keys = write(keys.drop("least"), "lists")
         entries = keys.count()
-        wanted = write(keys.select("sid").distinct(), "wanted")
-        whole = self.whole_sets(wanted)
+        whole = self.whole_sets(write(keys.select("sid").distinct(), "wanted"))
 
         # Members outside a list's largest component try a few sets of it, the ones they share most
-        # lists with first. Few turns leave little to compare in full.
+        # lists with first. A link moves the whole component over. Sets with the same root are
+        # always connected; which sets are, all links tell in the end.
         links, roots, turn, before = [], None, 0, float("inf")
         while True:
             member, lists = self.apart(keys, roots, turn)
@@ -376,14 +347,21 @@ class Near:
             if left <= entries or turn == TURNS or left > GAIN * before:
                 break
             before = left
-            tried = outside.select("sid", "n", "rest", F.explode("main.tried").alias("t"))
+            tried = outside.select("sid", "n", "rest", "root", "main", F.explode("main.tried").alias("t"))
             tried = tried.where(_room(*map(F.col, ("n", "t.n", "rest", "t.rest"))))
-            tried = tried.groupBy(F.col("sid").alias("a"), F.col("t.sid").alias("b"))
-            tried = tried.agg(F.count("*").alias("votes"))
+            tried = tried.groupBy(F.col("sid").alias("a"), F.col("t.sid").alias("b")).agg(
+                F.count("*").alias("votes"),
+                F.any_value("root").alias("from_root"),
+                F.any_value("main.root").alias("to_root"),
+            )
             best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
             tried = tried.withColumn("at", F.row_number().over(best)).where(F.col("at") <= TRIED)
-            links.append(self.linked(tried.select("a", "b"), whole))
-            roots = components(reduce(DataFrame.union, links), self.scratch)
+            found = self.linked(tried.select("a", "b", "from_root", "to_root"), whole)
+            links.append(found.select("a", "b"))
+            now = member.select("sid", "root").distinct().join(_moved(found), "root", "left")
+            roots = write(now.select("sid", F.coalesce("moved", "root").alias("root")), "roots")
+            drop(member)
+            drop(lists)
             turn += 1
 
         # What is still apart is compared in full.
@@ -406,7 +384,7 @@ class Near:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        links.append(self.linked(self.bounded(rest, sets), whole))
+        links.append(self.linked(rest, whole))
         return components(reduce(DataFrame.union, links), self.scratch)
 
 
