@@ -1,6 +1,8 @@
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry import session
 from textquarry.functions import prompts
@@ -77,6 +79,88 @@ def test_pair_generation_end_to_end(spark, tmp_path):
     assert unanswered(docs, spark.read.parquet(ledger)).count() == 1
 
 
+def few_documents(spark):
+    return spark.createDataFrame(
+        [(i, f"d{i} " + "word " * 60, f"c{i}") for i in range(8)],
+        "doc_id bigint, text string, citation string",
+    )
+
+
+def counting(folder, broken):
+    """A completer that counts its calls per document and dies on one while ``broken`` exists."""
+
+    def completer(prompt):
+        name = next(f"d{i}" for i in range(8) if f"d{i} word" in prompt)
+        if broken.exists() and broken.read_text() == name:
+            os._exit(1)
+        if broken.exists() and broken.read_text() == "down":
+            raise ValueError("down")
+        with open(folder / name, "a") as calls:
+            calls.write("x")
+        return GOOD
+
+    return completer
+
+
+def sources(spark, output):
+    return sorted(r.source for r in spark.read.json(output).collect())
+
+
+def test_stopped_completion_repeats_no_commit(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    calls.mkdir()
+    output, ledger = str(tmp_path / "pairs"), str(tmp_path / "ledger")
+    ask = counting(calls, broken)
+    docs = few_documents(spark)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    last = docs.orderBy(slot.desc()).first().doc_id
+    broken.write_text(f"d{last}")
+    options = {"count": 8, "commits": 4, "pause": no_pause}
+    with pytest.raises(Exception):
+        jobs.generate_pairs(docs, ask, output, ledger, **options)
+    kept = {r.doc_id for r in spark.read.parquet(ledger).collect()}
+    assert kept == {r.doc_id for r in docs.where(slot < docs.select(F.max(slot)).scalar()).collect()}
+    broken.unlink()
+    jobs.generate_pairs(docs, ask, output, ledger, resume=True, **options)
+    assert sources(spark, output) == [f"c{i}" for i in range(8)]
+    assert all(len((calls / f"d{i}").read_text()) == 1 for i in kept)
+
+
+def test_stop_between_ledger_and_pairs_loses_nothing(spark, tmp_path, monkeypatch):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    calls.mkdir()
+    output, ledger = str(tmp_path / "pairs"), str(tmp_path / "ledger")
+    ask, docs = counting(calls, broken), few_documents(spark)
+    options = {"count": 8, "commits": 2, "pause": no_pause}
+
+    def stopped(*_):
+        raise KeyError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "write_pairs", stopped)
+        with pytest.raises(KeyError):
+            jobs.generate_pairs(docs, ask, output, ledger, **options)
+    counters = jobs.generate_pairs(docs, ask, output, ledger, resume=True, **options)
+    assert counters["documents"] == counters["total_pairs"] == 8
+    assert sources(spark, output) == [f"c{i}" for i in range(8)]
+    jobs.generate_pairs(docs, ask, output, ledger, resume=True, **options)
+    assert sources(spark, output) == [f"c{i}" for i in range(8)]
+    assert all(len((calls / f"d{i}").read_text()) == 1 for i in range(8))
+
+
+def test_failed_documents_are_asked_again(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    calls.mkdir()
+    output, ledger = str(tmp_path / "pairs"), str(tmp_path / "ledger")
+    ask, docs = counting(calls, broken), few_documents(spark)
+    options = {"count": 8, "commits": 2, "pause": no_pause}
+    broken.write_text("down")
+    assert jobs.generate_pairs(docs, ask, output, ledger, **options)["no_response"] == 8
+    broken.unlink()
+    counters = jobs.generate_pairs(docs, ask, output, ledger, resume=True, **options)
+    assert counters["total_pairs"] == 8 and sources(spark, output) == [f"c{i}" for i in range(8)]
+
+
 def test_training_sets(spark, tmp_path):
     raw, pairs = tmp_path / "corpus.jsonl", tmp_path / "pairs.jsonl"
     raw.write_text(json.dumps({"text": "some law text", "citation": "c"}) + "\n")
@@ -134,10 +218,14 @@ def test_review_rounds_fit_the_budget(spark):
         [("a", 1, 1, "q", "y" * 590)],
         "run_id string, round bigint, q bigint, question string, answer string",
     )
-    whole = jobs.review_rounds(losses, proposals, results, 10_000).first()
-    cut = jobs.review_rounds(losses, proposals, results, len(whole["text"]) - 1).first()
-    assert whole["answer_limit"] is None and cut["answer_limit"] == 500
-    assert cut["text"] == whole["text"].replace("A: " + "y" * 590, "A: " + "y" * 497 + "…")
+    def review(budget):
+        pieces = jobs.review_rounds(losses, proposals, results, budget).orderBy("pos").collect()
+        return "".join(p.text for p in pieces), {p.answer_limit for p in pieces}
+
+    whole, no_limit = review(10_000)
+    cut, limit = review(len(whole) - 1)
+    assert no_limit == {None} and limit == {500}
+    assert cut == whole.replace("A: " + "y" * 590, "A: " + "y" * 497 + "…")
 
 
 def write_json(folder, name, rows):
@@ -186,23 +274,19 @@ def test_settings_leave_the_shuffle_partitions_alone(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        def get(self, name, default):
+            return default
+
     class Context:
         master, applicationId = "local-cluster[2,1,1024]", "x"
 
     class Session:
-        conf = spark.conf
-        sparkContext = Context()
-
-    folder = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            session.shared_dir(Session())
-    except AssertionError:
-        assert spark.conf.get("spark.checkpoint.dir", None)  # a static setting stays
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
+        conf, sparkContext = Unset(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
 
 
 def test_shared_folder_comes_from_the_session(spark):

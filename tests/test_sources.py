@@ -151,3 +151,23 @@ def test_report_files_keep_the_order(spark, tmp_path):
     parts = sorted(p for p in (tmp_path / "r").iterdir() if p.name.startswith("part-"))
     lines = "".join(p.read_text() for p in parts).split()
     assert lines == [f"l{i}" for i in range(200)]
+
+
+def test_results_of_both_forms_in_one_folder(spark, tmp_path):
+    rows = [{"q": q, "question": f"q{q}", "answer": "a"} for q in range(4)]
+    (tmp_path / "a.json").write_text("\n  " + json.dumps(rows[:2], indent=1))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(r) for r in rows[2:]))
+    (tmp_path / "c.json").write_text("\n")
+    got = evalsets.scan_results(spark, str(tmp_path / "*.json")).collect()
+    assert sorted(r.q for r in got) == [0, 1, 2, 3]
+
+
+def test_envelopes_with_any_key_and_unreadable_bodies(spark, tmp_path):
+    row = {"question": "q", "context": "c"}
+    (tmp_path / "good.json").write_text(json.dumps({"o'r.o\"ws": [row, row]}))
+    assert evalsets.scan_open_book(spark, str(tmp_path / "good.json")).count() == 2
+    for i, body in enumerate(("", "{}", '{"a": 1}', "[{", "nothing")):
+        path = tmp_path / f"bad{i}.json"
+        path.write_text(body)
+        with pytest.raises(Exception):
+            evalsets.scan_open_book(spark, str(path)).collect()

@@ -8,12 +8,14 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry import schemas
 from textquarry.functions import prompts
 from textquarry.functions.text import clean, word_count
 from textquarry.functions.tokens import EOS, encode_document
 from textquarry.operators import completion, pairs, prepare, rounds
 from textquarry.operators.packing import pack_sequences
 from textquarry.operators.sampling import seeded_sample
+from textquarry.session import hadoop, stage
 from textquarry.sources.corpus import preferred_source
 from textquarry.sources.sinks import write_pairs
 from textquarry.sources.tiers import BOUNDS, PACKED_LENGTH, TIERS
@@ -29,27 +31,57 @@ def generate_pairs(
     resume: bool = False,
     max_words: int = 800,
     pairs_per_doc: int = 3,
+    commits: int = 8,
     **options,
 ) -> dict[str, int]:
     """Sample documents, ask for pairs, write the parsed pairs; returns the run's counters.
 
-    Answers go to the ``ledger`` table first: the pairs are parsed from what is stored there, so no
-    failure repeats a call that came back. Resuming asks only for documents not in the ledger.
+    Answers go to the ``ledger`` table in ``commits`` commits, so a lost job repeats the calls of one
+    of them at most. Pairs are parsed from the ledger: each run writes one folder ``batch=<n>`` of
+    ``output`` and then notes its documents beside the ledger. Resuming asks for the documents that
+    have no answer yet, those whose every try failed among them, and parses all answers not noted;
+    a run stopped in between is written over, so no pair is lost or doubled.
     """
     spark = docs.sparkSession
+    noted = f"{ledger.rstrip('/')}_parsed"
+    if not resume:
+        for path in (ledger, noted, output):
+            hadoop_path, fs = hadoop(spark, path)
+            fs.delete(hadoop_path, True)
     asked = prepare.qa_prompts(seeded_sample(docs, count, seed), max_words, pairs_per_doc)
-    if resume:
-        asked = pairs.unanswered(asked, spark.read.parquet(ledger))
-    fresh = completion.completion_ledger(asked, completer, **options)
-    fresh.write.mode("append" if resume else "overwrite").parquet(ledger)
-
-    documents = prepare.with_defaults(docs).join(fresh.select("doc_id"), "doc_id", "left_semi")
+    asked = stage(pairs.unanswered(asked, _answered(spark, ledger)), "asked")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(commits))
+    for commit in range(commits):
+        part = asked.where(slot == commit)
+        completion.complete(part, completer, **options).write.mode("append").parquet(ledger)
+
+    seen = _table(spark, noted, "doc_id bigint, batch bigint")
+    batch = (seen.agg(F.max("batch")).first()[0] or 0) + 1
+    answers = pairs.unanswered(_answered(spark, ledger), seen)
+    new = answers.select("doc_id").union(asked.select("doc_id")).distinct()
+    documents = prepare.with_defaults(docs).join(new, "doc_id", "left_semi")
     counters = Observation("pair generation")
-    parsed = pairs.parsed_documents(documents, fresh).observe(counters, *pairs.run_counters())
-    write_pairs(pairs.enriched_pairs(parsed), output, resume)
+    parsed = pairs.parsed_documents(documents, answers).observe(counters, *pairs.run_counters())
+    write_pairs(pairs.enriched_pairs(parsed), f"{output.rstrip('/')}/batch={batch}", False)
+    done = answers.select("doc_id", F.lit(batch).cast("bigint").alias("batch"))
+    done.write.mode("append").parquet(noted)
     return counters.get
 
 
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, empty while nothing has been written there."""
+    hadoop_path, fs = hadoop(spark, path)
+    if not fs.exists(hadoop_path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _answered(spark: SparkSession, ledger: str) -> DataFrame:
+    """Ledger rows that hold an answer, one per document."""
+    rows = _table(spark, ledger, schemas.COMPLETION)
+    return rows.where("response IS NOT NULL OR error_body IS NOT NULL").dropDuplicates(["doc_id"])
+
+
 def _ask(asked: DataFrame, completer: Callable[[str], str], key: str, options: dict) -> DataFrame:
     """Rows with the answer they got; a row whose every try failed is left for the next run."""
     ledger = completion.completion_ledger(asked, completer, key=key, **options)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry import schemas
 from textquarry.functions.text import not_blank, strip
 from textquarry.operators.ordered import number_rows
+from textquarry.session import hadoop
 from textquarry.sources.corpus import _matches
 
 REQUIRED = ("question", "context")
@@ -31,6 +32,10 @@ def scan_open_book_json(spark: SparkSession, path: str) -> DataFrame:
     ``row`` counts from 1 inside each file. Files are read whole, in parallel, so a file is one
     task's work and at most 2 GB; larger sets come as CSV. A body that is neither is an error.
     """
+    hadoop_path, fs = hadoop(spark, path)
+    for status in fs.globStatus(hadoop_path) or []:  # Spark passes over empty files
+        if status.isFile() and status.getLen() == 0:
+            raise ValueError(f"no array of rows in {status.getPath()}")
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), strip("value").alias("body")
     )
