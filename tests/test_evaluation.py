@@ -48,7 +48,8 @@ def test_reports(spark):
         "T\nModel: m1\nQuestions answered: 2/3\n" + "=" * 70 + "\n\n"
         "Q001. what?\n" + "-" * 70 + "\na\n\nQ002. why?\n" + "-" * 70 + "\nb\n"
     )
-    head = evaluation.round_report(results, 3).orderBy("pos").first()["text"]
+    results = results.withColumns({"run_id": F.lit("a"), "round": F.lit(3)})
+    head = evaluation.round_report(results).orderBy("pos").first()["text"]
     assert head == "ROUND 3 — BENCHMARK ANSWERS\n" + "=" * 70 + "\n"
 
 

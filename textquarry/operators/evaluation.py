@@ -83,11 +83,21 @@ def closed_book_report(
     return _report(results, total, header, closed_book_blocks(), "q", keys)
 
 
-def round_report(results: DataFrame, round_no: int) -> DataFrame:
-    """Variant for one tuning round: its title carries no counts."""
-    header = F.lit(f"ROUND {round_no} — BENCHMARK ANSWERS\n{RULE}\n")
-    head = results.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("pos"), header.alias("text"))
-    return head.unionByName(results.select(F.col("q").alias("pos"), closed_book_blocks().alias("text")))
+def round_report(results: DataFrame, keys: Sequence[str] = ("run_id", "round")) -> DataFrame:
+    """``(keys, pos, text)``: variant for tuning rounds, whose title carries no counts.
+
+    ``results`` holds ``(keys, q, question, answer)``, the last key being the round.
+    """
+    header = F.concat(
+        F.lit("ROUND "), F.col(keys[-1]).cast("string"),
+        F.lit(f" — BENCHMARK ANSWERS\n{RULE}\n"),
+    )
+    head = results.select(*keys).distinct().select(
+        *keys, F.lit(0).cast("bigint").alias("pos"), header.alias("text")
+    )
+    return head.unionByName(
+        results.select(*keys, F.col("q").alias("pos"), closed_book_blocks().alias("text"))
+    )
 
 
 def open_book_report(

@@ -256,10 +256,12 @@ def round_review(spark, sf_dir) -> DataFrame:
               CASE WHEN v <> current THEN kept ELSE current END::DOUBLE AS stored,
               CASE WHEN v <> current THEN '  ' || key || ': ' || CAST(current AS BIGINT) || ' → '
                    || shown ELSE '' END AS change
-       FROM p""",
+       FROM p
+       UNION ALL  -- a text is no number: the proposal changes nothing
+       SELECT event_id, 'warmup_steps', 50.0::DOUBLE, 50.0::DOUBLE, '' FROM events""",
 )
 def clamp_patch(spark, sf_dir) -> DataFrame:
-    """Each event proposes its ``k``, its value as ``r``, and two things that must be ignored."""
+    """Each event proposes its ``k``, its value as ``r``, a key that is not tunable and a text."""
     response = F.concat(
         F.rtrim("props", F.lit("}")), F.lit(', "r": '), F.col("value").cast("string"),
         F.lit(', "optim": 3, "warmup_steps": "7"}'),
@@ -268,7 +270,7 @@ def clamp_patch(spark, sf_dir) -> DataFrame:
         "event_id", _settings().alias("config"), extract_object(response).alias("patch")
     )
     changes = patches.patch_rows(asked, ["event_id"], bounds=K_BOUNDS)
-    return changes.where(F.col("key") != "warmup_steps").fillna("", ["change"])
+    return changes.fillna("", ["change"])
 
 
 # -- answer sheets and reports
@@ -309,6 +311,20 @@ def closed_report(spark, sf_dir) -> DataFrame:
     return evaluation.closed_book_report(results, total, label, ["run_id"])
 
 
+@query(
+    "k_round_report",
+    f"""SELECT run_id, round, 0 AS pos, 'ROUND ' || round || ' — BENCHMARK ANSWERS' || chr(10)
+               || '{RULE}' || chr(10) AS text
+        FROM ({SQL_ROUND_SHEETS}) GROUP BY run_id, round
+        UNION ALL
+        SELECT run_id, round, q, printf('Q%03d. ', q) || question || chr(10) || '{THIN}' || chr(10)
+               || answer || chr(10)
+        FROM ({SQL_ROUND_SHEETS})""",
+)
+def round_report(spark, sf_dir) -> DataFrame:
+    return evaluation.round_report(_round_sheets(spark, sf_dir), rounds.ROUND)
+
+
 @query(
     "k_open_report",
     f"""WITH r AS (SELECT doc_id + 1 AS row, lang, 'What is in it?' AS question,

@@ -71,13 +71,15 @@ def defaults(spark, sf_dir) -> DataFrame:
     "p_clean_eos",
     f"""WITH c AS (
             SELECT doc_id, {sql_strip("text")} || '{EOS}' AS text
-            FROM documents WHERE lang <> 'de' AND {sql_strip("text")} <> '')
+            FROM documents WHERE {sql_strip("text")} <> '')
         SELECT doc_id, text FROM c WHERE length(text) > 10""",
 )
 def clean_eos(spark, sf_dir) -> DataFrame:
+    """Every text padded, and beside each one a blank row that must go."""
     docs = corpus(spark, sf_dir)
-    padded = F.when(F.col("jurisdiction") == "de", F.lit(" \n ")).otherwise(_padded())
-    return prepare.clean_eos(docs.withColumn("text", padded).select("doc_id", "text"))
+    texts = docs.select("doc_id", _padded().alias("text"))
+    blank = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(" \n ").alias("text"))
+    return prepare.clean_eos(texts.unionByName(blank))
 
 
 @query("p_start_row", "SELECT doc_id + 1 AS row, text FROM documents WHERE doc_id + 1 >= 10")

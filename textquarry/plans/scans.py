@@ -65,9 +65,12 @@ def directory_scan(spark, sf_dir) -> DataFrame:
              (SELECT max(CAST(substr(source, 4) AS INTEGER)) FROM documents)""",
 )
 def latest_snapshot(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Documents stored by version, of which only the newest folder is read."""
+    path = staging_path(spark, "versions")
     version = F.substr("source", F.lit(4)).cast("int").alias("version")
-    return readers.latest_version(docs.select("doc_id", "text", version))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", version)
+    docs.repartition("version").write.partitionBy("version").parquet(path)
+    return readers.latest_version(spark.read.parquet(path))
 
 
 @query(
