@@ -33,7 +33,7 @@ FREQUENT = 1 << 20  # shingles in the table of frequent ones, at most
 FILTER_BITS = 1 << 26  # of the filter of sets to compare
 MAX_SMALL = 512
 TRIED = 4  # sets of another component that a set is compared with in one turn
-GAIN = 0.8  # a turn that leaves more than this share of the comparisons is the last
+GAIN = 0.9  # a turn that leaves more than this share of the comparisons is the last
 TURNS = 8  # turns at most; what they leave apart is compared in full
 
 
@@ -333,7 +333,6 @@ class Near:
         keys = keys.where(_room(F.col("n"), F.col("least"), F.col("rest")))
         keys = write(keys.drop("least"), "lists")
         entries = keys.count()
-        whole = self.whole_sets(write(keys.select("sid").distinct(), "wanted"))
 
         # Members outside a list's largest component try a few sets of it, the ones they share most
         # lists with first. A link moves the whole component over. Sets with the same root are
@@ -344,9 +343,13 @@ class Near:
             left = lists.agg(F.sum((F.col("length") - F.col("main.size")) * F.col("length")))
             left = left.first()[0] or 0
             outside = member.join(lists, "key").where(F.col("root") != F.col("main.root"))
-            if left <= entries or turn == TURNS or left > GAIN * before:
+            if turn > 0 and (left <= entries or turn == TURNS or left > GAIN * before):
                 break
             before = left
+            if turn == 0:
+                # Later lists hold no other sets than the first ones of two or more do.
+                wanted = member.join(lists, "key", "left_semi").select("sid").distinct()
+                whole = self.whole_sets(write(wanted, "wanted"))
             tried = outside.select("sid", "n", "rest", "root", "main", F.explode("main.tried").alias("t"))
             tried = tried.where(_room(*map(F.col, ("n", "t.n", "rest", "t.rest"))))
             tried = tried.groupBy(F.col("sid").alias("a"), F.col("t.sid").alias("b")).agg(
