@@ -54,6 +54,23 @@ def test_near_copies_equal_all_pairs(spark):
     assert got == jaccard_components(texts)
 
 
+def test_near_copies_beside_fragments(spark):
+    letters = "a b c d e f g h".split()
+    texts = {k: " ".join(letters[:n]) for k, n in enumerate((8, 7, 6))}
+    draw = random.Random(11)
+    for group in range(8):
+        base = prose(draw.choice([12, 30, 80, 200]), 50 + group).split()
+        other = [*base[:-1], f"y{group}"]  # one word of the text differs
+        shares = [draw.uniform(0.3, 0.74) for _ in range(4)]
+        for own in (base, other, *[base[: int(s * len(base))] for s in shares]):
+            texts[len(texts)] = " ".join(own)
+        texts[len(texts)] = " ".join(base[len(base) // 2 :])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_copies(docs).collect()}
+    assert got == jaccard_components(texts)
+    assert got[0][1] == got[1][1] != got[2][1]
+
+
 def test_near_copies_of_awkward_rows(odd):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in near_copies(odd).collect()}
     assert {(1, 56, 1), (2, 56, 1), (None, 56, 1), (3, 0, 3), (None, 0, None), (5, 0, 5)} <= rows

@@ -329,8 +329,11 @@ class Near:
         keys = sets.mapInArrow(_keys(boundary(held)), "key long, sid long, n long, rest long")
         lists = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("n").alias("least"))
         keys = keys.join(lists.where("length > 1").select("key", "least"), "key")
-        # An entry that has no room even for the smallest set of its list is no first common key.
-        keys = keys.where(_room(F.col("n"), F.col("least"), F.col("rest")))
+        # An entry that has no room for a set of any size in its list is no first common key. Room is
+        # most for the least size that may be similar at all, or for the list's least if that is more.
+        n, rest = F.col("n"), F.col("rest")
+        keys = keys.where(rest * WHOLE >= n * SHARE)
+        keys = keys.where(rest * (WHOLE + SHARE) >= (n + F.col("least")) * SHARE)
         keys = write(keys.drop("least"), "lists")
         entries = keys.count()
 
