@@ -239,6 +239,31 @@ def test_losses_equal_plain_counts(spark, odd):
     assert cross_entropy_difference(odd.where("false"), ids).count() == 0
 
 
+def test_losses_do_not_depend_on_short_words(spark):
+    draw = random.Random(9)
+    texts = [" ".join(f"v{int(draw.paretovariate(0.5))}" for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, None)], "doc_id long, text string")
+    ids = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = {tuple(r)[:2]: tuple(r)[2:] for r in cross_entropy_difference(docs, ids).collect()}
+    for short, common in ((0, 0), (20, 10), (20, 1000)):
+        rows = cross_entropy_difference(docs, ids, short_words=short, common_bigrams=common)
+        got = {tuple(r)[:2]: tuple(r)[2:] for r in rows.collect()}
+        assert got.keys() == want.keys() and len(got) == 61
+        for k, own in want.items():
+            assert got[k] == (own if own[0] is None else pytest.approx(own, rel=1e-5, abs=1e-6))
+
+
+def test_words_past_two_bytes_keep_their_counts(spark):
+    # 70,000 words of the same count: more than two bytes can number.
+    texts = [(k, " ".join(f"u{100 * (k % 700) + i}" for i in range(100))) for k in range(1400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    rows = cross_entropy_difference(docs, docs.where("doc_id < 350").select("doc_id")).collect()
+    score = {r.doc_id: r.score for r in rows}
+    # Documents whose words the target holds read more like it than the others.
+    assert max(score[k] for k in range(350)) < min(score[k] for k in range(350, 700))
+    assert all(score[k] == pytest.approx(score[k + 700], abs=1e-6) for k in range(700))
+
+
 def test_base_digest(spark):
     from textquarry.llm.catalog import QUERIES
 

@@ -1,11 +1,14 @@
 """Cross-entropy difference of documents under a target and a background bigram model.
 
-Both models have one vocabulary (the most frequent words of all documents, as far as its size allows,
-and one entry for all others), one order and one discount; only the documents they count differ. A document's score is the mean over its tokens of target loss less background loss: below
-zero it reads more like the target.
-
-Counts cover all documents and stay distributed. Only what the vocabulary bounds is sent to every
-task: counts per word, and the losses of the most frequent bigrams. All other bigrams are joined.
+Both models have one vocabulary (every word that all documents hold more than once, and one entry
+for the words seen once), one order and one discount; only the documents they count differ. A
+document's score is the mean over its tokens of target loss less background loss: below zero it reads
+more like the target.
+
+Counts cover all documents and stay distributed. The most frequent words have short numbers, and
+their counts and the losses of the most frequent bigrams of two such words are sent to every task.
+All other words keep their 64-bit hash, and what is counted of them is joined. Which words are short
+affects speed, never the result.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from textquarry.llm.arrow_text import chunks
 from textquarry.llm.shingles import words
 from textquarry.llm.tables import Scratch, query, table
 
-VOCABULARY = (1 << 16) - 2  # a token is two bytes
-OTHER, START = 0, (1 << 16) - 1
+SHORT = (1 << 16) - 3  # words with a two-byte number, at most
+OTHER, LONG, START = 0, (1 << 16) - 2, (1 << 16) - 1  # LONG: the next of the row's long words
+ENTRIES = 1 << 16  # that unigram losses are spread over, or as many as there are
+_HIGH = np.uint64(1 << 63)  # long words are negative
 DISCOUNT = 0.75
 COMMON = 1 << 20  # bigrams whose losses are sent to every task
 _CLASSES = 8  # frequency classes for each factor of two
@@ -45,14 +50,14 @@ def _word_counts(batches):
         for at in range(0, len(value), 100_000):
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value[part].view(np.int64)), pa.array(n[part])], names=["word", "n"]
+                [pa.array(value[part]), pa.array(n[part])], names=["word", "n"]
             )
 
     for batch in batches:
         for chunk in chunks(batch["text"]):
             word, _ = words(chunk)
             if len(word):
-                seen.append(word)
+                seen.append((word | _HIGH).view(np.int64))
                 size += len(word)
             if size > _HELD:
                 yield from emitted()
@@ -74,19 +79,27 @@ def _most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.where(level >= least)
 
 
-def _tokens(vocabulary):
-    """Task: the tokens of every text, as two-byte numbers."""
+def _parts(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
+    """A list array of runs of ``values`` that end at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _tokens(short):
+    """Task: the tokens of every text, as two-byte numbers, and its long words in order."""
 
     def run(batches):
-        known = vocabulary.value
+        known = short.value
         for batch in batches:
             for chunk in chunks(batch["text"]):
                 word, text = words(chunk)
-                token = np.zeros(len(word), np.uint16)
+                word = (word | _HIGH).view(np.int64)
+                token = np.full(len(word), LONG, np.uint16)
                 if len(known):
                     row = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                    token = np.where(known[row] == word, row + 1, OTHER).astype(np.uint16)
+                    token = np.where(known[row] == word, row + 1, LONG).astype(np.uint16)
                 cuts = np.searchsorted(text, np.arange(len(chunk.ends) + 1))
+                long = token == LONG
                 rows = batch.slice(chunk.first, len(chunk.ends))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -98,74 +111,142 @@ def _tokens(vocabulary):
                             ],
                             pa.binary(),
                         ),
+                        _parts(
+                            word[long],
+                            np.cumsum(np.bincount(text[long], minlength=len(chunk.ends))),
+                            pa.int64(),
+                        ),
                     ],
-                    names=["doc_id", "tokens"],
+                    names=["doc_id", "tokens", "long"],
                 )
 
     return run
 
 
-def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Every bigram of a column of token strings as one number, and the row it is from."""
-    raw = [np.frombuffer(t.as_buffer(), np.uint16).astype(np.int64) for t in column]
+def _settled(batches):
+    """Task: the same tokens, where the words ``once`` are no long words but OTHER."""
+    for batch in batches:
+        tokens, long, ends = [], [np.zeros(0, np.int64)], []
+        columns = (batch[c].to_numpy(zero_copy_only=False) for c in ("tokens", "long", "once"))
+        for token, own, once in zip(*columns, strict=True):
+            if once is not None:
+                gone = np.isin(own, once)
+                token = np.frombuffer(token, np.uint16).copy()
+                token[np.flatnonzero(token == LONG)[gone]] = OTHER
+                token, own = token.tobytes(), own[~gone]
+            tokens.append(token)
+            long.append(own)
+            ends.append(len(own))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["row"],
+                batch["doc_id"],
+                pa.array(tokens, pa.binary()),
+                _parts(np.concatenate(long), np.cumsum(ends), pa.int64()),
+            ],
+            names=["row", "doc_id", "tokens", "long"],
+        )
+
+
+def _bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every bigram of the rows of a batch: the word before, the word, and the row it is from."""
+    raw = [np.frombuffer(t.as_buffer(), np.uint16).astype(np.int64) for t in batch["tokens"]]
     n = np.array([len(r) for r in raw], np.int64)
     token = np.concatenate([np.zeros(0, np.int64), *raw])
+    token[token == LONG] = batch["long"].flatten().to_numpy()
     before = np.concatenate([[START], token[:-1]]) if len(token) else token
     before[(np.cumsum(n) - n)[n > 0]] = START
-    return (before << 16) | token, np.repeat(np.arange(len(n)), n)
+    return before, token, np.repeat(np.arange(len(n)), n)
 
 
 def _bigram_counts(target: bool):
-    """Task: (bigram, n_target, n) over the tokens it holds, one of the two zero."""
+    """Task: (before, token, n_target, n) over the tokens it holds, one of the two zero."""
 
-    def emitted(seen):
-        value, n = _uniques(seen, [np.ones(len(s), np.int64) for s in seen])
-        for at in range(0, len(value), 100_000):
-            v, m = value[at : at + 100_000], n[at : at + 100_000]
-            none = np.zeros(len(v), np.int64)
+    def emitted(seen, long):
+        value = n = np.zeros(0, np.int64)
+        if seen:
+            value, n = _uniques(seen, [np.ones(len(s), np.int64) for s in seen])
+        # Bigrams with a long word seldom repeat in a task.
+        before = np.concatenate([value >> 16, *[b for b, _ in long]])
+        token = np.concatenate([value & 0xFFFF, *[t for _, t in long]])
+        n = np.concatenate([n, np.ones(len(token) - len(n), np.int64)])
+        for at in range(0, len(n), 100_000):
+            part = slice(at, at + 100_000)
+            m = n[part]
+            none = np.zeros(len(m), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v), pa.array(m if target else none), pa.array(none if target else m)],
-                names=["bigram", "n_target", "n"],
+                [
+                    pa.array(before[part]),
+                    pa.array(token[part]),
+                    pa.array(m if target else none),
+                    pa.array(none if target else m),
+                ],
+                names=["before", "token", "n_target", "n"],
             )
 
     def run(batches):
-        seen, size = [], 0
+        seen, long, size = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                bigram, _ = _bigrams(batch.slice(at, 1000)["tokens"])
-                if len(bigram):
-                    seen.append(bigram)
-                    size += len(bigram)
+                before, token, _ = _bigrams(batch.slice(at, 1000))
+                short = (before >= 0) & (token >= 0)
+                if short.any():
+                    seen.append((before[short] << 16) | token[short])
+                long.append((before[~short], token[~short]))
+                size += len(token)
                 if size > _HELD:
-                    yield from emitted(seen)
-                    seen, size = [], 0
-        if seen:
-            yield from emitted(seen)
+                    yield from emitted(seen, long)
+                    seen, long, size = [], [], 0
+        yield from emitted(seen, long)
 
     return run
 
 
-def _losses(words_of):
-    """Task: (bigram, target, background): its loss in bits under both models."""
+_OF_WORD = ("after", "kinds", "single")  # tokens after the word, kinds of them, its own tokens
+
+
+def _losses(short_words, totals):
+    """Task: (before, token, target, background): a bigram's loss in bits under both models.
+
+    What is counted of long words stands in the columns of _joined, of short ones in the broadcast.
+    """
 
     def run(batches):
         for batch in batches:
-            bigram = batch["bigram"].to_numpy()
-            out = [batch["bigram"]]
+            before, token = batch["before"].to_numpy(), batch["token"].to_numpy()
+
+            def of(word, column, name):
+                own = short_words.value[column][np.where(word >= 0, word, 0)]
+                if name not in batch.schema.names:
+                    return own
+                joined = batch[name].fill_null(0).to_numpy(zero_copy_only=False)
+                return np.where(word >= 0, own, joined)
+
+            out = [batch["before"], batch["token"]]
             for side in ("n_target", "n"):
-                context, kinds, unigram = words_of.value[side]
-                before, token = bigram >> 16, bigram & 0xFFFF
+                after = of(before, f"after_{side}", f"b_after_{side}").astype(float)
+                kinds = of(before, f"kinds_{side}", f"b_kinds_{side}")
+                single = of(token, f"single_{side}", f"t_single_{side}")
+                unigram = (single + 1) / totals[side]
                 n = batch[side].to_numpy()
-                total = np.maximum(context[before], 1)
+                total = np.maximum(after, 1)
                 own = np.maximum(n - DISCOUNT, 0) / total
-                left = np.where(context[before] > 0, DISCOUNT * kinds[before] / total, 1.0)
-                loss = -np.log2(own + left * unigram[token])
+                left = np.where(after > 0, DISCOUNT * kinds / total, 1.0)
+                loss = -np.log2(own + left * unigram)
                 out.append(pa.array(loss.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays(out, names=["bigram", "target", "background"])
+            yield pa.RecordBatch.from_arrays(out, names=["before", "token", "target", "background"])
 
     return run
 
 
+def _common(key: np.ndarray, before: np.ndarray, token: np.ndarray):
+    """Whether each bigram is in the sorted ``key``, and where."""
+    bigram = np.where((before >= 0) & (token >= 0), (before << 16) | token, -1)
+    place = np.searchsorted(key, bigram)
+    place[place == len(key)] = 0
+    return (key[place] == bigram if len(key) else np.zeros(len(bigram), bool)), place
+
+
 def _common_sums(common):
     """Task: per document its tokens and the summed losses of its common bigrams."""
 
@@ -174,11 +255,9 @@ def _common_sums(common):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                bigram, row = _bigrams(some["tokens"])
+                before, token, row = _bigrams(some)
                 out = [np.bincount(row, minlength=some.num_rows).astype(np.int64)]
-                place = np.searchsorted(key, bigram)
-                place[place == len(key)] = 0
-                found = key[place] == bigram if len(key) else np.zeros(len(bigram), bool)
+                found, place = _common(key, before, token)
                 for loss in losses:
                     total = np.bincount(row[found], loss[place[found]], minlength=some.num_rows)
                     out.append(total.astype(float))
@@ -191,56 +270,73 @@ def _common_sums(common):
 
 
 def _rare_bigrams(common):
-    """Task: (row, bigram, times) of the bigrams that are not common."""
+    """Task: (row, before, token, times) of the bigrams that are not common."""
 
     def run(batches):
         key, _ = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                bigram, row = _bigrams(some["tokens"])
-                place = np.searchsorted(key, bigram)
-                place[place == len(key)] = 0
-                rare = key[place] != bigram if len(key) else np.ones(len(bigram), bool)
-                bigram, row = bigram[rare], row[rare]
-                pair, times = np.unique((row << 33) | bigram, return_counts=True)
+                before, token, row = _bigrams(some)
+                rare = ~_common(key, before, token)[0]
+                before, token, row = before[rare], token[rare], row[rare]
+                short = (before >= 0) & (token >= 0)
+                packed = (row[short] << 33) | (before[short] << 16) | token[short]
+                pair, times = np.unique(packed, return_counts=True)
+                ones = np.ones(np.count_nonzero(~short), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some["row"].take(pa.array(pair >> 33)),
-                        pa.array(pair & ((1 << 33) - 1)),
-                        pa.array(times.astype(np.int64)),
+                        some["row"].take(pa.array(np.concatenate([pair >> 33, row[~short]]))),
+                        pa.array(np.concatenate([(pair >> 16) & 0x1FFFF, before[~short]])),
+                        pa.array(np.concatenate([pair & 0xFFFF, token[~short]])),
+                        pa.array(np.concatenate([times.astype(np.int64), ones])),
                     ],
-                    names=["row", "bigram", "times"],
+                    names=["row", "before", "token", "times"],
                 )
 
     return run
 
 
-def _per_word(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per model: tokens after each word, kinds of them, and unigram probabilities.
+def _by_word(counts: DataFrame) -> DataFrame:
+    """Per word and model: tokens after it, kinds of them, and its own tokens."""
+    none, sides = F.lit(0).cast("long"), ("n_target", "n")
+    left = counts.groupBy(F.col("before").alias("word")).agg(
+        *[F.sum(s).alias(f"after_{s}") for s in sides],
+        *[F.count_if(F.col(s) > 0).alias(f"kinds_{s}") for s in sides],
+        *[none.alias(f"single_{s}") for s in sides],
+    )
+    right = counts.groupBy(F.col("token").alias("word")).agg(
+        *[none.alias(f"{c}_{s}") for c in ("after", "kinds") for s in sides],
+        *[F.sum(s).alias(f"single_{s}") for s in sides],
+    )
+    names = [f"{c}_{s}" for c in _OF_WORD for s in sides]
+    return left.union(right).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _joined(counts: DataFrame, by_word: DataFrame) -> DataFrame:
+    """Counts of bigrams with a long word, and what is counted of their long words.
 
-    Arrays of one number for each vocabulary entry.
+    Long words are no hot keys, and short ones, which match nothing, are dealt by the whole bigram.
     """
-    before, token = F.shiftright("bigram", 16), F.col("bigram").bitwiseAND(0xFFFF)
-    out = {}
-    for side in ("n_target", "n"):
-        arrays = np.zeros((3, 1 << 16))
-        left = counts.groupBy(before.alias("w")).agg(
-            F.sum(side).alias("n"), F.count_if(F.col(side) > 0).alias("kinds")
+    out = counts.where("before < 0 OR token < 0")
+    for word, short, wanted in (("before", "b", ("after", "kinds")), ("token", "t", ("single",))):
+        own = by_word.where("word < 0").select(
+            F.col("word").alias("key"),
+            *[F.col(f"{c}_{s}").alias(f"{short}_{c}_{s}") for c in wanted for s in ("n_target", "n")],
         )
-        right = counts.groupBy(token.alias("w")).agg(F.sum(side).alias("n"))
-        rows = left.toArrow()
-        arrays[0][rows["w"].to_numpy()] = rows["n"].to_numpy()
-        arrays[1][rows["w"].to_numpy()] = rows["kinds"].to_numpy()
-        rows = right.toArrow()
-        arrays[2][rows["w"].to_numpy()] = rows["n"].to_numpy()
-        arrays[2] = (arrays[2] + 1) / (arrays[2] + 1).sum()
-        out[side] = tuple(arrays)
+        spread = F.abs(F.xxhash64("before", "token") % (1 << 62))
+        out = out.withColumn("at", F.when(F.col(word) < 0, F.col(word)).otherwise(spread))
+        out = out.join(own, F.col("at") == F.col("key"), "left").drop("at", "key")
     return out
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    target_ids: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    short_words: int = SHORT,
+    common_bigrams: int = COMMON,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
@@ -249,6 +345,9 @@ def cross_entropy_difference(
     or one without words has no tokens, and its losses and score are null. Every row is reported,
     rows that repeat alike. Without any target document the target model is uniform. Other columns
     play no part.
+
+    short_words and common_bigrams: how many words and bigrams are not joined, at most; the result
+    is the same for any.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -257,38 +356,63 @@ def cross_entropy_difference(
     ids = ids.distinct()
     found = chosen.select("text").mapInArrow(_word_counts, "word long, n long")
     found = scratch.write(found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-    frequent = _most_frequent(found, "n", VOCABULARY).select("word").toArrow()["word"].to_numpy()
-    vocabulary = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    frequent = _most_frequent(found, "n", short_words).select("word").toArrow()["word"].to_numpy()
+    short = spark.sparkContext.broadcast(np.sort(frequent))
+    scratch.drop(found)
 
     id_type = chosen.schema["doc_id"].dataType.simpleString()
-    tokens = chosen.mapInArrow(_tokens(vocabulary), f"doc_id {id_type}, tokens binary")
-    tokens = scratch.write(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    of_text = f"doc_id {id_type}, tokens binary, long array<long>"
+    read = chosen.mapInArrow(_tokens(short), of_text)
+    read = scratch.write(read.withColumn("row", F.monotonically_increasing_id()), "read")
+    # A word seen once is in one row.
+    once = read.select("row", F.explode("long").alias("word")).groupBy("word")
+    once = once.agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1")
+    once = once.groupBy("row").agg(F.collect_list("word").alias("once"))
+    tokens = read.join(once, "row", "left").select("row", "doc_id", "tokens", "long", "once")
+    tokens = scratch.write(tokens.mapInArrow(_settled, f"row long, {of_text}"), "tokens")
+    scratch.drop(read)
 
     # The target is joined to tokens, not texts: a fraction of their size.
     target = tokens.join(ids, tokens["doc_id"] == ids["id"], "left_semi")
-    of_side = "bigram long, n_target long, n long"
-    counts = tokens.select("tokens").mapInArrow(_bigram_counts(False), of_side)
-    counts = counts.union(target.select("tokens").mapInArrow(_bigram_counts(True), of_side))
-    counts = counts.groupBy("bigram").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
+    of_side = "before long, token long, n_target long, n long"
+    counts = tokens.select("tokens", "long").mapInArrow(_bigram_counts(False), of_side)
+    counts = counts.union(
+        target.select("tokens", "long").mapInArrow(_bigram_counts(True), of_side)
+    )
+    counts = counts.groupBy("before", "token")
+    counts = counts.agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
     counts = scratch.write(counts, "counts")
-    per_word = spark.sparkContext.broadcast(_per_word(counts))
-    of_bigram = "bigram long, target float, background float"
-    often = _most_frequent(counts, "n", COMMON).mapInArrow(_losses(per_word), of_bigram).toArrow()
-    key = often["bigram"].to_numpy()
+    by_word = scratch.write(_by_word(counts), "by-word")
+    sizes = by_word.agg(
+        F.count_if(F.col("word") != START).alias("entries"),
+        *[F.coalesce(F.sum(f"single_{s}"), F.lit(0)).alias(s) for s in ("n_target", "n")],
+    ).first()
+    totals = {s: sizes[s] + max(sizes["entries"], ENTRIES) for s in ("n_target", "n")}
+    rows = by_word.where("word >= 0").toArrow()
+    arrays = {c: np.zeros(1 << 16, np.int64) for c in rows.column_names if c != "word"}
+    for c, values in arrays.items():
+        values[rows["word"].to_numpy()] = rows[c].to_numpy()
+    losses_of = _losses(spark.sparkContext.broadcast(arrays), totals)
+    of_bigram = "before long, token long, target float, background float"
+    of_short = counts.where("before >= 0 AND token >= 0")
+    often = _most_frequent(of_short, "n", common_bigrams).mapInArrow(losses_of, of_bigram).toArrow()
+    key = (often["before"].to_numpy() << 16) | often["token"].to_numpy()
     order = np.argsort(key)
     losses = [often[c].to_numpy()[order] for c in ("target", "background")]
     common = spark.sparkContext.broadcast((key[order], losses))
 
-    sums = tokens.select("row", "doc_id", "tokens").mapInArrow(
+    sums = tokens.mapInArrow(
         _common_sums(common),
         f"row long, doc_id {id_type}, n_tokens long, target double, background double",
     )
-    rare = tokens.select("row", "tokens").mapInArrow(
-        _rare_bigrams(common), "row long, bigram long, times long"
+    rare = tokens.select("row", "tokens", "long").mapInArrow(
+        _rare_bigrams(common), "row long, before long, token long, times long"
+    )
+    loss = of_short.mapInArrow(losses_of, of_bigram).union(
+        _joined(counts, by_word).mapInArrow(losses_of, of_bigram)
     )
-    loss = counts.mapInArrow(_losses(per_word), of_bigram)
     rest = (
-        rare.join(loss, "bigram")
+        rare.join(loss, ["before", "token"])
         .groupBy("row")
         .agg(
             F.sum(F.col("target") * F.col("times")).alias("rare_target"),
