@@ -194,6 +194,39 @@ def test_secrets(spark, odd):
     assert secret_spans(odd.where("false")).count() == 0
 
 
+def test_random_strings_of_every_encoding(spark):
+    draw = random.Random(17)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def key(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    token = [key(lower + lower.upper() + digits, 40) for _ in range(3)]
+    uuid = ["-".join(key(digits + "abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(3)]
+    upper = key(digits + "ABCDEF", 40)
+    short = [key(lower + lower.upper() + digits, n) for n in (16, 17, 19)]
+    mixed = key(lower + lower.upper(), 36)
+    texts = [
+        (f"see //host/api_v2/{token[0]} now", token[0]),
+        (f"//my-host/x/{token[1]}", token[1]),
+        (f"é a_b/{token[2]}", token[2]),
+        (f"id {uuid[0]}.", uuid[0]),
+        (f"UPPER {uuid[1].upper()}", uuid[1].upper()),
+        (f"//host/some_id/{uuid[2]}", uuid[2]),
+        (f"the id-{uuid[0]}", uuid[0]),
+        (f"key {upper}", upper),
+        *[(f"key {s} end", s) for s in short],
+        (f"key {mixed}", mixed),
+        ("InternationalizationSettingsManagerFactory", None),
+        ("//some-host/long_path_name/of-words/without_secrets", None),
+    ]
+    docs = [(k, text) for k, (text, _) in enumerate(texts)]
+    for r in secret_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        text, want = texts[r.doc_id]
+        found = [text[s.start : s.end] for s in r.spans if s.kind == 3]
+        assert found == ([want] if want else []), text
+
+
 def test_losses_equal_plain_counts(spark, odd):
     texts = {k: prose(20 + 5 * k, k % 3) for k in range(9)} | {9: None, 10: "", 11: "w1 w1"}
     target = {0, 3, 6, 11}

@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that pass a battery of randomness tests.
 
 Every whole text is searched with built-in expressions. Positions come from the texts between the
-matches, as a match starts where what stands before it ends. A long run of letters and digits that
-uses all kinds of characters of an encoding is tested against chance: uniform use of the alphabet
+matches, as a match starts where what stands before it ends. A run of letters and digits, or a
+part of one, that uses all kinds of characters of an encoding is tested against chance: uniform use of the alphabet
 (chi-squared), runs above and below its middle, and correlation of neighbours. Runs for which
 chance is a discovery-controlled rejection (Benjamini-Hochberg, per encoding and length) are names,
 numbers or prose; the others are reported as spans of kind ``random``.
@@ -27,14 +27,26 @@ HEX = "[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "random"]
 
-RUN = "[A-Za-z0-9+/_-]{20,}"
+SHORTEST = 16
+RUN = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
+# A run that fits no encoding is cut at + and /, and what then fits none at all separators but
+# those between groups of hex digits.
+PARTS = [
+    f"[A-Za-z0-9_-]{{{SHORTEST},}}",
+    "(?<![A-Za-z0-9])(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)"
+    f"(?![A-Za-z0-9])|[A-Za-z0-9]{{{SHORTEST},}}",
+]
 # Encodings by the characters a run must and may use, and their alphabets in code order.
 DIGITS, UP, LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = {
     "hex": ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
+    "upperhex": ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
+    "hexgroups": ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+(?:-[0-9a-f]+)+$", DIGITS + "abcdef"),
+    "upperhexgroups": ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+(?:-[0-9A-F]+)+$", DIGITS + "ABCDEF"),
     "base32": ("^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UP + "234567"),
     "base36": ("^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOW),
     "upper36": ("^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UP),
+    "letters": ("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", UP + LOW),
     "base62": ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", DIGITS + UP + LOW),
     "base64": ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UP + LOW + DIGITS + "+/"),
     "base64url": ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UP + LOW + DIGITS + "-_"),
@@ -97,6 +109,36 @@ def _encoding(value: Column) -> Column:
     return name
 
 
+def _symbols(value: Column, encoding: Column) -> Column:
+    """The characters of a run that its encoding draws."""
+    return F.when(encoding.endswith("groups"), F.replace(value, F.lit("-"), F.lit(""))).otherwise(value)
+
+
+def _fitting(spans: Column, patterns: list[str]) -> Column:
+    """The spans that fit an encoding, and of the others the parts that do."""
+
+    def cut(s):
+        if not patterns:
+            return F.array().cast(SPANS)
+        parts = _spans(s["value"], patterns[0], "random", lambda v: F.lit(True))
+        moved = F.transform(
+            parts,
+            lambda part: F.struct(
+                (s["start"] + part["start"]).alias("start"),
+                part["kind"].alias("kind"),
+                (s["start"] + part["end"]).alias("end"),
+                part["value"].alias("value"),
+            ),
+        )
+        return _fitting(moved, patterns[1:])
+
+    return F.flatten(
+        F.transform(
+            spans, lambda s: F.when(_encoding(s["value"]).isNotNull(), F.array(s)).otherwise(cut(s))
+        )
+    )
+
+
 def _tail(z: Column) -> Column:
     """P(|N(0, 1)| > z) for z >= 0 by a rational approximation of the error function."""
     # Abramowitz and Stegun, formula 7.1.26.
@@ -119,7 +161,8 @@ def randomness(value: Column, encoding: Column) -> Column:
     for key, (_, letters) in reversed(ENCODINGS.items()):
         alphabet = F.when(encoding == key, letters).otherwise(alphabet)
 
-    codes = F.transform(F.split(value, ""), lambda c: F.instr(alphabet, c) - 1)
+    drawn = _symbols(value, encoding)
+    codes = F.transform(F.split(drawn, ""), lambda c: F.instr(alphabet, c) - 1)
     read = F.struct(codes.alias("codes"), F.length(alphabet).cast("double").alias("size"))
     return F.transform(F.array(read), _battery)[0]  # named once, so computed once
 
@@ -188,7 +231,7 @@ def secret_spans(
         _spans(text, pattern, kind, _longer(kind)).alias(kind)
         for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", "[0-9a-f]{32,}"))
     ]
-    runs = _spans(text, RUN, "random", lambda v: _encoding(v).isNotNull())
+    runs = _fitting(_spans(text, RUN, "random", lambda v: F.length(v) >= SHORTEST), PARTS)
     tested = F.transform(
         runs,
         lambda s: F.struct(
@@ -196,7 +239,9 @@ def secret_spans(
             s["kind"],
             s["end"],
             _encoding(s["value"]).alias("encoding"),
-            F.floor(F.log2(F.length(s["value"]))).cast("int").alias("octave"),
+            F.floor(F.log2(F.length(_symbols(s["value"], _encoding(s["value"])))))
+            .cast("int")
+            .alias("octave"),
             randomness(s["value"], _encoding(s["value"]))["p"].alias("p"),
         ),
     )
