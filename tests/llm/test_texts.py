@@ -144,6 +144,21 @@ def test_languages_of_awkward_rows(spark, odd):
     assert language_id.identified(odd.where("false"), models).count() == 0
 
 
+def test_language_sample_is_exact_and_of_distinct_texts(spark, monkeypatch):
+    rows = [(k, f"one text {k % 3 and k}", ("aa", "bb")[k % 2]) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    drawn = []
+    monkeypatch.setattr(language_id.Models, "__init__", lambda self, fitted: drawn.append(fitted))
+    monkeypatch.setattr(language_id.Models, "calibrate", lambda self, kept: drawn.append(kept))
+    for size in (1, 40, 1000):
+        drawn.clear()
+        language_id.fit(docs, learn_from=lambda doc_id: F.lit(True), sample_docs=size)
+        for lang in ("aa", "bb"):
+            texts = [text for part in drawn for text in part[lang]]
+            distinct = {text for _, text, own in rows if own == lang}
+            assert len(texts) == len(set(texts)) == min(size, len(distinct))
+
+
 def test_kneser_ney_sums_to_one():
     models = language_id.Models({"a": ["the cat sat on the mat", "the hat"], "b": ["le chat"]})
     alphabet = [*map(int, models.key[1] - np.uint64(1))]

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.llm.arrow_text import chunks
 from textquarry.llm.tables import query, table
@@ -247,10 +248,11 @@ def fit(
     learn_from: Callable[[Column], Column] = lambda doc_id: ~held_out(doc_id),
     sample_docs: int = SAMPLE_DOCS,
 ) -> Models:
-    """Fit on about ``sample_docs`` documents per language, drawn by a hash of their text.
+    """Fit on ``sample_docs`` texts per language, or all it has, drawn by their hash.
 
-    Documents without a language, a text or an id, those ``learn_from`` leaves out and those longer
-    than SAMPLE_CHARS are not drawn. A fifth of the sample only calibrates.
+    Equal texts of a language are drawn as one. Documents without a language, a text or an id, those
+    ``learn_from`` leaves out and those longer than SAMPLE_CHARS are not drawn. A fifth of the sample
+    only calibrates.
     """
     text = docs[text_col]
     pool = docs.where(
@@ -259,18 +261,21 @@ def fit(
         & (F.length(text) <= SAMPLE_CHARS)
         & learn_from(docs[id_col])
     ).select(docs[lang_col].cast("string").alias("lang"), text.alias("text"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    share = {
-        r.lang: min(1.0, sample_docs / r.n)
-        for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    }
-    chosen = F.lit(False)
-    for lang, part in share.items():
-        chosen |= (F.col("lang") == lang) & (F.col("draw") < int(part * (1 << 40)))
-    fitted: dict[str, list[str]] = {lang: [] for lang in share}
-    kept: dict[str, list[str]] = {lang: [] for lang in share}
-    drawn = pool.withColumn("draw", draw).where(chosen)
-    for r in sorted(drawn.collect(), key=lambda r: (r.draw, r.text)):
+    pool = pool.withColumn("draw", F.xxhash64("text"))
+    # The lowest draws are told apart without their texts, among those that surely hold them.
+    distinct = pool.select("lang", "draw").distinct()
+    place, near = F.pmod("draw", F.lit(1 << 40)), F.lit(False)
+    for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        part = min(1.0, (4 * sample_docs + 64) / r.n)
+        near |= (F.col("lang") == r.lang) & (place < int(part * (1 << 40)))
+    by_draw = Window.partitionBy("lang").orderBy(place, "draw")
+    lowest = distinct.where(near).withColumn("at", F.row_number().over(by_draw))
+    lowest = lowest.where(F.col("at") <= sample_docs).drop("at")
+    drawn = pool.join(F.broadcast(lowest), ["lang", "draw"], "left_semi")
+    drawn = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
+    fitted: dict[str, list[str]] = {r.lang: [] for r in drawn}
+    kept: dict[str, list[str]] = {r.lang: [] for r in drawn}
+    for r in sorted(drawn, key=lambda r: (r.draw, r.text)):
         (kept if len(fitted[r.lang]) > 4 * len(kept[r.lang]) + 3 else fitted)[r.lang].append(r.text)
     models = Models(fitted)
     models.calibrate(kept)
