@@ -52,6 +52,27 @@ def test_leaks_equal_edit_distance(spark):
             assert letters(part) == letters(items[r.item_id])
 
 
+def test_leaks_of_short_items(spark):
+    items = {1: "Who wrote Faust?", 2: "Why me", 3: "a b a", 4: "?!", 5: "why  ME", 6: "über"}
+    docs = {
+        1: "Asked: who wrote FAUST? Nobody.",
+        2: "who wrotte faust",
+        3: "é Why, me! and whyme and why men",
+        4: "a b a b a; xa b a",
+        5: "x über überall",
+        6: "",
+        7: None,
+    }
+    found = benchmark_leaks(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+    ).collect()
+    got = sorted((r.doc_id, r.item_id, docs[r.doc_id][r.start : r.start + r.length]) for r in found)
+    why = [(3, i, part) for i in (2, 5) for part in ("Why, me", "whyme")]
+    assert got == [(1, 1, "who wrote FAUST"), *why, (4, 3, "a b a"), (5, 6, "über")]
+    assert all(r.edits == 0 for r in found)
+
+
 def test_leaks_of_awkward_rows(odd, spark):
     items = spark.createDataFrame([(1, prose(60, 1)), (None, None)], "item_id long, text string")
     assert {r.doc_id for r in benchmark_leaks(odd, items).collect()} == {1, 2, None}

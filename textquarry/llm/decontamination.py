@@ -20,7 +20,7 @@ from textquarry.llm.tables import query, table
 
 Q = 8  # one machine word
 MAX_ERROR = 0.1
-MIN_LENGTH = 24
+MIN_LENGTH = 24  # shorter items allow no edits, and below Q they must be whole words
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,13 +51,20 @@ class Index:
         kept = []
         for item_id, text in items:
             letters = normalised(np.frombuffer((text or "").encode(), np.uint8))
-            if len(letters) >= MIN_LENGTH:
+            if len(letters):
                 kept.append((item_id, letters))
         self.ids = [i for i, _ in kept]
         self.letters = [x for _, x in kept]
         length = np.array([len(x) for x in self.letters], np.int64)
         # More edits than this would leave no q-gram that must be shared.
         self.edits = np.minimum((length * max_error).astype(np.int64), (length - Q) // Q)
+        self.edits[length < MIN_LENGTH] = 0
+        self.short_item = np.flatnonzero(length < Q)
+        packed = [int.from_bytes(self.letters[i].tobytes(), "little") for i in self.short_item]
+        self.short = np.array(packed, np.uint64)
+        order = np.argsort(self.short, kind="stable")
+        self.short, self.short_item = self.short[order], self.short_item[order]
+        self.short_lengths = np.unique(length[length < Q]).tolist()
         self.least = length - Q + 1 - Q * self.edits
         found = [grams(x) for x in self.letters]
         gram = np.concatenate([np.zeros(0, "u8"), *found])
@@ -114,6 +121,26 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return int(cell[k] >> 32), int(cell[k] & (unit - 1)), int(len(item) + diagonals[k])
 
 
+def _whole_words(index: Index, letters, source, starts, ends) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, start, end) of items below Q bytes that begin and end with words of the text."""
+    edge = np.ones(len(letters) + 1, bool)
+    edge[1:-1] = source[1:] != source[:-1] + 1
+    edge[starts] = edge[ends] = True
+    first = np.flatnonzero(edge[:-1])
+    text = np.searchsorted(ends, first, side="right")
+    gram = grams(np.concatenate([letters, np.zeros(Q, np.uint8)]))
+    for n in index.short_lengths:
+        fits = first + n <= ends[text]
+        fits[fits] = edge[first[fits] + n]
+        value = gram[first[fits]] & np.uint64((1 << 8 * n) - 1)
+        low = np.searchsorted(index.short, value)
+        high = np.searchsorted(index.short, value, side="right")
+        for k in np.flatnonzero(high > low):
+            t, at = int(text[fits][k]), int(first[fits][k])
+            for i in index.short_item[low[k] : high[k]]:
+                yield t, int(i), at - int(starts[t]), at - int(starts[t]) + n
+
+
 def leaks(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of every occurrence; byte positions in the raw text."""
     mapped = _KEPT[chunk.data]
@@ -148,6 +175,8 @@ def leaks(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, int, int, int]
             edits, a, b = align(index.letters[i], part, low - left, high - left)
         if edits <= e:
             found.setdefault((t, i), []).append((edits, a + left, b + left))
+    for t, i, a, b in _whole_words(index, letters, source, starts, ends):
+        found.setdefault((t, i), []).append((0, a, b))
     for (t, i), places in found.items():
         taken: list[tuple[int, int]] = []
         for edits, a, b in sorted(places):
@@ -181,7 +210,8 @@ def benchmark_leaks(
 
     Columns doc_id, item_id, start, length (code points of the raw text) and edits. Null and empty
     texts hold nothing. Rows that repeat are reported again. Items with fewer than MIN_LENGTH
-    letters and digits name no passage and are left out. Other columns play no part.
+    letters and digits allow no edits; those with fewer than Q must also begin and end where words of
+    the text do. Items without any are left out. Other columns play no part.
     """
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     id_field, item_field = docs.schema["doc_id"], benchmark.schema[item_id_col]
