@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,17 @@ class Scratch:
         self._paths[id(out)] = out, path
         return out
 
+    def write_each(self, parts: Iterable[DataFrame], step: str) -> DataFrame:
+        """One table of the rows of several, each written before the next is asked for."""
+        path = staging_path(self.spark, f"{self.name}-{step}")
+        schema = None
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+            schema = df.schema
+        out = self.spark.read.schema(schema).parquet(path)
+        self._paths[id(out)] = out, path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         _, path = self._paths.pop(id(df))
