@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 def test_all_operators_are_registered():
     numbers = {int(name[2:].split("_")[0]) for name in catalog.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(catalog.QUERIES) | {"pipeline"} <= set(entry_points.queries())
 
 

@@ -93,8 +93,8 @@ INDEX = (
 class _Builder:
     """Collects documents until they make a segment."""
 
-    def __init__(self, numbers: dict[bytes, int]):
-        self.numbers = numbers
+    def __init__(self, numbers: dict[bytes, int], most: int = SEGMENT_DOCS):
+        self.numbers, self.most = numbers, most
         self.start()
 
     def start(self) -> None:
@@ -117,7 +117,7 @@ class _Builder:
             self.lengths.append(n)
 
     def full(self) -> bool:
-        return len(self.docs) >= SEGMENT_DOCS or len(self.term) >= SEGMENT_POSTINGS
+        return len(self.docs) >= self.most or len(self.term) >= SEGMENT_POSTINGS
 
     def segment(self) -> list:
         term = np.array(self.term, np.int64)
@@ -143,7 +143,7 @@ def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-def segments(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
+def segments(docs: DataFrame, numbers: dict[bytes, int], most: int = SEGMENT_DOCS) -> DataFrame:
     """Inverted lists of the numbered terms: one row for each few thousand documents.
 
     ``docs`` has the columns doc and text. A segment lists the documents that hold such a term;
@@ -152,7 +152,7 @@ def segments(docs: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
     schema, shared = _schema(SEGMENT), docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches):
-        builder = _Builder(shared.value)
+        builder = _Builder(shared.value, most)
         for batch in batches:
             texts = batch["text"].cast(pa.large_binary())
             for doc, text in zip(batch["doc"].to_pylist(), texts, strict=True):
@@ -445,6 +445,7 @@ def ranked(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    segment_docs: int = SEGMENT_DOCS,
 ) -> DataFrame:
     """Per item the ``k`` documents of the highest score above 0: item_id, rank from 1, doc_id, score.
 
@@ -462,7 +463,7 @@ def ranked(
 
     def found() -> Iterator[DataFrame]:
         for block, (numbers, own) in enumerate(_blocks(items)):
-            stored = scratch.write(segments(docs, numbers), f"segments-{block}")
+            stored = scratch.write(segments(docs, numbers, segment_docs), f"segments-{block}")
             statistics, df = _statistics(stored, len(numbers))
             index = with_bounds(stored, statistics, paired_terms(own, df))
             index = scratch.write(index, f"index-{block}")
