@@ -30,19 +30,21 @@ KINDS = ["assign", "access", "hex", "random"]
 SHORTEST = 16
 RUN = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
 # A run that fits no encoding is cut at + and /, and what then fits none at all separators but
-# those between groups of hex digits.
+# those between groups of hex digits. Groups repeat possessively: other repeats of a group take a
+# stack frame each, which very long texts exhaust.
 PARTS = [
     f"[A-Za-z0-9_-]{{{SHORTEST},}}",
-    "(?<![A-Za-z0-9])(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)"
-    f"(?![A-Za-z0-9])|[A-Za-z0-9]{{{SHORTEST},}}",
+    "(?<![A-Za-z0-9])(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,}+(?![A-Za-z0-9]))++"
+    "|[0-9A-F]{4,}(?:-[0-9A-F]{4,}+(?![A-Za-z0-9]))++)"
+    f"|[A-Za-z0-9]{{{SHORTEST},}}",
 ]
 # Encodings by the characters a run must and may use, and their alphabets in code order.
 DIGITS, UP, LOW = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = {
     "hex": ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     "upperhex": ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
-    "hexgroups": ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+(?:-[0-9a-f]+)+$", DIGITS + "abcdef"),
-    "upperhexgroups": ("^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+(?:-[0-9A-F]+)+$", DIGITS + "ABCDEF"),
+    "hexgroups": ("^(?=.*[0-9])(?=.*[a-f])(?=.*-)(?!.*--)[0-9a-f][0-9a-f-]*[0-9a-f]$", DIGITS + "abcdef"),
+    "upperhexgroups": ("^(?=.*[0-9])(?=.*[A-F])(?=.*-)(?!.*--)[0-9A-F][0-9A-F-]*[0-9A-F]$", DIGITS + "ABCDEF"),
     "base32": ("^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UP + "234567"),
     "base36": ("^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOW),
     "upper36": ("^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UP),
@@ -52,19 +54,62 @@ ENCODINGS = {
     "base64url": ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UP + LOW + DIGITS + "-_"),
 }
 FDR = 0.01
+_CHUNK = 256  # matches placed at a time
 _STEP, _WORST = 20, 6000  # p-values are binned by 20 steps a decade, down to 1e-300
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, pattern: str, kind: str, passes) -> Column:
     """Array of (start, end, kind, value): leftmost matches of ``pattern`` that pass."""
+
+    def located(matches: Column) -> Column:
+        # Chunk by chunk, so that no growing list is copied for every match of a long text.
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _CHUNK).cast("int")),
+            lambda c: F.slice(matches, c * _CHUNK + 1, F.lit(_CHUNK)),
+        )
+        return _let(chunks, lambda parts: F.flatten(F.zip_with(parts, _starts(parts), _walk)))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    # The end of each match is carried on to the next.
-    walk = F.aggregate(
-        F.arrays_zip(found.alias("value"), gaps.alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out")),
+    walk = _let(F.arrays_zip(found.alias("value"), gaps.alias("gap")), located)
+    spans = F.transform(
+        F.filter(walk, lambda s: passes(s["value"])),
+        lambda s: F.struct(
+            s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"], s["value"]
+        ),
+    )
+    # Almost every text holds no match: one search settles those.
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
+
+def _length(match: Column) -> Column:
+    return match["gap"] + F.coalesce(F.length(match["value"]), F.lit(0))
+
+
+def _starts(parts: Column) -> Column:
+    """Where each chunk of matches begins in the text."""
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, part: F.struct(
+            F.aggregate(part, acc["at"], lambda at, m: at + _length(m)).alias("at"),
+            F.concat(acc["out"], F.array(acc["at"])).alias("out"),
+        ),
+    )["out"]
+
+
+def _walk(part: Column, start: Column) -> Column:
+    """A chunk's matches with their places; the end of each is carried on to the next."""
+    return F.aggregate(
+        part,
+        F.struct(start.alias("at"), F.array().cast(MATCHES).alias("out")),
         lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(F.length(m["value"]), F.lit(0))).alias("at"),
+            (acc["at"] + _length(m)).alias("at"),
             F.when(
                 m["value"].isNotNull(),
                 F.concat(
@@ -72,7 +117,7 @@ def _spans(text: Column, pattern: str, kind: str, passes) -> Column:
                     F.array(
                         F.struct(
                             (acc["at"] + m["gap"]).alias("start"),
-                            (acc["at"] + m["gap"] + F.length(m["value"])).alias("end"),
+                            (acc["at"] + _length(m)).alias("end"),
                             m["value"].alias("value"),
                         )
                     ),
@@ -82,14 +127,6 @@ def _spans(text: Column, pattern: str, kind: str, passes) -> Column:
             .alias("out"),
         ),
     )["out"]
-    spans = F.transform(
-        F.filter(walk, lambda s: passes(s["value"])),
-        lambda s: F.struct(
-            s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"], s["value"]
-        ),
-    )
-    # Almost every text holds no match: one search settles those.
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 MATCHES = "array<struct<start:int,end:int,value:string>>"
@@ -164,7 +201,7 @@ def randomness(value: Column, encoding: Column) -> Column:
     drawn = _symbols(value, encoding)
     codes = F.transform(F.split(drawn, ""), lambda c: F.instr(alphabet, c) - 1)
     read = F.struct(codes.alias("codes"), F.length(alphabet).cast("double").alias("size"))
-    return F.transform(F.array(read), _battery)[0]  # named once, so computed once
+    return _let(read, _battery)
 
 
 def _battery(s: Column) -> Column:
@@ -232,17 +269,21 @@ def secret_spans(
         for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", "[0-9a-f]{32,}"))
     ]
     runs = _fitting(_spans(text, RUN, "random", lambda v: F.length(v) >= SHORTEST), PARTS)
-    tested = F.transform(
+    named = F.transform(
         runs,
+        lambda s: F.struct(
+            s["start"], s["kind"], s["end"], s["value"], _encoding(s["value"]).alias("encoding")
+        ),
+    )
+    tested = F.transform(
+        named,
         lambda s: F.struct(
             s["start"],
             s["kind"],
             s["end"],
-            _encoding(s["value"]).alias("encoding"),
-            F.floor(F.log2(F.length(_symbols(s["value"], _encoding(s["value"])))))
-            .cast("int")
-            .alias("octave"),
-            randomness(s["value"], _encoding(s["value"]))["p"].alias("p"),
+            s["encoding"],
+            F.floor(F.log2(F.length(_symbols(s["value"], s["encoding"])))).cast("int").alias("octave"),
+            randomness(s["value"], s["encoding"])["p"].alias("p"),
         ),
     )
     found = scratch.write(
