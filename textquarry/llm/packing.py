@@ -12,7 +12,6 @@ import functools
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,6 +29,7 @@ _MAX_NUMBER = 44  # bits for a piece's number among those of its length
 @functools.cache
 def encoder(vocabulary: str):
     """Encoder of a byte-level BPE vocabulary stored as ranks, with its one special token."""
+    import public_tokenizers
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
@@ -42,11 +42,32 @@ def encoder(vocabulary: str):
     )
 
 
+@functools.cache
+def _whole_vocabulary(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str, ranks: str, vocabulary: str) -> np.ndarray:
+    """Ids of a whole text without the end id.
+
+    The encoder of the ranks is the faster one but gives up on very long white space; the library
+    that reads the whole vocabulary then gives the ids, which are the same.
+    """
+    try:
+        return encoder(ranks).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        found = _whole_vocabulary(vocabulary).encode(text, add_special_tokens=False)
+        return np.array(found.ids, np.uint32)
+
+
 def token_pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
+    ranks: str | None = None,
     vocabulary: str | None = None,
     keep_ids: bool = True,
 ) -> DataFrame:
@@ -54,9 +75,13 @@ def token_pieces(
 
     Returns doc_id, start, length, ids (array, null unless ``keep_ids``), ids_crc32, doc_tokens,
     and part and rank: the piece is the rank-th of its length in that partition. A null text counts
-    as empty and gives the end id alone. Rows that repeat give their pieces again.
+    as empty and gives the end id alone. Rows that repeat give their pieces again. ``ranks`` and
+    ``vocabulary`` are files of one byte-level vocabulary, for the libraries tiktoken and tokenizers.
     """
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    import public_tokenizers
+
+    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"doc_id {id_type}, start long, length long, ids array<int>, ids_crc32 long, "
@@ -64,7 +89,6 @@ def token_pieces(
     )
 
     def cut(batches):
-        encode = encoder(path).encode_to_numpy
         part = TaskContext.get().partitionId()
         seen = [0] * (window + 1)
         for batch in batches:
@@ -72,7 +96,7 @@ def token_pieces(
                 some = batch.slice(at, 256)
                 out = []
                 for doc, text in zip(some["doc_id"], some["text"].to_pylist(), strict=True):
-                    ids = encode(text or "", allowed_special="all", disallowed_special=())
+                    ids = token_ids(text or "", ranks, vocabulary)
                     ids = np.append(ids, END_ID).astype("<u4")
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
