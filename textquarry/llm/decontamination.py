@@ -152,18 +152,22 @@ def leaks(chunk: Chunk, index: Index) -> Iterator[tuple[int, int, int, int, int]
     text = np.searchsorted(ends, at, side="right")
     inside = at + Q <= ends[np.minimum(text, len(ends) - 1)]
     at, item, item_at, text = at[inside], item[inside], item_at[inside], text[inside]
-    diagonal = at - starts[text] - item_at + len(letters)
+    offset = len(letters) + int(item_at.max(initial=0))  # no diagonal is negative
+    diagonal = at - starts[text] - item_at + offset
     width = index.edits[item] + 1
     band = diagonal // width
-    key = (text * np.int64(len(index.ids) or 1) + item) << np.int64(32)
-    keys, counts = np.unique(np.concatenate([key + band, key + band - 1]), return_counts=True)
-    pair = keys >> np.int64(32)
+    # Pairs that share anything get small numbers: texts times items may pass 32 bits.
+    pairs, number = np.unique(text * np.int64(len(index.ids) or 1) + item, return_inverse=True)
+    key = number.astype(np.int64) << np.int64(32)
+    # Bands overlap by half: a hit counts for its own and the one before, numbered from 1 and 0 on.
+    keys, counts = np.unique(np.concatenate([key + band, key + band + 1]), return_counts=True)
+    pair = pairs[keys >> np.int64(32)]
     enough = counts >= index.least[pair % (len(index.ids) or 1)]
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for k in keys[enough]:
-        t, i = divmod(int(k >> 32), len(index.ids))
+    for k, own_pair in zip(keys[enough], pair[enough], strict=True):
+        t, i = divmod(int(own_pair), len(index.ids))
         e = int(index.edits[i])
-        low = int(k & 0xFFFFFFFF) * (e + 1) - len(letters) - e
+        low = (int(k & 0xFFFFFFFF) - 1) * (e + 1) - offset - e
         high = low + 2 * (e + 1) + 2 * e
         own = letters[starts[t] : ends[t]]
         left = max(0, low)
