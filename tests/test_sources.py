@@ -171,3 +171,126 @@ def test_envelopes_with_any_key_and_unreadable_bodies(spark, tmp_path):
         path.write_text(body)
         with pytest.raises(Exception):
             evalsets.scan_open_book(spark, str(path)).collect()
+
+
+class Small:
+    """Files of a few hundred bytes already count as large, and splits are small."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+
+    def __exit__(self, *_):
+        self.spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+ODD = [
+    ('q "1" }', 'a } b { [ ] "x" \\" \\\\'),
+    ("", "line\nend\r\nmore, \"quoted\""),
+    ("é" * 50, "}" * 40 + "{" * 3 + "\\"),
+    ("\\\\\"", "]} , {"),
+]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("envelope", [False, True])
+def test_large_arrays_are_read_by_many_tasks(spark, tmp_path, envelope, indent):
+    for file in ("a.json", "b.json"):
+        rows = [{"context": c + str(i), "question": q + file, "more": {"x": [{"y": "}"}, {}]}}
+                for i in range(60) for q, c in ODD]
+        other = {"z \"}[ rows": rows, "other": [{"question": "no", "context": "no"}], "n": {"a": {}}}
+        (tmp_path / file).write_text(json.dumps(other if envelope else rows, indent=indent) + "\n")
+    with Small(spark):
+        got = evalsets.scan_open_book(spark, str(tmp_path / "*.json"), whole_below=100)
+        pieces = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+        assert pieces > 6
+        files = {}
+        for r in got.orderBy("file", "row").collect():
+            files.setdefault(r.file[-6:], []).append((r.row, r.question, r.context))
+    want = [(q, c + str(i)) for i in range(60) for q, c in ODD]
+    assert files == {f: [(n, q + f, c) for n, (q, c) in enumerate(want, 1)] for f in ("a.json", "b.json")}
+
+
+def test_large_files_that_hold_no_array(spark, tmp_path):
+    for i, body in enumerate(("{}", '{"a": 1, "b": [{}]}', "nothing}", '{"a": {"b": [{}]}}', "  ")):
+        (tmp_path / f"bad{i}.json").write_text(body)
+        with pytest.raises(Exception, match="no array of rows"):
+            evalsets.scan_open_book(spark, str(tmp_path / f"bad{i}.json"), whole_below=1).collect()
+    (tmp_path / "half.json").write_text('[{"question": "q"}, 3, {"question": "r"}]')
+    with pytest.raises(Exception):
+        evalsets.scan_open_book(spark, str(tmp_path / "half.json"), whole_below=1).collect()
+    for i, body in enumerate(("[]", ' { "a" : [ ] , "b" : [{"question": "no"}]}', "[\n]\n")):
+        (tmp_path / f"none{i}.json").write_text(body)
+        got = evalsets.scan_open_book(spark, str(tmp_path / f"none{i}.json"), whole_below=1)
+        assert got.count() == 0
+
+
+def test_a_64_mb_array_is_not_one_task(spark, tmp_path):
+    item = json.dumps({"question": "q{}", "context": "c [\"]\\" * 60})
+    n = (64 << 20) // len(item) + 1
+    (tmp_path / "big.json").write_text("[" + ",".join([item] * n) + "]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(8 << 20))
+    try:
+        rows = evalsets.scan_open_book(spark, str(tmp_path / "big.json"), whole_below=1 << 20)
+        got = rows.selectExpr("count(*)", "count(DISTINCT row)", "max(row)", "max(length(context))")
+        got = got.first()
+        splits = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+        assert splits >= 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tuple(got) == (n, n, n, 360)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_csv_is_read_by_many_tasks(spark, tmp_path, end):
+    for file in ("a.csv", "b.csv"):
+        with open(tmp_path / file, "w", newline="") as f:
+            writer = csv.writer(f, lineterminator=end)
+            writer.writerow(["id", "context", "question \"x\"", "question"])
+            for i in range(80):
+                for q, c in ODD:
+                    writer.writerow((i, c.replace("\r", "") + str(i), "", q.strip() + file))
+                if i % 9 == 0:
+                    f.write(end)
+    with Small(spark):
+        small = evalsets.scan_open_book(spark, str(tmp_path / "*.csv"), whole_below=100)
+        got = sorted((r.file[-5:], r.row, r.question, r.context) for r in small.collect())
+    want = [(q, c.replace("\r", "") + str(i)) for i in range(80) for q, c in ODD]
+    assert got == [(f, n, q.strip() + f, c) for f in ("a.csv", "b.csv") for n, (q, c) in enumerate(want, 1)]
+    (tmp_path / "b.csv").write_text("id,question,context\n1,q,c\n")
+    with pytest.raises(Exception, match="another header"):
+        evalsets.scan_open_book(spark, str(tmp_path / "*.csv"), whole_below=10).collect()
+
+
+def test_results_as_one_array(spark, tmp_path):
+    rows = [(q, f"q{q}", 'a "é"\n' + "x" * q) for q in range(30)] + [(30, None, "last")]
+    df = spark.createDataFrame(rows, "q bigint, question string, answer string").repartition(7)
+    for files in (1, None):
+        path = tmp_path / f"r{files}"
+        sinks.write_array(df, str(path), ["q"], files)
+        parts = sorted(p for p in path.iterdir() if p.name.startswith("part-"))
+        arrays = [json.loads(p.read_text("utf-8")) for p in parts]
+        assert len(arrays) == 1 or files is None
+        flat = [(r["q"], r["question"], r["answer"]) for a in arrays for r in a]
+        assert flat == rows
+        back = evalsets.scan_results(spark, str(path)).orderBy("q").collect()
+        assert [tuple(r) for r in back] == rows
+    sinks.write_array(df.where("q < 0"), str(tmp_path / "none"), ["q"], 1)
+    (part,) = [p for p in (tmp_path / "none").iterdir() if p.name.startswith("part-")]
+    assert json.loads(part.read_text()) == []
+    assert evalsets.scan_results(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rerun_of_one_label_and_round_leaves_the_others(spark, tmp_path):
+    path, schema = str(tmp_path / "r"), "model_label string, round int, q bigint, answer string"
+    first = [(m, n, q, "old") for m in ("base", "tuned") for n in (1, 2) for q in (1, 2, 3)]
+    sinks.write_results(spark.createDataFrame(first, schema), path, by=["model_label", "round"])
+    again = [("tuned", 2, 1, "new"), ("tuned", 3, 1, "new")]
+    sinks.write_results(spark.createDataFrame(again, schema), path, by=["model_label", "round"])
+    got = spark.read.schema("q bigint, answer string, model_label string, round int").json(path)
+    want = [r for r in first if r[:2] != ("tuned", 2)] + again
+    assert sorted((r.model_label, r.round, r.q, r.answer) for r in got.collect()) == sorted(want)
+    sinks.write_results(spark.createDataFrame(again[:1], schema), path)
+    assert spark.read.json(path).count() == 1

@@ -64,6 +64,30 @@ def open_book_blocks() -> Column:
     )
 
 
+def closed_book_header(
+    label: Column | str, answered: Column, total: Column, title: str = "BATCH TEST RESULTS"
+) -> Column:
+    """Head of a closed-book report."""
+    return F.concat(
+        F.lit(f"{title}\nModel: "), label, F.lit("\nQuestions answered: "), answered,
+        F.lit("/"), total, F.lit(f"\n{RULE}\n"),
+    )
+
+
+def open_book_header(
+    label: Column | str,
+    answered: Column,
+    total: Column,
+    source: str = "",
+    title: str = "RAG EVALUATION RESULTS",
+) -> Column:
+    """Head of an open-book report, with the input's name."""
+    return F.concat(
+        F.lit(f"{title}\nModel  : "), label, F.lit(f"\nInput  : {source}\nRows answered: "),
+        answered, F.lit("/"), total, F.lit(f"\n{RULE}\n"),
+    )
+
+
 def closed_book_report(
     results: DataFrame,
     total: DataFrame,
@@ -76,10 +100,7 @@ def closed_book_report(
     ``total`` is a one-row table with the number of questions. Lines stay rows, so a report of any
     length is sorted and written by many tasks.
     """
-    header = F.concat(
-        F.lit(f"{title}\nModel: "), label, F.lit("\nQuestions answered: "), "answered",
-        F.lit("/"), F.col("total"), F.lit(f"\n{RULE}\n"),
-    )
+    header = closed_book_header(label, F.col("answered"), F.col("total"), title)
     return _report(results, total, header, closed_book_blocks(), "q", keys)
 
 
@@ -109,10 +130,7 @@ def open_book_report(
     title: str = "RAG EVALUATION RESULTS",
 ) -> DataFrame:
     """As ``closed_book_report`` with the input's name and each context's length."""
-    header = F.concat(
-        F.lit(f"{title}\nModel  : "), label, F.lit(f"\nInput  : {source}\nRows answered: "),
-        "answered", F.lit("/"), F.col("total"), F.lit(f"\n{RULE}\n"),
-    )
+    header = open_book_header(label, F.col("answered"), F.col("total"), source, title)
     return _report(results, total, header, open_book_blocks(), "row", keys)
 
 

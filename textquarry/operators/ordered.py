@@ -1,20 +1,25 @@
 """Order-dependent work on groups of any size.
 
-A window over a whole group puts that group in one task. Here a group is first cut into blocks
-of its integer order column. Only block totals meet in one window, never the rows, and the totals
-are themselves summed in two levels, so one hot group still spreads over the cluster.
+A window over a whole group puts that group in one task. Here the rows, sorted by group and order,
+are cut into blocks of about equal numbers of rows. Small groups share a block and are done there. Of a
+group that crosses a border only the blocks' totals meet in one window, never the rows, so one hot
+group still spreads over the cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textquarry.functions.text import let
+
 BLOCK = 10_000
-SUPER_BLOCK = 1_000
+# Rows that the borders of blocks are taken from; there are no more blocks than that.
+SAMPLE = 4_096
 
 
 def whole_quotient(value: Column, divisor: int) -> Column:
@@ -22,6 +27,51 @@ def whole_quotient(value: Column, divisor: int) -> Column:
     return F.call_function("div", value, F.lit(divisor)).cast("bigint")
 
 
+def _borders(df: DataFrame, place: Column, block: int) -> tuple[Column, int]:
+    """First places of all blocks but the first, ascending and about ``block`` rows apart, as a
+    constant array, and how many they are.
+
+    They come from the SAMPLE rows of the lowest hashes, which are a fair sample of any table, however
+    its places are spread; the highest of these hashes also tells how many rows there are. They are
+    fetched at once: one job over the group and order columns.
+    """
+    sample = df.select(F.xxhash64(place).alias("hash"), place.alias("place"))
+    sample = sample.orderBy("hash").limit(SAMPLE)
+    taken = F.count("*").cast("double")
+    share = (F.max("hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    rows = F.when(taken < SAMPLE, taken).otherwise(taken / share)
+    every = F.greatest(F.lit(1), F.ceil(taken * block / F.greatest(rows, F.lit(1.0))))
+    places = sample.agg(F.array_sort(F.collect_list("place")).alias("places"), every.alias("every"))
+    kept = F.filter("places", lambda _, i: (i > 0) & (i % F.col("every") == 0)).alias("first")
+    first = places.select(kept)
+    text, n = first.select(F.to_json("first"), F.size("first")).first()
+    return F.from_json(F.lit(text), first.schema["first"].dataType), n
+
+
+def _found(place: Column, keys: Sequence[str], first: Column, n: int) -> Column:
+    """``struct<block, crosses>``: how many of ``n`` borders are at or before ``place``, and whether
+    the group goes on beyond its block.
+
+    A block begins with its border's row, so a group that goes on in the next block is its border's.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    at = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(first, at + step - 1) <= place, at + step).otherwise(at),
+    )
+
+    def crosses(border: Column) -> Column:
+        same = [border[k] == F.col(k) for k in keys]
+        return F.coalesce(reduce(Column.__and__, same, border.isNotNull()), F.lit(False))
+
+    def told(at: Column) -> Column:
+        beside = F.array(F.get(first, at), F.get(first, at - 1))
+        return F.struct(at.cast("bigint").alias("block"), F.exists(beside, crosses).alias("crosses"))
+
+    return let(at, told)
+
+
 def prefix_sum(
     df: DataFrame,
     order: str,
@@ -29,15 +79,15 @@ def prefix_sum(
     out: str,
     keys: Sequence[str] = (),
     block: int = BLOCK,
-    super_block: int = SUPER_BLOCK,
     keep_block: bool = False,
     costly: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one inside its group.
 
-    ``order`` is an integer column, unique and not null inside a group; ``keys`` are not null.
-    Rows are shuffled once, by group and block, and blocks hold about ``block`` rows. With
-    ``keep_block`` the rows also tell their ``_value``, their ``_block`` and its sums,
+    ``order`` is an integer column, or any that sorts, unique and not null inside a group; ``keys``
+    are not null. Rows are shuffled once, by group and block. Blocks hold about ``block`` rows
+    whatever the values of ``order`` and the sizes of groups, more when there are over SAMPLE blocks.
+    With ``keep_block`` the rows also tell their ``_value``, their ``_block`` and its sums,
     ``_block_start`` before it and ``_block_end`` after it.
 
     Block totals are summed where the rows are read, from the columns they need. A ``costly`` value
@@ -45,47 +95,41 @@ def prefix_sum(
     """
     keys = list(keys)
     value = F.lit(value) if isinstance(value, int) else value
-    # Blocks of equal width in the order column, as wide as gives ``block`` rows on average: ids
-    # that are hashes or timestamps leave gaps, and blocks must follow the rows, not the gaps.
-    low, high = F.min(order).cast("double"), F.max(order).cast("double")
-    width = F.ceil((high - low + 1) / F.ceil(F.count("*") / block))
-    width = F.greatest(F.lit(1), F.coalesce(width, F.lit(1))).cast("bigint")
-    width = df.agg(width.alias("width")).scalar()
-    in_block = F.call_function("div", F.col(order), width).cast("bigint").alias("_block")
-    blocked = df.select("*", in_block)
+    place = F.struct(*keys, order)
+    first, n = _borders(df, place, block)
+    if n:
+        blocked = df.select("*", _found(place, keys, first, n).alias("_found"))
+        blocked = blocked.select(
+            *df.columns, F.col("_found.block").alias("_block"), F.col("_found.crosses").alias("_crosses")
+        )
+    else:
+        blocked = df.select("*", F.lit(0).cast("bigint").alias("_block"))
     if costly:
         blocked = blocked.repartition(*keys, "_block")
     rows = blocked.select("*", value.cast("bigint").alias("_value"))
 
-    blocks = rows.groupBy(*keys, "_block").agg(
-        F.sum("_value").alias("_total"),
-        F.any_value(whole_quotient(F.col("_block"), super_block)).alias("_super"),
-    )
-    # Both uses below read this one shuffle.
-    blocks = blocks.repartition(*keys, "_super")
-    supers = blocks.groupBy(*keys, "_super").agg(F.sum("_total").alias("_total"))
-
     def before(*within: str, order_by: str, value: str) -> Column:
         frame = W.partitionBy(*within).orderBy(order_by)
         frame = frame.rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum(value).over(frame), F.lit(0))
 
-    supers = supers.select(
-        *keys, "_super", before(*keys, order_by="_super", value="_total").alias("_start")
-    )
-    before_block = before(*keys, "_super", order_by="_block", value="_total")
-    starts = blocks.join(supers, [*keys, "_super"]).select(
-        *keys, "_block", (F.col("_start") + before_block).alias("_block_start"), "_total"
-    )
+    if n:
+        totals = rows.where("_crosses").groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+        # One group at most crosses a border, so there are two totals at most for each of SAMPLE borders.
+        earlier = before(*keys, order_by="_block", value="_total").alias("_block_start")
+        starts = totals.select(*keys, "_block", earlier)
+        placed = rows.join(F.broadcast(starts), [*keys, "_block"], "left")
+        start = F.coalesce("_block_start", F.lit(0))
+    else:
+        placed, start = rows, F.lit(0).cast("bigint")
     before_row = before(*keys, "_block", order_by=order, value="_value")
-    names = [c for c in df.columns if c != out]
-    block_end = (F.col("_block_start") + F.col("_total")).alias("_block_end")
-    block_columns = ["_value", "_block", "_block_start", block_end]
-    # The hint keeps the rows on the probe side, spread by block: broadcasting them to the few
-    # blocks would leave the work to the blocks' tasks.
-    return rows.join(starts.hint("shuffle_hash"), [*keys, "_block"]).select(
-        *names,
-        (F.col("_block_start") + before_row).alias(out),
+    whole_block = F.sum("_value").over(W.partitionBy(*keys, "_block"))
+    block_columns = [
+        "_value", "_block", start.alias("_block_start"), (start + whole_block).alias("_block_end")
+    ]
+    return placed.select(
+        *[c for c in df.columns if c != out],
+        (start + before_row).alias(out),
         *(block_columns if keep_block else []),
     )
 

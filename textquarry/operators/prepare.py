@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +113,24 @@ def training_documents_by_tier(
     return tiered.withColumn("text", tokens.decode(head))
 
 
+def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """``(stage, n)``: what reaches each stage, all counted in one pass.
+
+    A stage is a condition, whose rows are counted, or a number per row, which is summed.
+    """
+    kinds = dict(df.select(*[value.alias(name) for name, value in stages.items()]).dtypes)
+    totals = df.agg(
+        *[
+            (F.count_if(value) if kinds[name] == "boolean" else F.coalesce(F.sum(value), F.lit(0)))
+            .cast("bigint")
+            .alias(name)
+            for name, value in stages.items()
+        ]
+    )
+    rows = [F.struct(F.lit(name).alias("stage"), F.col(f"`{name}`").alias("n")) for name in stages]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def start_row(df: DataFrame, start: int, row: str = "row") -> DataFrame:
     return df.where(F.col(row) >= start)
 

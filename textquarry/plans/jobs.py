@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from textquarry import schemas
 from textquarry.functions import prompts
-from textquarry.functions.text import clean, word_count
+from textquarry.functions.text import clean, not_blank, strip, word_count
 from textquarry.functions.tokens import EOS, encode_document
 from textquarry.operators import completion, pairs, prepare, rounds
 from textquarry.operators.packing import pack_sequences
 from textquarry.operators.sampling import seeded_sample
 from textquarry.session import hadoop, stage
-from textquarry.sources.corpus import preferred_source
+from textquarry.sources.corpus import (
+    latest_snapshot_path,
+    preferred_source,
+    scan_corpus,
+    scan_directory,
+    with_doc_ids,
+)
 from textquarry.sources.sinks import write_pairs
 from textquarry.sources.tiers import BOUNDS, PACKED_LENGTH, TIERS
 
@@ -156,6 +162,46 @@ def pretraining_set(
     return pack_sequences(texts, length or PACKED_LENGTH[tier], **options)
 
 
+def raw_corpus(
+    spark: SparkSession, directory: str | None = None, versions: str | None = None
+) -> DataFrame:
+    """Texts of a raw corpus: the JSONL and TXT files of ``directory``, else the newest snapshot.
+
+    ``versions`` holds a folder per snapshot, named by its number, each with ``corpus.jsonl``. The
+    folders are listed and only the newest one that holds such a file is read.
+    """
+    if directory is not None:
+        return scan_directory(spark, directory)
+    newest = latest_snapshot_path(spark, versions) if versions is not None else None
+    if newest is None:
+        raise FileNotFoundError(f"no snapshot with a corpus.jsonl in {versions}")
+    return scan_corpus(spark, newest).select("text")
+
+
+def raw_corpus_set(
+    spark: SparkSession,
+    directory: str | None = None,
+    versions: str | None = None,
+    tier: str = "8gb",
+    **options,
+) -> tuple[DataFrame, Observation]:
+    """The raw corpus cleaned and packed, and what was loaded and kept.
+
+    Texts are numbered in reading order and stored once, after cleaning, with the number of them
+    counted on the way; ``options`` go to ``pretraining_set``. The observation holds ``loaded`` and
+    ``cleaned`` rows.
+    """
+    counts = Observation()
+    longer_than, eos = options.get("longer_than", 10), options.get("eos", EOS)
+    kept = not_blank("text") & (F.length(strip("text")) + len(eos) > longer_than)
+    texts = raw_corpus(spark, directory, versions)
+    seen = texts.select("text", F.coalesce(kept, F.lit(False)).alias("kept")).observe(
+        counts, F.count("*").alias("loaded"), F.count_if("kept").alias("cleaned")
+    )
+    docs = with_doc_ids(seen.where("kept").select("text"))
+    return pretraining_set(docs, tier, **options), counts
+
+
 def fine_tuning_set(
     spark: SparkSession, pairs_path: str, corpus_path: str, tier: str, eos: str = EOS
 ) -> DataFrame:

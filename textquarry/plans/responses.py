@@ -12,6 +12,7 @@ from textquarry.functions.parsing import (
     salvage_error,
     with_pairs,
 )
+from textquarry.functions.text import has_words
 from textquarry.operators import evaluation, pairs, prepare
 from textquarry.operators.ordered import whole_quotient
 from textquarry.plans.registry import (
@@ -32,8 +33,8 @@ FORMS = ["array", "fenced", "prose", "objects", "marked", "none", "error", "fail
 SQL_FORM = f"({FORMS})[doc_id % {len(FORMS)} + 1]"
 
 
-def _ledger(docs: DataFrame) -> DataFrame:
-    """Responses rendered from the documents, two pairs each, in every form."""
+def _answered(docs: DataFrame) -> DataFrame:
+    """Documents with the response rendered from them, two pairs each, in every form."""
     forms = F.array(*[F.lit(name) for name in FORMS])
     form = F.get(forms, F.col("doc_id") % len(FORMS))
     q1 = F.concat(F.lit("What is said in "), "citation", F.lit("?"))
@@ -64,9 +65,11 @@ def _ledger(docs: DataFrame) -> DataFrame:
         .when(form == "none", none)
     )
     error = F.to_json(F.struct(F.concat(F.lit(SALVAGE_MARKER), array).alias("error")))
-    return docs.select(
-        "doc_id", response.alias("response"), F.when(form == "error", error).alias("error_body")
-    )
+    return docs.withColumns({"response": response, "error_body": F.when(form == "error", error)})
+
+
+def _ledger(docs: DataFrame) -> DataFrame:
+    return _answered(docs).select("doc_id", "response", "error_body")
 
 
 # The pairs each document must give, stated from the same columns without any parsing.
@@ -86,10 +89,10 @@ SQL_PAIRS = f"""
 
 @query(
     "n_parse_pairs",
-    f"SELECT doc_id, pair_no, question, answer FROM ({SQL_PAIRS}) WHERE form <> 'error'",
+    f"SELECT doc_id, pair_no, question, answer FROM ({SQL_PAIRS})",
 )
 def parse_pairs(spark, sf_dir) -> DataFrame:
-    parsed = with_pairs(_ledger(corpus(spark, sf_dir)))
+    parsed = with_pairs(pairs.responses(_ledger(corpus(spark, sf_dir))))
     return exploded_pairs(parsed, "doc_id").select("doc_id", "pair_no", "pair.*")
 
 
@@ -245,17 +248,14 @@ def compare(spark, sf_dir) -> DataFrame:
         UNION ALL SELECT 'pairs', count(*) FROM ({SQL_PAIRS})""",
 )
 def stage_counts(spark, sf_dir) -> DataFrame:
-    docs = corpus(spark, sf_dir)
+    """What a generation run loads, asks about and parses, counted while it is parsed once."""
+    parsed = with_pairs(pairs.responses(_answered(corpus(spark, sf_dir))))
     stages = {
-        "loaded": docs,
-        "long enough": prepare.min_words(docs),
-        "pairs": pairs.enriched_pairs(_parsed(spark, sf_dir)),
+        "loaded": F.lit(True),
+        "long enough": has_words("text", 50),
+        "pairs": F.size("pairs"),
     }
-    counts = [
-        stage.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n")
-        for name, stage in stages.items()
-    ]
-    return prepare.concatenate(*counts)
+    return prepare.stage_counts(parsed, stages)
 
 
 @query(
