@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,6 +98,33 @@ def truncate_answer_lines(text: Column | str, n: int) -> Column:
     return F.array_join(F.transform(F.split(col(text), "\n"), cut), "\n")
 
 
+def truncated_lengths(text: Column | str, limits: Sequence[int | None]) -> Column:
+    """Lengths of ``truncate_answer_lines`` for each limit, None for the whole text, as an array.
+
+    Counted from the lengths of the lines, without building the texts.
+    """
+
+    def counted(lines: Column) -> Column:
+        def total(limit: int | None) -> Column:
+            def length(line: Column) -> Column:
+                whole = line["length"]
+                if limit is None:
+                    return whole
+                return F.when(line["answer"] & (whole > limit), limit + len(ELLIPSIS)).otherwise(whole)
+
+            return F.aggregate(lines, F.size(lines) - 1, lambda sum_, line: sum_ + length(line))
+
+        return F.array(*[total(limit) for limit in limits])
+
+    lines = F.transform(
+        F.split(col(text), "\n"),
+        lambda line: F.struct(
+            F.length(line).alias("length"), F.startswith(line, F.lit("A: ")).alias("answer")
+        ),
+    )
+    return let(lines, counted)
+
+
 def fixed_decimals(value: Column | str, places: int = 4) -> Column:
     """``%.<places>f`` with the exact binary value rounded half-even, as C and Python do."""
     value = col(value).cast("double")

@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import col
+from textquarry.functions.tokens import EOS
 
 _ROWS = 256
 
@@ -24,15 +25,21 @@ _ROWS = 256
 def _library(vocabulary: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary)
+    library = Tokenizer.from_file(vocabulary)
+    library.encode_special_tokens = True  # in a text, their strings are ordinary text
+    return library
 
 
 @dataclass(frozen=True)
 class Ids:
-    """A vocabulary and the id that closes a text."""
+    """A vocabulary, the id that closes a text and the string that stands for it.
+
+    It takes the place of the built-in tokens wherever a job has a ``tokenizer`` or an ``encode``.
+    """
 
     vocabulary: str
-    end_id: int = 0
+    end_id: int
+    eos: str = EOS
 
     def _batches(self, values: pa.Array, convert: Callable[[list], list], kind) -> pa.Array:
         parts = [
@@ -42,7 +49,7 @@ class Ids:
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     def encode(self, text: Column | str) -> Column:
-        """``array<int>`` ids of a text without special tokens; null counts as empty."""
+        """``array<int>`` ids of a whole text without special tokens; null counts as empty."""
 
         def ids(values: pa.Array) -> pa.Array:
             def convert(texts: list) -> list:
@@ -58,22 +65,25 @@ class Ids:
         """Ids of a text closed by the end id, as ``pack_sequences`` takes them."""
         return F.concat(self.encode(text), F.array(F.lit(self.end_id)))
 
+    def encode_head(self, text: Column | str, n: int | Column, eos: str = EOS) -> Column:
+        """The first ``n`` ids of the closed text."""
+        return F.slice(self.encode_document(text), F.lit(1), F.lit(n) if isinstance(n, int) else n)
+
     def decode(self, ids: Column | str) -> Column:
-        """The text of ids, without the end id; bytes cut off inside a character are replaced."""
+        """The text of ids, ``eos`` for the end id; a character cut in two is replaced."""
 
         def texts(values: pa.Array) -> pa.Array:
             def convert(rows: list) -> list:
                 library, end = _library(self.vocabulary), self.end_id
-                kept = [[i for i in row or [] if i != end] for row in rows]
-                return library.decode_batch(kept, skip_special_tokens=False)
+                heads = [[i for i in row or [] if i != end] for row in rows]
+                found = library.decode_batch(heads, skip_special_tokens=False)
+                closed = [bool(row) and row[-1] == end for row in rows]
+                return [t + self.eos * c for t, c in zip(found, closed, strict=True)]
 
             return self._batches(values, convert, pa.string())
 
         return F.arrow_udf(texts, "string")(col(ids))
 
-    def truncate(self, text: Column | str, n: int | Column, eos: str) -> Column:
-        """The text of the first ``n`` ids; ``eos`` follows where the end id is among them."""
-        ids = self.encode_document(text)
-        closed = F.size(ids) <= n
-        head = self.decode(F.slice(ids, F.lit(1), F.lit(n) if isinstance(n, int) else n))
-        return F.concat(head, F.when(closed, F.lit(eos)).otherwise(F.lit("")))
+    def truncate(self, text: Column | str, n: int | Column, eos: str = EOS) -> Column:
+        """Encode with the end id, keep ``n`` ids, decode. Long text loses the end id."""
+        return self.decode(self.encode_head(text, n))

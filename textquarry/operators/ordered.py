@@ -8,7 +8,7 @@ group still spreads over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -142,6 +142,18 @@ def number_rows(
     return numbered.withColumn(out, F.col(out) + 1)
 
 
+def rows_at(
+    df: DataFrame, order: str, out: str, wanted: Callable[[Column], Column], block: int = BLOCK
+) -> DataFrame:
+    """The rows whose place ``out``, from 1 in ``order``, is ``wanted``.
+
+    Only the order column is numbered; the rows are then found by it, so what is not wanted does not
+    move, and nothing wide does while the wanted places are few enough to be sent to every task.
+    """
+    places = number_rows(df.select(order), order, out, block=block).where(wanted(F.col(out)))
+    return df.join(places, order)
+
+
 def with_lookback(
     df: DataFrame,
     position: str,

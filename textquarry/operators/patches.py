@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,57 +38,63 @@ def number_text(value: Column, whole: Column) -> Column:
     return F.when(whole, value.cast("bigint").cast("string")).otherwise(float_text(value))
 
 
-def patch_changes(config: Column, patch: Column, bounds: Bounds = BOUNDS) -> Column:
-    """``array<struct<key, current, stored, change>>``, one per tunable key of ``patch``.
+def with_changes(
+    df: DataFrame, config: str, patch: str, bounds: Bounds = BOUNDS, out: str = "_made"
+) -> DataFrame:
+    """Add ``out``: ``array<struct<key, current, stored, change>>``, one per tunable key of the patch.
 
-    ``change`` is the log line, null when nothing changed. Keys come in bounds order.
+    ``change`` is the log line, null when nothing changed. Keys come in bounds order. The keys are
+    known, so each has columns of its own, computed one step after the other.
     """
 
-    def look_up(bound: Column) -> Column:
-        proposed = F.try_element_at(patch, bound["key"])
+    def read(key: str) -> Column:
+        proposed = F.col(f"_proposed_{key}")
+        number = F.try_variant_get(proposed, "$", "double")
+        truth = F.try_variant_get(proposed, "$", "boolean").cast("int").cast("double")
         return F.struct(
-            bound.alias("bound"),
-            F.try_element_at(config, bound["key"]).alias("current"),
+            F.try_element_at(config, F.lit(key)).alias("current"),
             F.schema_of_variant(proposed).alias("kind"),
-            F.coalesce(
-                F.try_variant_get(proposed, "$", "double"),
-                F.try_variant_get(proposed, "$", "boolean").cast("int").cast("double"),
-            ).alias("value"),
+            F.coalesce(number, truth).alias("value"),
         )
 
-    def compare(s: Column) -> Column:
-        numeric = s["kind"].isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN")
-        numeric = numeric | s["kind"].startswith("DECIMAL")
-        bound, value = s["bound"], s["value"]
-        clamped = clamp(value, bound["lo"], bound["hi"])
+    def compare(key: str) -> Column:
+        lo, hi, whole = bounds[key]
+        lo, hi, read_ = F.lit(float(lo)), F.lit(float(hi)), F.col(f"_read_{key}")
+        kind, value, current = read_["kind"], read_["value"], read_["current"]
+        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+        clamped = clamp(value, lo, hi)
         # A value inside its bounds keeps its own form in the log, one at a bound has the bound's.
-        inside = (value > bound["lo"]) & (value < bound["hi"])
+        inside = (value > lo) & (value < hi)
         return F.struct(
-            bound["key"].alias("key"),
-            bound["whole"].alias("whole"),
-            s["current"].alias("current"),
+            current.alias("current"),
             clamped.alias("clamped"),
-            (inside & (s["kind"] == "BOOLEAN")).alias("as_bool"),
-            F.when(inside, s["kind"] == "BIGINT").otherwise(bound["whole"]).alias("as_whole"),
-            (numeric & (s["current"].isNull() | (clamped != s["current"]))).alias("changed"),
+            (inside & (kind == "BOOLEAN")).alias("as_bool"),
+            F.when(inside, kind == "BIGINT").otherwise(F.lit(whole)).alias("as_whole"),
+            (numeric & (current.isNull() | (clamped != current))).alias("changed"),
         )
 
-    def describe(s: Column) -> Column:
-        shown = F.when(s["as_bool"], "True").otherwise(number_text(s["clamped"], s["as_whole"]))
-        before = F.coalesce(number_text(s["current"], s["whole"]), F.lit("None"))
-        line = F.concat(F.lit("  "), s["key"], F.lit(": "), before, F.lit(" → "), shown)
-        whole = F.when(s["current"].isNull(), s["as_whole"]).otherwise(s["whole"])
+    def describe(key: str) -> Column:
+        is_whole, c = F.lit(bounds[key][2]), F.col(f"_compared_{key}")
+        shown = F.when(c["as_bool"], "True").otherwise(number_text(c["clamped"], c["as_whole"]))
+        before = F.coalesce(number_text(c["current"], is_whole), F.lit("None"))
+        line = F.concat(F.lit(f"  {key}: "), before, F.lit(" → "), shown)
+        whole = F.when(c["current"].isNull(), c["as_whole"]).otherwise(is_whole)
         # Whole settings are cut towards zero; none is negative.
-        stored = F.when(whole, F.floor(s["clamped"]).cast("double")).otherwise(s["clamped"])
-        return F.struct(
-            s["key"],
-            s["current"],
-            F.when(s["changed"], stored).otherwise(s["current"]).alias("stored"),
-            F.when(s["changed"], line).alias("change"),
+        stored = F.when(whole, F.floor(c["clamped"]).cast("double")).otherwise(c["clamped"])
+        made = F.struct(
+            F.lit(key).alias("key"),
+            c["current"].alias("current"),
+            F.when(c["changed"], stored).otherwise(c["current"]).alias("stored"),
+            F.when(c["changed"], line).alias("change"),
         )
+        return F.when(F.map_contains_key(F.col(patch), key), made)
 
-    asked = F.filter(bounds_table(bounds), lambda b: F.map_contains_key(patch, b["key"]))
-    return F.transform(F.transform(F.transform(asked, look_up), compare), describe)
+    def step(rows: DataFrame, name: str, column: Callable[[str], Column]) -> DataFrame:
+        return rows.select(*df.columns, *[column(key).alias(f"_{name}_{key}") for key in bounds])
+
+    rows = step(df, "proposed", lambda key: F.try_element_at(patch, F.lit(key)))
+    rows = step(step(rows, "read", read), "compared", compare)
+    return rows.select(*df.columns, F.array_compact(F.array(*map(describe, bounds))).alias(out))
 
 
 def apply_patch(
@@ -98,16 +104,15 @@ def apply_patch(
 
     Keys outside ``bounds`` and values that are not numbers are ignored; whole settings stay whole.
     """
-    made = F.filter(
-        patch_changes(F.col(config), F.col(patch), bounds), lambda c: c["change"].isNotNull()
-    )
+    rows = with_changes(df, config, patch, bounds)
+    made = F.filter("_made", lambda c: c["change"].isNotNull())
     changed = F.map_from_entries(
         F.transform("_made", lambda c: F.struct(c["key"], c["stored"]))
     )
     kept = F.map_filter(
         F.col(config), lambda k, _: ~F.array_contains(F.col("_made.key"), k)
     )
-    return df.withColumn("_made", made).select(
+    return rows.withColumn("_made", made).select(
         *df.columns,
         F.map_concat(kept, changed).alias("new_config"),
         F.col("_made.change").alias("changes"),
@@ -122,6 +127,5 @@ def patch_rows(
     bounds: Bounds = BOUNDS,
 ) -> DataFrame:
     """``(keys, key, current, stored, change)``, one row per tunable key of the patch."""
-    changes = patch_changes(F.col(config), F.col(patch), bounds)
-    rows = df.select(*keys, F.explode_outer(changes).alias("c"))
-    return rows.where(F.col("c").isNotNull()).select(*keys, "c.*")
+    rows = with_changes(df.select(*keys, config, patch), config, patch, bounds)
+    return rows.select(*keys, F.inline("_made"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import prompts, tokens
 from textquarry.functions.text import clean, has_words, not_blank, strip, truncate_words
-from textquarry.operators.ordered import number_rows, whole_quotient
+from textquarry.operators.ordered import number_rows, rows_at, whole_quotient
 from textquarry.sources.tiers import TIERS
 
 METADATA = ("citation", "jurisdiction", "type")
@@ -102,15 +102,20 @@ def training_documents_by_tier(
     eos: str = tokens.EOS,
     defaults: dict[str, str] = TRAINING_UNKNOWN,
     overrides: dict[str, float] | None = None,
+    tokenizer=tokens,
 ) -> DataFrame:
-    """``training_documents`` for several tiers, each text encoded once for the longest."""
+    """``training_documents`` for several tiers, each text encoded once for the longest.
+
+    ``tokenizer`` has ``encode_head`` and ``decode``: the built-in tokens, or ``tokenizers.Ids``, whose
+    texts are cut as ids and decoded after the cut.
+    """
     longest = max(TIERS[tier]["token_truncation_length"] for tier in tiers)
     full = prompts.training_document("citation", "jurisdiction", "type", "text")
     ready = with_defaults(docs, defaults)
-    encoded = ready.withColumn("text", tokens.encode_head(full, longest, eos))
+    encoded = ready.withColumn("text", tokenizer.encode_head(full, longest, eos))
     tiered = with_tiers(encoded, tiers, overrides=overrides)
     head = F.slice("text", F.lit(1), F.col("token_truncation_length"))
-    return tiered.withColumn("text", tokens.decode(head))
+    return tiered.withColumn("text", tokenizer.decode(head))
 
 
 def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
@@ -135,6 +140,11 @@ def start_row(df: DataFrame, start: int, row: str = "row") -> DataFrame:
     return df.where(F.col(row) >= start)
 
 
+def from_start_row(df: DataFrame, start: int, order: str, row: str = "row") -> DataFrame:
+    """Number the rows from 1 in ``order`` and keep those from ``start`` on."""
+    return rows_at(df, order, row, lambda place: place >= start)
+
+
 def skip_answered_estimate(
     sample: DataFrame, existing_pairs: int | Column, pairs_per_doc: int, order: str
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import templates
 from textquarry.functions.parsing import extract_object
 from textquarry.functions.prompts import split_template
-from textquarry.functions.text import fixed_decimals, truncate_answer_lines
+from textquarry.functions.text import fixed_decimals, truncate_answer_lines, truncated_lengths
 from textquarry.operators.evaluation import sampled_answers
 from textquarry.operators.ordered import (
     number_rows,
@@ -193,8 +193,9 @@ def fit_budget(
     def version(limit: int | None) -> Column:
         return F.col(text) if limit is None else truncate_answer_lines(text, limit)
 
-    lengths = prompts.groupBy(*keys).agg(
-        *[F.sum(F.length(version(limit))).alias(f"_len{i}") for i, limit in enumerate(tries)]
+    counted = prompts.select(*keys, truncated_lengths(text, tries).alias("_lengths"))
+    lengths = counted.groupBy(*keys).agg(
+        *[F.sum(F.get("_lengths", F.lit(i))).alias(f"_len{i}") for i in range(len(tries))]
     )
     choice = F.coalesce(
         *[F.when(F.col(f"_len{i}") <= budget, F.lit(i)) for i in range(len(tries))]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textquarry.operators.ordered import rows_at
+
 # Hex digits of the hash told apart per counting pass: 4,096 bins each.
 DIGITS = 3
 
@@ -58,3 +60,8 @@ def _bin_of_rank(tickets: DataFrame, n: int, digits: int, lower: Column) -> Data
 def every_nth(df: DataFrame, position: str, n: int = 5) -> DataFrame:
     """Every ``n``-th row starting with the first; ``position`` counts from 1."""
     return df.where((F.col(position) - 1) % n == 0)
+
+
+def nth_rows(df: DataFrame, order: str, position: str = "row", n: int = 5) -> DataFrame:
+    """Number the rows from 1 in ``order`` and keep every ``n``-th, starting with the first."""
+    return rows_at(df, order, position, lambda place: (place - 1) % n == 0)

@@ -421,13 +421,18 @@ def pack_statistics(spark, sf_dir) -> DataFrame:
     return packing.pack_stats(_packed(spark, sf_dir))
 
 
+TOKENS = 3
+
+
 @query(
     "m_trajectory",
-    """WITH s AS (
-           SELECT label, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER w AS b
-           FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-       t AS (SELECT label, avg(list_distance(v, b)) AS trajectory FROM s WHERE b IS NOT NULL
-             GROUP BY label),
+    f"""WITH s AS (
+           SELECT label, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER w AS b,
+                  row_number() OVER w AS place
+           FROM embeddings WINDOW w AS (PARTITION BY label, vec_id % {TOKENS} ORDER BY vec_id)),
+       p AS (SELECT label, place, avg(list_distance(v, b)) AS step FROM s WHERE b IS NOT NULL
+             GROUP BY label, place),
+       t AS (SELECT label, avg(step) AS trajectory FROM p GROUP BY label),
        l AS (SELECT label, avg(embedding[1]::DOUBLE) AS loss FROM embeddings GROUP BY label)
        SELECT label AS seq_id, round(loss, 6) AS loss,
               round(coalesce(trajectory, 0), 6) AS trajectory,
@@ -435,10 +440,10 @@ def pack_statistics(spark, sf_dir) -> DataFrame:
        FROM l LEFT JOIN t USING (label)""",
 )
 def mean_trajectory(spark, sf_dir) -> DataFrame:
-    """Labels read as sequences of one token, their vectors as its layers."""
+    """Labels read as sequences of a few tokens, whose vectors are dealt to them as their layers."""
     states = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("seq_id"),
-        F.lit(0).alias("token"),
+        (F.col("vec_id") % TOKENS).alias("token"),
         F.col("vec_id").alias("layer"),
         F.col("embedding").alias("vec"),
     )

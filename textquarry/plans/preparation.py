@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import prompts, templates, text, tokens
+from textquarry.functions.tokenizers import Ids
 from textquarry.functions.tokens import EOS
 from textquarry.operators import chat, prepare
-from textquarry.operators.ordered import number_rows
 from textquarry.operators.rounds import fit_budget
-from textquarry.operators.sampling import every_nth, seeded_sample
+from textquarry.operators.sampling import nth_rows, seeded_sample
 from textquarry.plans.registry import (
     corpus,
     dialogue,
@@ -34,7 +34,7 @@ def _padded(column: str = "text") -> Column:
 SQL_PADDED = "' ' || chr(10) || chr(9) || text || chr(11) || ' ' || chr(13) || chr(10)"
 
 
-def _sql_truncated(expression: str, n: int) -> str:
+def sql_truncated(expression: str, n: int) -> str:
     words = sql_words(expression)
     return (
         f"CASE WHEN len({words}) <= {n} THEN {expression} "
@@ -84,8 +84,8 @@ def clean_eos(spark, sf_dir) -> DataFrame:
 
 @query("p_start_row", "SELECT doc_id + 1 AS row, text FROM documents WHERE doc_id + 1 >= 10")
 def start_row(spark, sf_dir) -> DataFrame:
-    rows = number_rows(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id", "row")
-    return prepare.start_row(rows, 10).select("row", "text")
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    return prepare.from_start_row(docs, 10, "doc_id").select("row", "text")
 
 
 @query(
@@ -131,6 +131,16 @@ def tier_prepare(spark, sf_dir) -> DataFrame:
     return cut.select("doc_id", "tier", "max_seq_length", "max_steps", "text")
 
 
+@query("m_decode_ids", f"SELECT doc_id, text || '{EOS}' AS text FROM documents")
+def decode_ids(spark, sf_dir) -> DataFrame:
+    """Texts to ids of a byte-level vocabulary, closed, and back."""
+    import public_tokenizers
+
+    ids = Ids(public_tokenizers.path("byte_bpe_50k.json"), 50256)
+    encoded = corpus(spark, sf_dir).select("doc_id", ids.encode_document("text").alias("ids"))
+    return encoded.select("doc_id", ids.decode("ids").alias("text"))
+
+
 @query(
     "m_truncate_tokens",
     f"""SELECT doc_id,
@@ -147,7 +157,7 @@ def truncate_tokens(spark, sf_dir) -> DataFrame:
 @query(
     "c_qa_generation",
     f"""SELECT doc_id, {sql_render(
-            templates.QA_GENERATION, n="'3'", text=_sql_truncated("text", CHUNK_WORDS))} AS prompt
+            templates.QA_GENERATION, n="'3'", text=sql_truncated("text", CHUNK_WORDS))} AS prompt
         FROM documents WHERE len({sql_words("text")}) >= {SHORTEST}""",
 )
 def qa_generation(spark, sf_dir) -> DataFrame:
@@ -234,7 +244,7 @@ def word_count(spark, sf_dir) -> DataFrame:
 
 @query(
     "x_truncate_words",
-    f"SELECT doc_id, {_sql_truncated('text', CHUNK_WORDS)} AS text FROM documents",
+    f"SELECT doc_id, {sql_truncated('text', CHUNK_WORDS)} AS text FROM documents",
 )
 def truncate_words(spark, sf_dir) -> DataFrame:
     cut = text.truncate_words("text", CHUNK_WORDS).alias("text")
@@ -327,8 +337,8 @@ def sample(spark, sf_dir) -> DataFrame:
        WHERE (q - 1) % 5 = 0""",
 )
 def every_fifth(spark, sf_dir) -> DataFrame:
-    rows = number_rows(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id", "q")
-    return every_nth(rows, "q", 5).select("q", "text")
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    return nth_rows(docs, "doc_id", "q", 5).select("q", "text")
 
 
 @query(

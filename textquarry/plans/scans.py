@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry import schemas
-from textquarry.operators.ordered import ordered_list, whole_quotient
+from textquarry.functions.tokens import EOS
+from textquarry.operators.ordered import number_rows, ordered_list, whole_quotient
+from textquarry.operators.packing import pack_stats
 from textquarry.operators.prepare import concatenate, with_defaults
 from textquarry.operators.rounds import first_last_loss
 from textquarry.plans.experiments import SQL_LOSSES, loss_table
-from textquarry.plans.registry import corpus, query, sql_strip, table
-from textquarry.session import staging_path
+from textquarry.plans.jobs import raw_corpus, raw_corpus_set
+from textquarry.plans.registry import corpus, query, sql_strip, sql_tokens, table
+from textquarry.session import hadoop, staging_path
 from textquarry.sources import corpus as readers
 from textquarry.sources import evalsets, sinks
+from textquarry.sources.tiers import PACKED_LENGTH
 
 DOCS_PER_FILE = 100
 
@@ -69,10 +73,54 @@ def latest_snapshot(spark, sf_dir) -> DataFrame:
     path = staging_path(spark, "versions")
     version = F.substr("source", F.lit(4)).cast("int").alias("version")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", version)
-    docs.repartition("version").write.partitionBy("version").parquet(path)
+    docs.write.partitionBy("version").parquet(path)
     return readers.latest_version(spark.read.parquet(path))
 
 
+def snapshots(spark, sf_dir) -> str:
+    """A folder per version of the documents, named by its number, each with ``corpus.jsonl``."""
+    written, root = staging_path(spark, "snapshots"), staging_path(spark, "corpora")
+    version = F.substr("source", F.lit(4)).cast("int").alias("version")
+    docs = table(spark, sf_dir, "documents").select("text", version)
+    docs.write.partitionBy("version").json(written)
+    folders, fs = hadoop(spark, f"{written}/version=*")
+    for status in fs.globStatus(folders):
+        number = status.getPath().getName().split("=")[1]
+        target, _ = hadoop(spark, f"{root}/{number}/corpus.jsonl")
+        fs.mkdirs(target.getParent())
+        fs.rename(status.getPath(), target)
+    return root
+
+
+SQL_NEWEST = """CAST(substr(source, 4) AS INTEGER) =
+    (SELECT max(CAST(substr(source, 4) AS INTEGER)) FROM documents)"""
+
+
+@query("s_snapshot_corpus", f"SELECT text FROM documents WHERE {SQL_NEWEST}")
+def snapshot_corpus(spark, sf_dir) -> DataFrame:
+    """JSON lines of the newest of the listed snapshot folders."""
+    return raw_corpus(spark, versions=snapshots(spark, sf_dir))
+
+
+RAW_LENGTH = PACKED_LENGTH["8gb"]
+
+
+@query(
+    "m_raw_corpus_stats",
+    f"""WITH d AS (
+            SELECT {sql_strip("text")} AS text FROM documents WHERE {SQL_NEWEST}),
+        t AS (
+            SELECT CAST(sum(len({sql_tokens("text")}) + 1) AS BIGINT) AS n
+            FROM d WHERE text <> '' AND length(text || '{EOS}') > 10)
+        SELECT (n + {RAW_LENGTH - 1}) // {RAW_LENGTH} AS chunks, n AS tokens,
+               (n - 1) % {RAW_LENGTH} + 1 AS last_chunk_tokens FROM t""",
+)
+def raw_corpus_stats(spark, sf_dir) -> DataFrame:
+    """The newest snapshot cleaned and packed as a whole job does it."""
+    chunks, _ = raw_corpus_set(spark, versions=snapshots(spark, sf_dir))
+    return pack_stats(chunks)
+
+
 @query(
     "s_pairs_scan",
     f"""SELECT {SQL_QUESTION} AS question, text AS answer, source, lang AS jurisdiction,
@@ -98,9 +146,6 @@ def _open_book(spark, sf_dir) -> DataFrame:
     )
 
 
-SQL_OPEN_BOOK = f"SELECT {SQL_QUESTION} AS question, text AS context FROM documents"
-
-
 @query(
     "s_openbook_json",
     f"""SELECT doc_id % {DOCS_PER_FILE} + 1 AS row, {SQL_QUESTION} AS question, text AS context
@@ -117,13 +162,46 @@ def open_book_json(spark, sf_dir) -> DataFrame:
     return evalsets.scan_open_book_json(spark, f"{path}/file_no=*").drop("file")
 
 
-@query("s_openbook_csv", SQL_OPEN_BOOK)
-def open_book_csv(spark, sf_dir) -> DataFrame:
+def _csv_files(spark, sf_dir) -> str:
+    """Files of so many documents each, in order."""
     path = staging_path(spark, "openbook")
-    rows = _open_book(spark, sf_dir).drop("doc_id")
+    rows = _open_book(spark, sf_dir).withColumn("file_no", _file_number())
+    rows = rows.repartition("file_no").sortWithinPartitions("file_no", "doc_id").drop("doc_id")
     whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows.write.options(header=True, escape='"', quoteAll=True, **whole).csv(path)
-    return evalsets.scan_open_book_csv(spark, path).drop("file", "row")
+    options = {"header": True, "escape": '"', "quoteAll": True, **whole}
+    rows.write.options(**options).partitionBy("file_no").csv(path)
+    return f"{path}/file_no=*"
+
+
+SQL_CSV = f"""SELECT doc_id % {DOCS_PER_FILE} + 1 AS row, {SQL_QUESTION} AS question, text AS context
+              FROM documents"""
+
+
+@query("s_openbook_csv", SQL_CSV)
+def open_book_csv(spark, sf_dir) -> DataFrame:
+    return evalsets.scan_open_book_csv(spark, _csv_files(spark, sf_dir)).drop("file")
+
+
+@query("s_csv_split", SQL_CSV)
+def csv_split(spark, sf_dir) -> DataFrame:
+    """The same files, none of them read whole by one task."""
+    files = _csv_files(spark, sf_dir)
+    return evalsets.scan_open_book_csv(spark, files, whole_below=0).drop("file")
+
+
+@query(
+    "s_array_split",
+    f"""SELECT row_number() OVER (ORDER BY doc_id) AS row, {SQL_QUESTION} AS question,
+               text AS context FROM documents""",
+)
+def array_split(spark, sf_dir) -> DataFrame:
+    """Documents written as ordered arrays, no file of which is read whole by one task."""
+    path = staging_path(spark, "arrays")
+    sinks.write_array(_open_book(spark, sf_dir), path, ["doc_id"])
+    rows = evalsets.scan_open_book_json(spark, path, whole_below=0)
+    # Files follow each other by name.
+    placed = rows.withColumn("at", F.struct("file", "row")).drop("file", "row")
+    return number_rows(placed, "at", "row").select("row", "question", "context")
 
 
 @query(
