@@ -103,3 +103,22 @@ def test_lines_of_runs(spark):
     assert got[1] == (texts[0][1], 0) and got[3] == (texts[2][1], 0)
     assert got[2] == ("other\n \ntail", 3)
     assert got[4] == ("\n".join([run[1], run[2], "x", run[1], run[2]]), 3)
+
+
+def test_sketches_bound_what_sets_share():
+    import numpy as np
+
+    from textquarry.llm.jaccard_join import most_shared, sketch
+
+    draw = np.random.default_rng(3)
+    passed = 0
+    for _ in range(300):
+        na, nb = (int(x) for x in draw.integers(1, 900, 2))
+        shared = int(draw.integers(0, min(na, nb) + 1))
+        pool = draw.integers(0, 1 << 63, na + nb - shared, dtype=np.uint64)
+        a, b = pool[:na], pool[na - shared :]
+        bound = most_shared(sketch(a), na, sketch(b), nb)
+        assert shared <= bound <= min(na, nb)
+        assert bound == most_shared(sketch(b), nb, sketch(a), na)
+        passed += 175 * bound >= 75 * (na + nb) and 175 * shared < 60 * (na + nb)
+    assert passed < 15  # pairs far from similar seldom pass

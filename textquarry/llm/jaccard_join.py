@@ -10,7 +10,8 @@ size at which the two cost the same over all sets.
 Lists are never expanded into all their pairs. In a few turns, sets outside the largest component of
 a list are compared with some of its members, and components grow. Then all sets of one list that
 are still in different components are compared, so no link between components is left out. Exact
-intersections decide.
+intersections decide, but first a sketch of each set, a sixteenth of its size, bounds the intersection
+from above: pairs that cannot be similar fall before any set moves.
 """
 
 from __future__ import annotations
@@ -212,6 +213,57 @@ def _room(na, nb, *rests):
     return F.least(*rests, na, nb) * (WHOLE + SHARE) >= (na + nb) * SHARE
 
 
+def sketch(value: np.ndarray) -> np.ndarray:
+    """One bit for each place that some shingle falls on, among four to eight places a shingle."""
+    places = 1 << max(6, (4 * len(value) - 1).bit_length())
+    bits = np.zeros(places, np.uint8)
+    bits[value & np.uint64(places - 1)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def most_shared(x: np.ndarray, na: int, y: np.ndarray, nb: int) -> int:
+    """What sets of na and nb shingles with these sketches share at most.
+
+    A place that both hold may stand for one shared shingle, and for one more with every further
+    shingle that fell on a taken place, of the set that has fewer of these.
+    """
+    if len(x) != len(y):  # places are low bits: the larger sketch folds onto the smaller
+        if len(x) < len(y):
+            x, y, na, nb = y, x, nb, na
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    held, over = int(np.bitwise_count(x & y).sum()), []
+    for bits, n in ((x, na), (y, nb)):
+        over.append(n - int(np.bitwise_count(bits).sum()))
+    return min(held + min(over), na, nb)
+
+
+def _possible(batches):
+    """Task: pairs that may be similar by their sketches, and the share that they may have."""
+    for batch in batches:
+        keep, shares = [], []
+        columns = (batch[c].to_pylist() for c in ("ka", "na", "kb", "nb"))
+        for x, na, y, nb in zip(*columns, strict=True):
+            shared = most_shared(np.frombuffer(x, np.uint8), na, np.frombuffer(y, np.uint8), nb)
+            keep.append(shared * (WHOLE + SHARE) >= (na + nb) * SHARE)
+            shares.append(shared / (na + nb))
+        rows = batch.drop_columns(["ka", "na", "kb", "nb"])
+        rows = rows.append_column("share", pa.array(shares, pa.float64()))
+        yield rows.filter(pa.array(keep, pa.bool_()))
+
+
+def _chosen(wanted):
+    """Task: the rows whose sid may be in the filter."""
+
+    def run(batches):
+        slots = np.unpackbits(wanted.value, bitorder="little")
+        for batch in batches:
+            sid = batch["sid"].to_numpy()
+            yield batch.filter(pa.array(slots[sid % len(slots)] > 0))
+
+    return run
+
+
 def _links(batches):
     """Task: pairs that are similar."""
     for batch in batches:
@@ -224,7 +276,7 @@ def _links(batches):
 
 
 def _whole_sets(wanted):
-    """Task: (sid, shingles) of texts whose set may be in the filter."""
+    """Task: (sid, n, shingles, sketch) of texts whose set may be in the filter."""
 
     def run(batches):
         slots = np.unpackbits(wanted.value, bitorder="little")
@@ -237,11 +289,16 @@ def _whole_sets(wanted):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sid[rows]),
+                        pa.array(n[rows].astype(np.int64)),
                         pa.array(
                             [value[ends[r] - n[r] : ends[r]].tobytes() for r in rows], pa.binary()
                         ),
+                        pa.array(
+                            [sketch(value[ends[r] - n[r] : ends[r]]).tobytes() for r in rows],
+                            pa.binary(),
+                        ),
                     ],
-                    names=["sid", "shingles"],
+                    names=["sid", "n", "shingles", "sketch"],
                 )
 
     return run
@@ -268,14 +325,11 @@ class Near:
         schema = f"doc_id {id_type}, n long, sid long, head array<long>, cost double"
         self.docs = self.scratch.write(texts.mapInArrow(_sets(frequent), schema), "sets")
 
-    def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """(sid, shingles) of the distinct ids ``wanted``, read again from the texts.
-
-        Most other texts are left where they are by a filter of FILTER_BITS, whatever the input.
-        """
+    def filter_of(self, sids: DataFrame):
+        """Broadcast of FILTER_BITS bits, whatever the input, that has one for each of ``sids``."""
         slot = F.pmod("sid", F.lit(FILTER_BITS)) + 1
         rows = (
-            wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
+            sids.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
             .collect()
         )
@@ -283,17 +337,48 @@ class Near:
         for r in rows:
             part = np.frombuffer(bytes(r.bits), np.uint8)
             bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
-        bits = self.spark.sparkContext.broadcast(bits)
-        sets = self.texts.mapInArrow(_whole_sets(bits), "sid long, shingles binary")
+        return self.spark.sparkContext.broadcast(bits)
+
+    def whole_sets(self, wanted: DataFrame) -> DataFrame:
+        """(sid, n, shingles, sketch) of the distinct ids ``wanted``, read again from the texts.
+
+        Most other texts are left where they are by a filter.
+        """
+        schema = "sid long, n long, shingles binary, sketch binary"
+        sets = self.texts.mapInArrow(_whole_sets(self.filter_of(wanted)), schema)
         sets = sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
         return self.scratch.write(sets, "whole")
 
-    def linked(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of sets that are similar, with all their columns."""
-        left = whole.select(F.col("sid").alias("a"), F.col("shingles").alias("xa"))
-        right = whole.select(F.col("sid").alias("b"), F.col("shingles").alias("xb"))
-        both = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "xa", "xb")
-        return self.scratch.write(both.mapInArrow(_links, pairs.schema), "links")
+    def linked(self, pairs: DataFrame, whole: DataFrame, best: bool) -> DataFrame:
+        """Those of the pairs (a, b) of sets that are similar, with all their columns.
+
+        With ``best`` only the pair of each a that may share most is compared.
+        """
+
+        def side(columns: dict[str, str]) -> DataFrame:
+            return whole.select(*[F.col(c).alias(name) for c, name in columns.items()])
+
+        left = side({"sid": "a", "n": "na", "sketch": "ka"})
+        right = side({"sid": "b", "n": "nb", "sketch": "kb"})
+        both = pairs.join(left, "a").join(right, "b")
+        both = both.select(*pairs.columns, "ka", "na", "kb", "nb")
+        schema = pairs.withColumn("share", F.lit(0.0)).schema
+        possible = both.mapInArrow(_possible, schema)
+        if best:
+            most = Window.partitionBy("a").orderBy(F.desc("share"), "b")
+            possible = possible.withColumn("at", F.row_number().over(most)).where("at = 1")
+        possible = self.scratch.write(possible.select(*pairs.columns), "possible")
+
+        ends = possible.select(F.col("a").alias("sid")).union(possible.select("b"))
+        kept = self.filter_of(ends)
+        sets = whole.select("sid", "shingles").mapInArrow(_chosen(kept), "sid long, shingles binary")
+        left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("xa"))
+        right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("xb"))
+        both = possible.join(left, "a").join(right, "b").select(*pairs.columns, "xa", "xb")
+        found = self.scratch.write(both.mapInArrow(_links, pairs.schema), "links")
+        self.scratch.drop(possible)
+        kept.unpersist()
+        return found
 
     def apart(
         self, keys: DataFrame, roots: DataFrame | None, turn: int
@@ -352,7 +437,9 @@ class Near:
             if turn == 0:
                 # Later lists hold no other sets than the first ones of two or more do.
                 wanted = member.join(lists, "key", "left_semi").select("sid").distinct()
-                whole = self.whole_sets(write(wanted, "wanted"))
+                wanted = write(wanted, "wanted")
+                whole = self.whole_sets(wanted)
+                drop(wanted)
             tried = outside.select("sid", "n", "rest", "root", "main", F.explode("main.tried").alias("t"))
             tried = tried.where(_room(*map(F.col, ("n", "t.n", "rest", "t.rest"))))
             tried = tried.groupBy(F.col("sid").alias("a"), F.col("t.sid").alias("b")).agg(
@@ -362,12 +449,14 @@ class Near:
             )
             best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
             tried = tried.withColumn("at", F.row_number().over(best)).where(F.col("at") <= TRIED)
-            found = self.linked(tried.select("a", "b", "from_root", "to_root"), whole)
+            found = self.linked(tried.select("a", "b", "from_root", "to_root"), whole, True)
             links.append(found.select("a", "b"))
             now = member.select("sid", "root").distinct().join(_moved(found), "root", "left")
+            earlier = roots
             roots = write(now.select("sid", F.coalesce("moved", "root").alias("root")), "roots")
-            drop(member)
-            drop(lists)
+            for gone in (member, lists, earlier):
+                if gone is not None:
+                    drop(gone)
             turn += 1
 
         # What is still apart is compared in full.
@@ -390,7 +479,10 @@ class Near:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        links.append(self.linked(rest, whole))
+        links.append(self.linked(rest, whole, False))
+        for gone in (member, lists, roots, whole, keys):
+            if gone is not None:
+                drop(gone)
         return components(reduce(DataFrame.union, links), self.scratch)
 
 
@@ -430,6 +522,37 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.join(gone, id_col, "left_anti")
 
 
-@query("op2_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# All pairs that share a shingle, and every document that links lead to: for small tables.
+ORACLE = rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents),
+    runs AS (
+        SELECT doc_id, i, n, hash(word, lead(word) OVER o, lead(word, 2) OVER o,
+                                  lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+        FROM (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words)
+        WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, shingle FROM runs WHERE i <= n - 4
+        UNION ALL SELECT doc_id, hash(w) FROM words WHERE len(w) BETWEEN 1 AND 4),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY ALL),
+    links AS MATERIALIZED (
+        SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+        WHERE {WHOLE} * shared.n >= {SHARE} * (a.n + b.n - shared.n)),
+    reached AS (
+        SELECT doc_id AS node, doc_id AS root FROM documents
+        UNION SELECT y, root FROM reached JOIN links ON x = node)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM documents d LEFT JOIN sizes USING (doc_id)
+    JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reached GROUP BY node) USING (doc_id)
+"""
+
+
+@query("op2_jaccard_join", ORACLE)
 def op2(spark, sf_dir):
     return near_copies(table(spark, sf_dir, "documents"))

@@ -15,7 +15,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 _ROOT = str(Path(__file__).resolve().parents[2])
-_SETTINGS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Shuffles go with the query that made them, not when the driver next collects its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -56,12 +61,30 @@ def free_name(df: DataFrame, name: str) -> str:
 class Scratch:
     """Intermediate tables in the shared folder: what is read twice is written once.
 
-    They survive lost executors, cut lineage, and go when the driver ends or on ``drop``.
+    They survive lost executors, cut lineage, and go when the driver ends, on ``drop``, or on
+    ``release`` once the results of the operators that wrote them are written themselves.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark, self.name = spark, name
         self._paths: dict[int, tuple[DataFrame, str]] = {}
+        if not lasting:
+            Scratch._open.append(self)
+
+    @classmethod
+    def forget(cls) -> None:
+        """Let ``release`` pass over everything opened so far."""
+        cls._open.clear()
+
+    @classmethod
+    def release(cls) -> None:
+        """Delete all tables opened since ``forget``, but those of lasting ones."""
+        for scratch in cls._open:
+            for df, _ in list(scratch._paths.values()):
+                scratch.drop(df)
+        cls._open.clear()
 
     def write(self, df: DataFrame, step: str) -> DataFrame:
         path = staging_path(self.spark, f"{self.name}-{step}")
