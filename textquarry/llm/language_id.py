@@ -21,7 +21,7 @@ from textquarry.llm.arrow_text import chunks
 from textquarry.llm.tables import query, table
 
 ORDER = 4
-SAMPLE_DOCS = 400  # expected labelled documents per language
+SAMPLE_DOCS = 400  # labelled texts per language, at most
 SAMPLE_CHARS = 50_000  # longer documents are not sampled
 UNDETERMINED = "und"
 _PAD = 2  # stands before every text
@@ -49,6 +49,7 @@ def symbols(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     codes = _letters()[codes]
     gap = codes == 32
     keep = ~gap
+    keep[:1] = True  # a text may begin with a space wherever it stands
     keep[1:] |= ~(gap[:-1] & (text[1:] == text[:-1]))
     codes, text = codes[keep], text[keep]
     pads = np.full(len(ends) * (ORDER - 1), _PAD, np.uint32)
