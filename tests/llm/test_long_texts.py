@@ -1,5 +1,6 @@
 """Very long texts and very many items, against plain computations."""
 
+import math
 import random
 import re
 
@@ -13,7 +14,16 @@ from tokenizers import Tokenizer
 from textquarry.llm.arrow_text import chunks
 from textquarry.llm.decontamination import Index, leaks
 from textquarry.llm.packing import packed
-from textquarry.llm.secret_scan import DIGITS, ENCODINGS, KINDS, LOW, UP, randomness, secret_spans
+from textquarry.llm.secret_scan import (
+    DIGITS,
+    ENCODINGS,
+    FDR,
+    KINDS,
+    LOW,
+    UP,
+    randomness,
+    secret_spans,
+)
 
 BASE62 = UP + LOW + DIGITS
 
@@ -143,3 +153,41 @@ def test_many_items_times_many_texts():
     ]
     assert sorted(found) == list(enumerate(held))
     assert np.int64(9_999 * 250_000) >= 1 << 31
+
+
+def plain_p(text, alphabet):
+    """Upper tail of chi-squared with three degrees of freedom, through the error function."""
+    uniform, runs, serial = plain_battery(text, alphabet)
+    z = math.sqrt(max(uniform, 0) ** 2 + runs**2 + serial**2)
+    p = math.erfc(z / 2**0.5) + z * (2 / math.pi) ** 0.5 * math.exp(-z * z / 2)
+    return max(min(p, 1.0), 1e-300)
+
+
+def test_bounds_equal_plain_discovery_control(spark):
+    """What stays is what Benjamini-Hochberg over each class of encoding and length does not reject."""
+    draw = random.Random(43)
+    strings = []
+    for letters in (BASE62, LOW + DIGITS, DIGITS + "abcdef"):
+        for n in (20, 24, 40):
+            strings += [key(draw, letters, n) for _ in range(25)]
+            skewed = [1 / (i + 1) for i in range(len(letters))]
+            strings += ["".join(draw.choices(letters, skewed, k=n)) for _ in range(25)]
+    docs = spark.createDataFrame([(k, f"see {s} end") for k, s in enumerate(strings)],
+                                 "doc_id long, text string").repartition(3)
+    classes = {}
+    for k, s in enumerate(strings):
+        encoding = next((e for e, (pattern, _) in ENCODINGS.items() if re.search(pattern, s)), None)
+        if encoding is not None:
+            p = plain_p(s, ENCODINGS[encoding][1])
+            classes.setdefault((encoding, len(s).bit_length()), []).append((p, k))
+    sure, near = set(), set()
+    for members in classes.values():
+        # p-values are binned by 20 steps a decade, so those beside a bound may go either way.
+        for factor, out in ((10 ** (1 / 20), sure), (10 ** (-1 / 20), near)):
+            members.sort()
+            last = max((i for i, (p, _) in enumerate(members, 1)
+                        if p * factor <= FDR * i / len(members)), default=0)
+            out.update(k for _, k in members[last:])
+    shown = {r.doc_id for r in secret_spans(docs).collect() for s in r.spans if s.kind == 3}
+    assert near <= shown <= sure
+    assert len(sure - near) < 10 and 60 < len(shown) < len(strings) - 60
