@@ -28,6 +28,7 @@ from textquarry.operators.patches import (
     number_text,
     tunable,
 )
+from textquarry.session import stage
 from textquarry.sources.tiers import BOUNDS
 
 ROUND = ["run_id", "round"]
@@ -135,15 +136,16 @@ def round_reviews(
 
     ``rounds`` comes from ``with_round_history``, ``results`` holds ``(run_id, round, q, question,
     answer)``. The prompt is laid out as numbered pieces which, joined in order, are the whole: a
-    round with a huge curve or answer sheet never meets in one task.
+    round with a huge curve or answer sheet never meets in one task. The rounds and the sampled
+    answers are stored once, when the plan is made.
     """
     before, after_round, after_config, after_losses, after_history, after_answers = [
         F.lit(literal) for literal, _ in split_template(templates.ROUND_REVIEW)
     ]
-    answers = sampled_answers(results, ROUND, SAMPLE_STEP)
-    n_answers = results.groupBy(*ROUND).agg(
-        F.ceil(F.count("*") / SAMPLE_STEP).alias("n_answers")
-    )
+    # Each is read twice below: once for the pieces, once for how many there are.
+    rounds = stage(rounds.select(*ROUND, "config", "history", "n_losses"), "rounds")
+    answers = stage(sampled_answers(results, ROUND, SAMPLE_STEP), "sampled")
+    n_answers = answers.groupBy(*ROUND).agg(F.count("*").alias("n_answers"))
     frame = rounds.join(n_answers, ROUND, "left").withColumn(
         "n_answers", F.coalesce("n_answers", F.lit(0))
     )

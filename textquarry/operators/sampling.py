@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textquarry.operators.ordered import rows_at
 
 # Hex digits of the hash told apart per counting pass: 4,096 bins each.
 DIGITS = 3
+# Rows of one bin that are ranked without counting once more.
+RANKED = 100_000
 
 
 def _draw(seed: int, key: str) -> Column:
@@ -19,42 +20,33 @@ def _draw(seed: int, key: str) -> Column:
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """``n`` rows without replacement (all when fewer), the same for any partitioning.
 
-    The sample is the ``n`` lowest hashes of the unique ``key``. Two counting passes over the key
-    find the narrow hash range in which rank ``n`` falls, and only that range is ranked, so no
-    task meets the candidates of every other task. Documents are then kept by comparing their hash:
-    texts are neither sorted nor shuffled.
+    The sample is the ``n`` lowest hashes of the unique ``key``. Passes over the key column, run when
+    the plan is made, count bins of the hash until the one where rank ``n`` falls is small, and only
+    that bin is ranked, so no task meets the candidates of every other task. Documents are then kept
+    by comparing their hash with a constant: texts are neither sorted nor shuffled.
     """
     if n <= 0:
         return df.where(F.lit(False))
     ticket = F.struct(_draw(seed, key).alias("h"), F.col(key).alias("k"))
-    tickets = df.select(ticket.alias("ticket"))
-    coarse = _bin_of_rank(tickets, n, DIGITS, F.lit(0))
-    near = tickets.where(_prefix(DIGITS) == coarse.scalar()["bin"])
-    fine = _bin_of_rank(near, n, 2 * DIGITS, coarse.scalar()["before"])
-    last = tickets.where(_prefix(2 * DIGITS) == fine.scalar()["bin"])
-    rank = F.row_number().over(W.partitionBy(_prefix(2 * DIGITS)).orderBy("ticket"))
-    wanted = last.withColumn("rank", rank).where(
-        F.col("rank") + fine.scalar()["before"] <= n
-    )
-    return df.where(ticket <= wanted.agg(F.max("ticket")).scalar())
-
-
-def _prefix(digits: int) -> Column:
-    return F.left(F.col("ticket.h"), F.lit(digits))
-
-
-def _bin_of_rank(tickets: DataFrame, n: int, digits: int, lower: Column) -> DataFrame:
-    """One row with ``struct<bin, before>``: where rank ``n`` falls and the tickets before that.
-
-    ``lower`` tickets precede these. The last bin is taken when there are fewer than ``n``.
-    """
-    counts = tickets.groupBy(_prefix(digits).alias("bin")).agg(F.count("*").alias("rows"))
-    frame = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # over the bins only
-    before = lower + F.coalesce(F.sum("rows").over(frame), F.lit(0))
-    bins = counts.select("bin", before.alias("before"))
-    return bins.where(F.col("before") < n).agg(
-        F.max_by(F.struct("bin", "before"), "bin").alias("hit")
-    )
+    near = df.where(F.col(key).isNotNull()).select(ticket.alias("ticket"))
+    prefix, before = "", 0
+    while True:
+        bins = near.groupBy(F.left("ticket.h", F.lit(len(prefix) + DIGITS)).alias("bin"))
+        found = None
+        for bin_, rows in sorted(bins.count().collect()):  # 4,096 rows at most
+            if before + rows >= n:
+                found = bin_, rows
+                break
+            before += rows
+        if found is None:  # fewer than n in all
+            return df
+        prefix, rows = found
+        near = near.where(F.startswith("ticket.h", F.lit(prefix)))
+        if rows <= RANKED or len(prefix) + DIGITS > 32:
+            break
+    last = near.orderBy("ticket").limit(n - before).agg(F.max("ticket").alias("t")).first()["t"]
+    bound = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
+    return df.where(ticket <= bound)
 
 
 def every_nth(df: DataFrame, position: str, n: int = 5) -> DataFrame:

@@ -26,6 +26,8 @@ from textquarry.plans.registry import (
     sql_words,
     table,
 )
+from textquarry.session import staging_path
+from textquarry.sources import sinks
 from textquarry.sources.evalsets import numbered_questions
 from textquarry.sources.tiers import BOUNDS, TIERS
 
@@ -144,9 +146,7 @@ def round_history(spark, sf_dir) -> DataFrame:
     return history.select("run_id", "round", "history")
 
 
-@query(
-    "a_round_records",
-    f"""WITH l AS ({SQL_LOSSES}),
+SQL_RECORDS = f"""WITH l AS ({SQL_LOSSES}),
         c AS (SELECT run_id, round, string_agg(step || '=' || loss, ' ' ORDER BY step) AS loss_log
               FROM l GROUP BY run_id, round)
         SELECT run_id, round, '2026-01-02T03:04:05' AS timestamp, {len(K_BOUNDS)} AS n_settings, 50.0::DOUBLE AS k, loss_log,
@@ -155,14 +155,18 @@ def round_history(spark, sf_dir) -> DataFrame:
                coalesce(change, '') AS changes,
                printf('out/round_%02d_adapter', round) AS adapter_dir,
                printf('out/round_%02d_answers.txt', round) AS eval_answers
-        FROM ({SQL_OUTCOME}) JOIN c USING (run_id, round)""",
-)
-def round_records(spark, sf_dir) -> DataFrame:
-    """Records with their nested fields shown as text."""
-    records = rounds.round_records(
+        FROM ({SQL_OUTCOME}) JOIN c USING (run_id, round)"""
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    return rounds.round_records(
         loss_table(spark, sf_dir), _outcome(spark, sf_dir), "out", K_BOUNDS,
         F.to_timestamp(F.lit("2026-01-02 03:04:05")),
     )
+
+
+def _shown(records: DataFrame) -> DataFrame:
+    """Records with their nested fields shown as text."""
     entry = lambda e: F.concat(e["step"].cast("string"), F.lit("="), e["loss"].cast("string"))
     return records.select(
         "run_id",
@@ -181,6 +185,19 @@ def round_records(spark, sf_dir) -> DataFrame:
     )
 
 
+@query("a_round_records", SQL_RECORDS)
+def round_records(spark, sf_dir) -> DataFrame:
+    return _shown(_records(spark, sf_dir))
+
+
+@query("k_round_log", SQL_RECORDS)
+def round_log(spark, sf_dir) -> DataFrame:
+    """The log written as ordered JSON arrays and read back."""
+    path, records = staging_path(spark, "rounds"), _records(spark, sf_dir)
+    sinks.write_round_log(records, path, files=None)
+    return _shown(spark.read.schema(records.schema).option("mode", "FAILFAST").json(path))
+
+
 SQL_CONFIG = "{\n" + ",\n".join(
     f'  "{name}": {SETTINGS[name] if not whole else int(SETTINGS[name])}'
     for name, (_, _, whole) in K_BOUNDS.items()
