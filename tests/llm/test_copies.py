@@ -122,3 +122,25 @@ def test_sketches_bound_what_sets_share():
         assert bound == most_shared(sketch(b), nb, sketch(a), na)
         passed += 175 * bound >= 75 * (na + nb) and 175 * shared < 60 * (na + nb)
     assert passed < 15  # pairs far from similar seldom pass
+
+
+def test_marks_never_drop_a_similar_pair(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from textquarry.llm.jaccard_join import _MARKED, _marks_meet, marks
+
+    draw = np.random.default_rng(8)
+    rows, similar, made = [], [], []
+    for k in range(300):
+        na, nb = (int(v) for v in draw.integers(1, 400, 2))
+        shared = min(na, nb) - int(draw.integers(0, min(na, nb) + 1)) // (1 + k % 4)
+        pool = draw.integers(0, 1 << 63, na + nb - shared, dtype=np.uint64)
+        a, b = pool[:na], pool[na - shared :]
+        rows.append((k, na, nb, *marks(a).tolist(), *marks(b).tolist()))
+        if 175 * shared >= 75 * (na + nb):
+            similar.append(k)
+    names = ["k", "na", "nb", *[f"x{m}" for m in _MARKED], *[f"y{m}" for m in _MARKED]]
+    df = spark.createDataFrame(rows, names)
+    made = {r.k for r in df.where(_marks_meet(F.col("na"), F.col("nb"))).collect()}
+    assert set(similar) <= made and 10 < len(similar) and len(made) < 200

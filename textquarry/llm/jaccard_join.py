@@ -33,6 +33,7 @@ SHARE, WHOLE = 75, 100  # similarity of at least SHARE / WHOLE
 FREQUENT = 1 << 20  # shingles in the table of frequent ones, at most
 FILTER_BITS = 1 << 26  # of the filter of sets to compare
 MAX_SMALL = 512
+MARKS = 8  # words of the sketch that goes with the entries of lists compared in full
 TRIED = 4  # sets of another component that a set is compared with in one turn
 GAIN = 0.9  # a turn that leaves more than this share of the comparisons is the last
 TURNS = 8  # turns at most; what they leave apart is compared in full
@@ -208,6 +209,20 @@ def _keys(limit: int):
     return run
 
 
+_MARKED = [f"m{i}" for i in range(MARKS)]
+
+
+def _marks_meet(na, nb):
+    """Whether the marks of x and y leave room for a similar pair; see ``most_shared``."""
+
+    def ones(words):
+        return reduce(lambda total, word: total + F.bit_count(word), words, F.lit(0))
+
+    x, y = ([F.col(f"{side}{m}") for m in _MARKED] for side in "xy")
+    held = ones([a.bitwiseAND(b) for a, b in zip(x, y, strict=True)])
+    return _room(na, nb, held + F.least(na - ones(x), nb - ones(y)))
+
+
 def _room(na, nb, *rests):
     """Whether sets of these sizes may be similar if they share no more than the least of rests."""
     return F.least(*rests, na, nb) * (WHOLE + SHARE) >= (na + nb) * SHARE
@@ -221,6 +236,13 @@ def sketch(value: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def marks(value: np.ndarray) -> np.ndarray:
+    """A sketch of MARKS words of 64 places, the same for sets of any size."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[value & np.uint64(64 * MARKS - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def most_shared(x: np.ndarray, na: int, y: np.ndarray, nb: int) -> int:
     """What sets of na and nb shingles with these sketches share at most.
 
@@ -276,7 +298,7 @@ def _links(batches):
 
 
 def _whole_sets(wanted):
-    """Task: (sid, n, shingles, sketch) of texts whose set may be in the filter."""
+    """Task: (sid, n, shingles, sketch, marks) of texts whose set may be in the filter."""
 
     def run(batches):
         slots = np.unpackbits(wanted.value, bitorder="little")
@@ -286,19 +308,17 @@ def _whole_sets(wanted):
                 n = np.diff(ends, prepend=0)
                 sid = set_ids(value, ends, n)
                 rows = np.flatnonzero((n > 0) & (slots[sid % len(slots)] > 0))
+                own = [value[ends[r] - n[r] : ends[r]] for r in rows]
+                marked = np.array([marks(v) for v in own], np.int64).reshape(-1, MARKS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sid[rows]),
                         pa.array(n[rows].astype(np.int64)),
-                        pa.array(
-                            [value[ends[r] - n[r] : ends[r]].tobytes() for r in rows], pa.binary()
-                        ),
-                        pa.array(
-                            [sketch(value[ends[r] - n[r] : ends[r]]).tobytes() for r in rows],
-                            pa.binary(),
-                        ),
+                        pa.array([v.tobytes() for v in own], pa.binary()),
+                        pa.array([sketch(v).tobytes() for v in own], pa.binary()),
+                        *[pa.array(column) for column in marked.T],
                     ],
-                    names=["sid", "n", "shingles", "sketch"],
+                    names=["sid", "n", "shingles", "sketch", *_MARKED],
                 )
 
     return run
@@ -340,11 +360,12 @@ class Near:
         return self.spark.sparkContext.broadcast(bits)
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """(sid, n, shingles, sketch) of the distinct ids ``wanted``, read again from the texts.
+        """(sid, n, shingles, sketch, marks) of the distinct ids ``wanted``, read again from the texts.
 
         Most other texts are left where they are by a filter.
         """
         schema = "sid long, n long, shingles binary, sketch binary"
+        schema += "".join(f", {m} long" for m in _MARKED)
         sets = self.texts.mapInArrow(_whole_sets(self.filter_of(wanted)), schema)
         sets = sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
         return self.scratch.write(sets, "whole")
@@ -459,14 +480,19 @@ class Near:
                     drop(gone)
             turn += 1
 
-        # What is still apart is compared in full.
+        # What is still apart is compared in full, with sketches beside the entries, so that pairs that
+        # cannot be similar are not even made.
+        held = member.join(lists.select("key"), "key", "left_semi")
+        held = write(held.join(whole.select("sid", *_MARKED), "sid"), "held")
+        outside = held.join(lists, "key").where(F.col("root") != F.col("main.root"))
         x = outside.select(
             "key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
             F.col("rest").alias("sa"), F.col("main.root").alias("main"),
+            *[F.col(m).alias(f"x{m}") for m in _MARKED],
         )
-        y = member.select(
+        y = held.select(
             "key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
-            F.col("rest").alias("sb"),
+            F.col("rest").alias("sb"), *[F.col(m).alias(f"y{m}") for m in _MARKED],
         )
         rest = (
             x.join(
@@ -474,13 +500,14 @@ class Near:
                 (x["key"] == y["key"])
                 & (F.col("ra") != F.col("rb"))
                 & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-                & _room(*map(F.col, ("na", "nb", "sa", "sb"))),
+                & _room(*map(F.col, ("na", "nb", "sa", "sb")))
+                & _marks_meet(F.col("na"), F.col("nb")),
             )
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
         links.append(self.linked(rest, whole, False))
-        for gone in (member, lists, roots, whole, keys):
+        for gone in (held, member, lists, roots, whole, keys):
             if gone is not None:
                 drop(gone)
         return components(reduce(DataFrame.union, links), self.scratch)
