@@ -67,6 +67,33 @@ def test_pages_without_an_article_lose_what_near_pages_share(spark):
     assert main_text(pages.where("false")).count() == 0
 
 
+def test_articles_lose_what_all_near_pages_share(spark):
+    def page(k, *body, top="Site menu"):
+        body = "".join(f"<p>{line}</p>" for line in (f"Title {k}", *body))
+        return f"<nav><p>{top}</p></nav><article>{body}<p>Read our letter</p></article><p>Bottom"
+
+    rows = [(k, f"http://a.example/{k:03}", page(k, f"one {k}", f"two {k}")) for k in range(30)]
+    # Copies of a text are no template, and a host of few pages tells too little.
+    rows += [(k, f"http://b.example/{k:03}", page(k, "copy", "more of it")) for k in range(40, 55)]
+    rows += [(k, f"http://c.example/{k}", page(k, "own", f"two {k}")) for k in range(60, 70)]
+    # Lines that the markup names are aligned too: they are template where they stand loose.
+    rows += [(80, "http://d.example/1", page(80)), (81, "http://d.example/2", "Site menu<p>words")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        got = {r.page_id: r.text for r in main_text(pages.repartition(n)).collect()}
+        assert len(got) == len(rows)
+        assert all(got[k] == f"Title {k}\none {k}\ntwo {k}" for k in range(30))
+        copied = "copy\nmore of it\nRead our letter"
+        assert all(got[k] == f"Title {k}\n{copied}" for k in range(40, 55))
+        assert all(got[k] == f"Title {k}\nown\ntwo {k}\nRead our letter" for k in range(60, 70))
+        assert got[80] == "Title 80\nRead our letter" and got[81] == "words"
+
+
+def test_named_lines_stand_beside_the_others():
+    lines = page_lines('<p>a <span class="ad">buy <b>x</b></span> b</p><nav>m<p>n</nav>c', True)
+    assert lines == [(-1, "buy x"), (0, "a b"), (-1, "m"), (-1, "n"), (0, "c")]
+
+
 def test_maximal_conversations(spark):
     draw = random.Random(4)
     talks = {}

@@ -1,10 +1,11 @@
 """Main text of web pages, by differencing of pages with near URLs.
 
-A page's blocks are its text lines. What the markup itself names as no part of the article goes
-first. If the page marks its article, the article's lines are the text. The other pages are paired,
-within their host, with the page whose path is nearest, their lines are aligned by the longest
-common subsequence, and lines that both share (template text) go. Lines of a marked article are
-never removed this way, since near pages may carry the same paragraphs or be copies.
+A page's blocks are its text lines. Every page is aligned, by the longest common subsequence of all
+its lines, with the pages beside it in the order of host and path, and template lines go. On a page
+that marks no article these are the lines that the nearest page shares. What the markup itself names
+as no part of the article goes too, and where it marks the article, what stands outside. A line of a
+marked article is a template line if all of the NEAR nearest pages of its host share it, but only
+while these are less than half of the article's lines: copies of a text stand on many pages as well.
 
 Pages are dealt by ranges of host and path, so a host of any size spreads over all tasks.
 """
@@ -22,6 +23,9 @@ from pyspark.sql.window import Window
 from textquarry.llm.html_lines import ARTICLE, LOOSE, MAIN, page_lines
 from textquarry.llm.tables import Scratch, query, table
 
+NEAR = 10  # pages that must share a line of a marked article
+_BLOCK = 1_000  # pages of a window
+
 
 def _host_and_path(url: str | None) -> tuple[str | None, list[str]]:
     try:
@@ -33,19 +37,21 @@ def _host_and_path(url: str | None) -> tuple[str | None, list[str]]:
 
 
 def _read(batches):
-    """Task: the lines of every page; ``open`` where template lines may be among them."""
-    names = ["page_id", "url", "host", "path", "lines", "open"]
+    """Task: all lines of every page, the places of those that may be its text, and ``open``: no
+    article is marked."""
+    names = ["page_id", "url", "host", "path", "every", "places", "open"]
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             some = batch.slice(at, 200)
-            hosts, paths, texts, open_ = [], [], [], []
+            hosts, paths, texts, places, open_ = [], [], [], [], []
             for url, page in zip(some["url"].to_pylist(), some["html"].to_pylist(), strict=True):
                 host, path = _host_and_path(url)
-                lines = page_lines(page or "")
-                best = max((place for place, _ in lines), default=LOOSE)
+                lines = page_lines(page or "", named=True)
+                best = max((LOOSE, *(place for place, _ in lines)))
                 hosts.append(host)
                 paths.append(path)
-                texts.append([text for place, text in lines if place == best])
+                texts.append([text for _, text in lines])
+                places.append([i for i, (place, _) in enumerate(lines) if place == best])
                 open_.append(best not in (ARTICLE, MAIN))
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -55,6 +61,7 @@ def _read(batches):
                     pa.array(hosts, pa.string()),
                     pa.array(paths, strings),
                     pa.array(texts, strings),
+                    pa.array(places, pa.list_(pa.int32())),
                     pa.array(open_),
                 ],
                 names=names,
@@ -102,30 +109,37 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _differ(batches):
-    """Task: the lines of open pages without those the partner shares, if any other remains."""
+    """Task: which of the lines that may be a page's text are template lines, if any go."""
     for batch in batches:
-        texts = []
-        rows = zip(batch["lines"].to_pylist(), batch["own"], batch["other"], strict=True)
-        for lines, own, other in rows:
-            own = np.array(own.as_py() or [], np.int64)
-            other = np.array(other.as_py() or [], np.int64)
-            gone = shared(own, other)
-            if not gone.all():
-                lines = [line for line, drop in zip(lines, gone, strict=True) if not drop]
-            texts.append("\n".join(lines))
+        rows, found = [], []
+        columns = (batch[c] for c in ("row", "own", "places", "open", "others"))
+        for row, own, places, open_, others in zip(*columns, strict=True):
+            own = np.array(own.as_py(), np.int64)
+            places = np.array(places.as_py(), np.int64)
+            gone = np.ones(len(places), bool)
+            for other in others:
+                if not gone.any():
+                    break
+                gone &= shared(own, np.array(other.as_py(), np.int64))[places]
+            most = len(gone) - 1 if open_.as_py() else (len(gone) - 1) // 2
+            if 0 < np.count_nonzero(gone) <= most:
+                rows.append(row.as_py())
+                found.append(gone.tolist())
         yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], pa.array(texts, pa.string())],
-            names=["page_id", "url", "text"],
+            [pa.array(rows, pa.int64()), pa.array(found, pa.list_(pa.bool_()))],
+            names=["row", "gone"],
         )
 
 
-def _nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, partner): of the two pages beside it in the order of host and path, the nearer one.
+def _with_near(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pages that are aligned, with ``others``: the lines of the pages that they must share.
 
-    Nearer is the one with more leading path segments in common; of equal ones, the page before.
+    On a page without a marked article, of the two pages beside it in the order of host and path the
+    nearer one: with more leading path segments in common; of equal ones, the page before. Else the
+    NEAR pages beside it, half of them before where the host has as many; with fewer pages, none.
     """
     order = ["host", "path", "url", "page_id", "row"]
-    dealt = pages.where(F.col("host").isNotNull()).select(*order)
+    dealt = pages.where(F.col("host").isNotNull()).select(*order, "own", "places", "open")
     dealt = dealt.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = scratch.write(dealt, "dealt")
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
@@ -134,9 +148,19 @@ def _nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     # One row per partition is broadcast.
     numbered = dealt.join(F.broadcast(sizes), "part").select(
-        (F.col("before") + place).alias("at"), "row", "host", "path"
+        (F.col("before") + place).alias("at"), "row", "host", "path", "own", "places", "open"
+    )
+
+    # Every page is lent to the blocks that its neighbours are in.
+    blocks = F.sequence(*[F.floor((F.col("at") + side) / _BLOCK) for side in (-NEAR, NEAR)])
+    lent = numbered.withColumn("block", F.explode(blocks))
+    frame = Window.partitionBy("block").orderBy("at").rowsBetween(-NEAR, NEAR)
+    beside = F.collect_list(F.struct("at", "host", "path", "own")).over(frame)
+    lent = lent.withColumn("beside", beside).where(F.floor(F.col("at") / _BLOCK) == F.col("block"))
+    of_host = F.filter(
+        "beside", lambda p: (p["host"] == F.col("host")) & (p["at"] != F.col("at"))
     )
-    numbered = scratch.write(numbered, "numbered")
+    lent = lent.withColumn("beside", of_host)
 
     def common(other):
         least = F.least(F.size("path"), F.size(other))
@@ -147,21 +171,22 @@ def _nearest(pages: DataFrame, scratch: Scratch) -> DataFrame:
             )
         )
 
-    sides = []
-    for step in (1, -1):
-        side = numbered.select(
-            (F.col("at") + step).alias("at"),
-            F.struct("row", "host", "path").alias("before" if step == 1 else "after"),
-        )
-        sides.append(side)
-    both = numbered.join(sides[0], "at", "left").join(sides[1], "at", "left")
-    same = {s: F.col(f"{s}.host") == F.col("host") for s in ("before", "after")}
-    near = {s: F.when(same[s], common(F.col(f"{s}.path"))) for s in same}
-    partner = F.when(
-        F.coalesce(near["after"], F.lit(-1)) > F.coalesce(near["before"], F.lit(-1)),
-        F.col("after.row"),
-    ).when(same["before"], F.col("before.row"))
-    return both.select("row", partner.alias("partner")).where("partner IS NOT NULL")
+    def side(step: int):
+        return F.get(F.filter("beside", lambda p: p["at"] == F.col("at") + step), F.lit(0))
+
+    lent = lent.withColumns({"previous": side(-1), "next": side(1)})
+    after = F.coalesce(common(F.col("next.path")), F.lit(-1))
+    nearest = F.when(after > F.coalesce(common(F.col("previous.path")), F.lit(-1)), F.col("next.own"))
+    nearest = nearest.otherwise(F.col("previous.own"))
+    n_before = F.size(F.filter("beside", lambda p: p["at"] < F.col("at")))
+    first = F.greatest(
+        F.lit(0), F.least(n_before - NEAR // 2, F.size("beside") - NEAR)
+    )
+    near = F.transform(F.slice("beside", first + 1, F.lit(NEAR)), lambda p: p["own"])
+    others = F.when(F.col("open"), F.array_compact(F.array(nearest)))
+    others = others.when(F.size("beside") >= NEAR, near).otherwise(F.array())
+    lent = lent.withColumn("others", others).where(F.size("others") > 0)
+    return lent.select("row", "own", "places", "open", "others")
 
 
 def main_text(
@@ -170,7 +195,8 @@ def main_text(
     """Per row of ``pages``: page_id, url, text (blocks joined by line feeds), n_chars.
 
     A null or empty page gives an empty text. A page without a host, or alone on its host, is not
-    differenced; nor are shared lines removed where nothing else would remain. Rows that repeat
+    differenced, and neither is a marked article on a host of at most NEAR pages; nor are shared lines
+    removed where nothing else, or less than half of a marked article, would remain. Rows that repeat
     give a row each. An empty table gives an empty result; other columns play no part.
     """
     spark = pages.sparkSession
@@ -180,24 +206,28 @@ def main_text(
     )
     id_type = chosen.schema["page_id"].dataType.simpleString()
     schema = (
-        f"page_id {id_type}, url string, host string, path array<string>, lines array<string>, "
-        "open boolean"
-    )
-    read = chosen.mapInArrow(_read, schema)
-    read = scratch.write(read.withColumn("row", F.monotonically_increasing_id()), "lines")
-    result = ["page_id", "url", "text"]
-    closed = read.where("NOT open").withColumn("text", F.array_join("lines", "\n"))
-    hashed = read.select("row", F.transform("lines", lambda line: F.xxhash64(line)).alias("own"))
-    open_ = read.where("open").join(_nearest(read, scratch), "row", "left")
-    open_ = open_.join(hashed, "row").join(
-        hashed.select(F.col("row").alias("partner"), F.col("own").alias("other")), "partner", "left"
+        f"page_id {id_type}, url string, host string, path array<string>, every array<string>, "
+        "places array<int>, open boolean"
     )
-    open_ = open_.select("page_id", "url", "lines", "own", "other").mapInArrow(
-        _differ, f"page_id {id_type}, url string, text string"
+    read = chosen.mapInArrow(_read, schema).select(
+        "page_id",
+        "url",
+        "host",
+        "path",
+        "places",
+        "open",
+        F.transform("every", lambda line: F.xxhash64(line)).alias("own"),
+        F.transform("places", lambda place: F.get("every", place)).alias("lines"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    read = scratch.write(read, "lines")
+    # Few rows where articles are marked: written first, they are known to be, and no line moves.
+    gone = _with_near(read, scratch).mapInArrow(_differ, "row long, gone array<boolean>")
+    gone = scratch.write(gone, "gone")
+    kept = F.filter("lines", lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
     return (
-        closed.select(*result)
-        .union(open_)
+        read.join(gone, "row", "left")
+        .select("page_id", "url", F.array_join(kept, "\n").alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )
 

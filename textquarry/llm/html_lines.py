@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-LOOSE, MAIN, ARTICLE = 0, 1, 2
+NAMED, LOOSE, MAIN, ARTICLE = -1, 0, 1, 2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,23 +61,25 @@ def _dropped(name: str, attributes: str) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[int, str]]:
+def page_lines(page: str, named: bool = False) -> list[tuple[int, str]]:
     """(place, text) of every text block of a page in order, dropped elements left out.
 
     place is ARTICLE or MAIN inside such an element, else LOOSE. A block's white space is one space
-    each and none at its ends; empty blocks are left out.
+    each and none at its ends; empty blocks are left out. With ``named``, the blocks of dropped
+    elements are told too, as NAMED; scripts and styles have none.
     """
     lines: list[tuple[int, str]] = []
     parts: list[str] = []
+    aside: list[str] = []  # of the dropped element, which may stand inside a block
     depth = {"article": 0, "main": 0}
     skip, nested, inner, at, raw = "", 0, 0, 0, ""
 
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
+    def flush(own: list[str]) -> None:
+        text = " ".join(html.unescape("".join(own)).split())
+        own.clear()
         if text:
             place = ARTICLE if depth["article"] else MAIN if depth["main"] else LOOSE
-            lines.append((place, text))
+            lines.append((NAMED if own is aside else place, text))
 
     position, end = 0, len(page)
     while position <= end:
@@ -88,6 +90,8 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         tag = _TAG.search(page, position)
         if not skip:
             parts.append(page[at : tag.start() if tag else end])
+        elif named:
+            aside.append(page[at : tag.start() if tag else end])
         if tag is None:
             break
         position = at = tag.end()
@@ -118,6 +122,8 @@ def page_lines(page: str) -> list[tuple[int, str]]:
                     inner += 1
                 else:
                     nested = 0  # never closed before the article
+            if block or nested <= 0:
+                flush(aside)
             if nested > 0 or (closing and name == skip):
                 skip = skip if nested > 0 else ""
                 continue
@@ -126,7 +132,7 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             parts.append(" ")
             continue
         if block:
-            flush()
+            flush(parts)
         if closing:
             if name in depth:
                 depth[name] = max(0, depth[name] - 1)
@@ -137,5 +143,6 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             continue
         if name in depth:
             depth[name] += 1
-    flush()
+    flush(aside)
+    flush(parts)
     return lines
