@@ -294,3 +294,17 @@ def test_rerun_of_one_label_and_round_leaves_the_others(spark, tmp_path):
     assert sorted((r.model_label, r.round, r.q, r.answer) for r in got.collect()) == sorted(want)
     sinks.write_results(spark.createDataFrame(again[:1], schema), path)
     assert spark.read.json(path).count() == 1
+
+
+def test_split_readers_store_their_counts(spark, tmp_path):
+    """Plans of sums of sums read the files once for the texts, not once for every sum."""
+    rows = [{"question": f"q{k}", "context": "} ] \" {" * (k % 4)} for k in range(50)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    (tmp_path / "a.csv").write_text(
+        "question,context\n" + "".join(f'"q{k}","a\n""{k}"""\n' for k in range(50))
+    )
+    for name in ("a.json",):
+        found = evalsets.scan_open_book(spark, str(tmp_path / name), whole_below=0)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [value#") == 1
+        assert [r.question for r in found.orderBy("row").collect()] == [f"q{k}" for k in range(50)]

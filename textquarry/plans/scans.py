@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry import schemas
 from textquarry.functions.tokens import EOS
-from textquarry.operators.ordered import number_rows, ordered_list, whole_quotient
+from textquarry.operators.ordered import ordered_list, whole_quotient
 from textquarry.operators.packing import pack_stats
 from textquarry.operators.prepare import concatenate, with_defaults
 from textquarry.operators.rounds import first_last_loss
 from textquarry.plans.experiments import SQL_LOSSES, loss_table
 from textquarry.plans.jobs import raw_corpus, raw_corpus_set
 from textquarry.plans.registry import corpus, query, sql_strip, sql_tokens, table
-from textquarry.session import hadoop, staging_path
+from textquarry.session import hadoop, stage, staging_path
 from textquarry.sources import corpus as readers
 from textquarry.sources import evalsets, sinks
 from textquarry.sources.tiers import PACKED_LENGTH
@@ -199,9 +200,14 @@ def array_split(spark, sf_dir) -> DataFrame:
     path = staging_path(spark, "arrays")
     sinks.write_array(_open_book(spark, sf_dir), path, ["doc_id"])
     rows = evalsets.scan_open_book_json(spark, path, whole_below=0)
-    # Files follow each other by name.
-    placed = rows.withColumn("at", F.struct("file", "row")).drop("file", "row")
-    return number_rows(placed, "at", "row").select("row", "question", "context")
+    # Files follow each other by name. What was put together once is stored before it is counted.
+    rows = stage(rows, "elements")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("file").agg(F.max("row").alias("n"))
+    # One row per file is broadcast.
+    sizes = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = rows.join(F.broadcast(sizes), "file")
+    return placed.select((F.col("before") + F.col("row")).alias("row"), "question", "context")
 
 
 @query(

@@ -3,6 +3,8 @@
 Spark splits a text file at any separator. A file is cut into pieces after every closing brace or
 line end; whether a piece begins inside a quoted string, and how deep, follows from counts over the
 pieces before it, which are summed without the texts. Pieces of one element are then put together.
+The counts and each sum are stored: a sum reads its input more than once, and sums follow sums, so the
+files would be read and searched for every reading of the last one. Texts are read twice.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.ordered import prefix_sum
-from textquarry.session import hadoop
+from textquarry.session import hadoop, stage
 
 _AT = "at"
 
@@ -95,20 +97,17 @@ def array_elements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         depth(1).alias("depth_inside"),
         F.regexp_like(outside(0), F.lit(r"^[\s,]*\]")).alias("closes"),
     )
-    inside = prefix_sum(counts, _AT, F.col("quotes"), "quotes_before", ["file"])
+    inside = prefix_sum(
+        stage(counts, "pieces"), _AT, F.col("quotes"), "quotes_before", ["file"]
+    )
     begins_inside = F.col("quotes_before") % 2 == 1
     change = F.when(begins_inside, F.col("depth_inside")).otherwise(F.col("depth_outside"))
-    deep = prefix_sum(
-        inside.select(
-            "file", _AT, "quotes", "closes", begins_inside.alias("inside"), change.alias("change")
-        ),
-        _AT,
-        F.col("change"),
-        "depth",
-        ["file"],
+    inside = inside.select(
+        "file", _AT, "quotes", "closes", begins_inside.alias("inside"), change.alias("change")
     )
+    deep = prefix_sum(stage(inside, "pieces"), _AT, F.col("change"), "depth", ["file"])
 
-    placed = deep.join(F.broadcast(bases), "file")
+    placed = stage(deep, "pieces").join(F.broadcast(bases), "file")
     over = (F.col("depth") == F.col("base")) & ~F.col("inside") & F.col("closes")
     end = placed.where(over).groupBy("file").agg(F.min(_AT).alias("over"))
     last = (F.col("depth") + F.col("change") == F.col("base")) & (
@@ -117,13 +116,8 @@ def array_elements(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     elements = placed.join(end, "file", "left").where(
         F.col("over").isNull() | (F.col(_AT) < F.col("over"))
     )
-    numbered = prefix_sum(
-        elements.select("file", _AT, last.cast("int").alias("last")),
-        _AT,
-        F.col("last"),
-        "before",
-        ["file"],
-    )
+    elements = elements.select("file", _AT, last.cast("int").alias("last"))
+    numbered = prefix_sum(stage(elements, "pieces"), _AT, F.col("last"), "before", ["file"])
     places = numbered.select("file", _AT, (F.col("before") + 1).alias("row"))
     texts = _joined(pieces, places, "row", "}")
     opening = rf"(?:{_ENVELOPE}|{_BARE})\s*"
