@@ -303,7 +303,7 @@ def test_split_readers_store_their_counts(spark, tmp_path):
     (tmp_path / "a.csv").write_text(
         "question,context\n" + "".join(f'"q{k}","a\n""{k}"""\n' for k in range(50))
     )
-    for name in ("a.json",):
+    for name in ("a.json", "a.csv"):
         found = evalsets.scan_open_book(spark, str(tmp_path / name), whole_below=0)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [value#") == 1

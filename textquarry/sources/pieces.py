@@ -136,10 +136,10 @@ def quoted_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     quotes = F.length("piece") - F.length(F.translate("piece", '"', ""))
     blank = F.rtrim("piece", F.lit("\r")) == ""
     counts = lines.select("file", _AT, quotes.alias("quotes"), blank.alias("blank"))
-    open_ = prefix_sum(counts, _AT, F.col("quotes"), "before", ["file"])
+    open_ = prefix_sum(stage(counts, "pieces"), _AT, F.col("quotes"), "before", ["file"])
     starts = F.col("before") % 2 == 0
     kept = open_.where(~(starts & F.col("blank")))
-    kept = kept.select("file", _AT, starts.cast("int").alias("starts"))
+    kept = stage(kept.select("file", _AT, starts.cast("int").alias("starts")), "pieces")
     numbered = prefix_sum(kept, _AT, F.col("starts"), "record", ["file"])
     places = numbered.select("file", _AT, (F.col("record") + F.col("starts")).alias("record"))
     texts = _joined(lines, places, "record", "\n")
