@@ -49,6 +49,16 @@ def test_ids_equal_the_library(docs, ids, library):
         assert r.text == text + "</s>"
 
 
+def test_ranks_give_the_ids_of_the_library(spark, library):
+    pytest.importorskip("tiktoken")
+    path = public_tokenizers.path
+    ranked = Ids(path("byte_bpe_50k.json"), END, ranks=path("byte_bpe_50k.tiktoken"))
+    texts = [*TEXTS, " " * 1_200_000 + "x", "\n \t" * 5, "don't  stop\u00a0\u2028 12 345"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows.select("doc_id", ranked.encode("text").alias("ids")).collect():
+        assert r.ids == encoded(library, texts[r.doc_id])
+
+
 def test_texts_are_cut_as_ids(docs, ids, library):
     for n in (1, 7, 100, 10_000):
         got = {r.doc_id: r.t for r in docs.select("doc_id", ids.truncate("text", n).alias("t")).collect()}

@@ -136,7 +136,8 @@ def decode_ids(spark, sf_dir) -> DataFrame:
     """Texts to ids of a byte-level vocabulary, closed, and back."""
     import public_tokenizers
 
-    ids = Ids(public_tokenizers.path("byte_bpe_50k.json"), 50256)
+    path = public_tokenizers.path
+    ids = Ids(path("byte_bpe_50k.json"), 50256, ranks=path("byte_bpe_50k.tiktoken"))
     encoded = corpus(spark, sf_dir).select("doc_id", ids.encode_document("text").alias("ids"))
     return encoded.select("doc_id", ids.decode("ids").alias("text"))
 
