@@ -322,6 +322,33 @@ def test_losses_do_not_depend_on_short_words(spark):
             assert got[k] == (own if own[0] is None else pytest.approx(own, rel=1e-5, abs=1e-6))
 
 
+def test_bigrams_met_once_are_not_joined(spark, monkeypatch):
+    from textquarry.llm.tables import Scratch
+
+    rows, write = {}, Scratch.write
+
+    def counted(self, df, step):
+        out = write(self, df, step)
+        rows[step] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    draw = random.Random(4)
+    texts = [" ".join(f"v{draw.randrange(400)}" for _ in range(40)) for _ in range(50)] + ["v1 v2"] * 3
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    met = {}
+    for t in texts:
+        own = t.split()
+        for pair in zip(["<", *own], own):
+            met[pair] = met.get(pair, 0) + 1
+    ids = docs.where("doc_id < 9").select("doc_id")
+    for short in (0, 100):
+        rows.clear()
+        cross_entropy_difference(docs, ids, short_words=short, common_bigrams=0)
+        assert rows["counts"] == len(met)
+        assert rows["repeated"] == sum(n > 1 for n in met.values()) < len(met) / 2
+
+
 def test_words_past_two_bytes_keep_their_counts(spark):
     # 70,000 words of the same count: more than two bytes can number.
     texts = [(k, " ".join(f"u{100 * (k % 700) + i}" for i in range(100))) for k in range(1400)]

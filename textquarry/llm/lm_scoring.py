@@ -7,19 +7,22 @@ more like the target.
 
 Counts cover all documents and stay distributed. The most frequent words have short numbers, and
 their counts and the losses of the most frequent bigrams of two such words are sent to every task.
-All other words keep their 64-bit hash, and what is counted of them is joined. Which words are short
-affects speed, never the result.
+All other words keep their 64-bit hash, and what is counted of them is joined to the documents that
+hold them. With it a document scores each bigram that is not sent as if it were its only occurrence,
+which it mostly is; the others are corrected by a join. Which words are short affects speed, never the
+result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.arrow_text import chunks
-from textquarry.llm.shingles import words
+from textquarry.llm.filters import FILTER_BITS, bits_of, has
+from textquarry.llm.shingles import mixed, words
 from textquarry.llm.tables import Scratch, query, table
 
 SHORT = (1 << 16) - 3  # words with a two-byte number, at most
@@ -66,8 +69,8 @@ def _word_counts(batches):
         yield from emitted()
 
 
-def _most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
-    """Rows of the highest frequency classes that together hold at most ``most`` rows."""
+def _most_frequent(counts: DataFrame, column: str, most: int) -> Column:
+    """Condition on rows: of the highest frequency classes that together hold at most ``most`` rows."""
     level = F.floor(F.log2(column) * _CLASSES).cast("int")
     sizes = dict(counts.groupBy(level.alias("level")).agg(F.count("*")).collect())
     total, least = 0, 64 * _CLASSES
@@ -76,7 +79,7 @@ def _most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
         if total > most:
             break
         least = found
-    return counts.where(level >= least)
+    return level >= least
 
 
 def _parts(values: np.ndarray, ends: np.ndarray, kind) -> pa.Array:
@@ -129,7 +132,7 @@ def _settled(batches):
         tokens, long, ends = [], [np.zeros(0, np.int64)], []
         columns = (batch[c].to_numpy(zero_copy_only=False) for c in ("tokens", "long", "once"))
         for token, own, once in zip(*columns, strict=True):
-            if once is not None:
+            if once is not None and len(once):
                 gone = np.isin(own, once)
                 token = np.frombuffer(token, np.uint16).copy()
                 token[np.flatnonzero(token == LONG)[gone]] = OTHER
@@ -141,10 +144,11 @@ def _settled(batches):
             [
                 batch["row"],
                 batch["doc_id"],
+                batch["in_target"],
                 pa.array(tokens, pa.binary()),
                 _parts(np.concatenate(long), np.cumsum(ends), pa.int64()),
             ],
-            names=["row", "doc_id", "tokens", "long"],
+            names=["row", "doc_id", "in_target", "tokens", "long"],
         )
 
 
@@ -159,55 +163,87 @@ def _bigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return before, token, np.repeat(np.arange(len(n)), n)
 
 
-def _bigram_counts(target: bool):
-    """Task: (before, token, n_target, n) over the tokens it holds, one of the two zero."""
+def _flags(batch: pa.RecordBatch, row: np.ndarray) -> np.ndarray:
+    """1 for each of ``row`` that is in the target, else 0."""
+    return batch["in_target"].to_numpy(zero_copy_only=False).astype(np.int64)[row]
+
+
+def _bigram_counts(batches):
+    """Task: (before, token, n_target, n) over the tokens it holds."""
 
     def emitted(seen, long):
-        value = n = np.zeros(0, np.int64)
+        value = n = n_target = np.zeros(0, np.int64)
         if seen:
             value, n = _uniques(seen, [np.ones(len(s), np.int64) for s in seen])
+            n_target, value = np.where(value & 1, n, 0), value >> 1
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            value, n, n_target = value[first], *(np.add.reduceat(x, first) for x in (n, n_target))
         # Bigrams with a long word seldom repeat in a task.
-        before = np.concatenate([value >> 16, *[b for b, _ in long]])
-        token = np.concatenate([value & 0xFFFF, *[t for _, t in long]])
+        before = np.concatenate([value >> 16, *[b for b, _, _ in long]])
+        token = np.concatenate([value & 0xFFFF, *[t for _, t, _ in long]])
+        n_target = np.concatenate([n_target, *[f for _, _, f in long]])
         n = np.concatenate([n, np.ones(len(token) - len(n), np.int64)])
         for at in range(0, len(n), 100_000):
             part = slice(at, at + 100_000)
-            m = n[part]
-            none = np.zeros(len(m), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(before[part]),
-                    pa.array(token[part]),
-                    pa.array(m if target else none),
-                    pa.array(none if target else m),
-                ],
+                [pa.array(x[part]) for x in (before, token, n_target, n)],
                 names=["before", "token", "n_target", "n"],
             )
 
+    seen, long, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            some = batch.slice(at, 1000)
+            before, token, row = _bigrams(some)
+            flag = _flags(some, row)
+            short = (before >= 0) & (token >= 0)
+            if short.any():
+                seen.append((before[short] << 17) | (token[short] << 1) | flag[short])
+            long.append((before[~short], token[~short], flag[~short]))
+            size += len(token)
+            if size > _HELD:
+                yield from emitted(seen, long)
+                seen, long, size = [], [], 0
+    yield from emitted(seen, long)
+
+
+_OF_WORD = ("after", "kinds", "single")  # tokens after the word, kinds of them, its own tokens
+
+
+def _loss(n, after, kinds, single, total) -> np.ndarray:
+    """Bits of bigrams met n times, by what is counted of their two words."""
+    every = np.maximum(after.astype(float), 1)
+    own = np.maximum(n - DISCOUNT, 0) / every
+    left = np.where(after > 0, DISCOUNT * kinds / every, 1.0)
+    return -np.log2(own + left * ((single + 1) / total)).astype(np.float32)
+
+
+def _losses(short_words, totals):
+    """Task: (before, token, target, background): the loss of bigrams of two short words."""
+
     def run(batches):
-        seen, long, size = [], [], 0
+        of = short_words.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                before, token, _ = _bigrams(batch.slice(at, 1000))
-                short = (before >= 0) & (token >= 0)
-                if short.any():
-                    seen.append((before[short] << 16) | token[short])
-                long.append((before[~short], token[~short]))
-                size += len(token)
-                if size > _HELD:
-                    yield from emitted(seen, long)
-                    seen, long, size = [], [], 0
-        yield from emitted(seen, long)
+            before, token = batch["before"].to_numpy(), batch["token"].to_numpy()
+            out = [batch["before"], batch["token"]]
+            for side in ("n_target", "n"):
+                known = of[f"after_{side}"][before], of[f"kinds_{side}"][before], of[f"single_{side}"][token]
+                out.append(pa.array(_loss(batch[side].to_numpy(), *known, totals[side])))
+            yield pa.RecordBatch.from_arrays(out, names=["before", "token", "target", "background"])
 
     return run
 
 
-_OF_WORD = ("after", "kinds", "single")  # tokens after the word, kinds of them, its own tokens
+def _slots(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Place of each bigram in the filter."""
+    value = mixed(before.view(np.uint64)) + token.view(np.uint64)
+    return (mixed(value) & np.uint64(FILTER_BITS - 1)).view(np.int64)
 
 
-def _losses(short_words, totals):
-    """Task: (before, token, target, background): a bigram's loss in bits under both models.
+def _corrections(short_words, totals):
+    """Task: a bigram's loss less what it would be if met once, with its place in the filter.
 
+    out_target and in_target: under the target model, for documents outside and inside the target.
     What is counted of long words stands in the columns of _joined, of short ones in the broadcast.
     """
 
@@ -222,19 +258,18 @@ def _losses(short_words, totals):
                 joined = batch[name].fill_null(0).to_numpy(zero_copy_only=False)
                 return np.where(word >= 0, own, joined)
 
-            out = [batch["before"], batch["token"]]
-            for side in ("n_target", "n"):
-                after = of(before, f"after_{side}", f"b_after_{side}").astype(float)
-                kinds = of(before, f"kinds_{side}", f"b_kinds_{side}")
-                single = of(token, f"single_{side}", f"t_single_{side}")
-                unigram = (single + 1) / totals[side]
-                n = batch[side].to_numpy()
-                total = np.maximum(after, 1)
-                own = np.maximum(n - DISCOUNT, 0) / total
-                left = np.where(after > 0, DISCOUNT * kinds / total, 1.0)
-                loss = -np.log2(own + left * unigram)
-                out.append(pa.array(loss.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays(out, names=["before", "token", "target", "background"])
+            out = [batch["before"], batch["token"], pa.array(_slots(before, token))]
+            for side, once in (("n_target", 0), ("n_target", 1), ("n", 1)):
+                known = (
+                    of(before, f"after_{side}", f"b_after_{side}"),
+                    of(before, f"kinds_{side}", f"b_kinds_{side}"),
+                    of(token, f"single_{side}", f"t_single_{side}"),
+                )
+                loss = _loss(batch[side].to_numpy(), *known, totals[side]).astype(float)
+                out.append(pa.array(loss - _loss(once, *known, totals[side])))
+            yield pa.RecordBatch.from_arrays(
+                out, names=["before", "token", "slot", "out_target", "in_target", "background"]
+            )
 
     return run
 
@@ -247,8 +282,11 @@ def _common(key: np.ndarray, before: np.ndarray, token: np.ndarray):
     return (key[place] == bigram if len(key) else np.zeros(len(bigram), bool)), place
 
 
-def _common_sums(common):
-    """Task: per document its tokens and the summed losses of its common bigrams."""
+def _sums(common, short_words, totals):
+    """Task: per document its tokens and the summed losses of its bigrams.
+
+    Those that are not common are taken as met once, here.
+    """
 
     def run(batches):
         key, losses = common.value
@@ -258,8 +296,28 @@ def _common_sums(common):
                 before, token, row = _bigrams(some)
                 out = [np.bincount(row, minlength=some.num_rows).astype(np.int64)]
                 found, place = _common(key, before, token)
-                for loss in losses:
+                rare = ~found
+                ours, flag = row[rare], _flags(some, row[rare])
+                stats = some["stats"].flatten()
+                word, first = np.unique(stats.field("word").to_numpy(), return_index=True)
+
+                def of(one, column):
+                    own = short_words.value[column][np.where(one >= 0, one, 0)]
+                    if not len(word):
+                        return own
+                    at = np.minimum(np.searchsorted(word, one), len(word) - 1)
+                    return np.where(one >= 0, own, stats.field(column).to_numpy()[first][at])
+
+                for side, once, loss in (("n_target", flag, losses[0]), ("n", 1, losses[1])):
+                    single = _loss(
+                        once,
+                        of(before[rare], f"after_{side}"),
+                        of(before[rare], f"kinds_{side}"),
+                        of(token[rare], f"single_{side}"),
+                        totals[side],
+                    )
                     total = np.bincount(row[found], loss[place[found]], minlength=some.num_rows)
+                    total = total + np.bincount(ours, single, minlength=some.num_rows)
                     out.append(total.astype(float))
                 yield pa.RecordBatch.from_arrays(
                     [some["row"], some["doc_id"], *map(pa.array, out)],
@@ -269,8 +327,8 @@ def _common_sums(common):
     return run
 
 
-def _rare_bigrams(common):
-    """Task: (row, before, token, times) of the bigrams that are not common."""
+def _repeated_bigrams(common, repeated):
+    """Task: (row, inside, before, token, times) of bigrams that are not common but may be repeated."""
 
     def run(batches):
         key, _ = common.value
@@ -278,20 +336,24 @@ def _rare_bigrams(common):
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 before, token, row = _bigrams(some)
-                rare = ~_common(key, before, token)[0]
-                before, token, row = before[rare], token[rare], row[rare]
-                short = (before >= 0) & (token >= 0)
-                packed = (row[short] << 33) | (before[short] << 16) | token[short]
-                pair, times = np.unique(packed, return_counts=True)
-                ones = np.ones(np.count_nonzero(~short), np.int64)
+                kept = ~_common(key, before, token)[0]
+                kept[kept] = has(repeated.value, _slots(before[kept], token[kept]))
+                before, token, row = before[kept], token[kept], row[kept]
+                order = np.lexsort((token, before, row))
+                before, token, row = before[order], token[order], row[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (np.diff(row) != 0) | (np.diff(before) != 0) | (np.diff(token) != 0)
+                first = np.flatnonzero(fresh)
+                of_row = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some["row"].take(pa.array(np.concatenate([pair >> 33, row[~short]]))),
-                        pa.array(np.concatenate([(pair >> 16) & 0x1FFFF, before[~short]])),
-                        pa.array(np.concatenate([pair & 0xFFFF, token[~short]])),
-                        pa.array(np.concatenate([times.astype(np.int64), ones])),
+                        some["row"].take(of_row),
+                        some["in_target"].take(of_row),
+                        pa.array(before[first]),
+                        pa.array(token[first]),
+                        pa.array(np.diff(np.append(first, len(row)))),
                     ],
-                    names=["row", "before", "token", "times"],
+                    names=["row", "inside", "before", "token", "times"],
                 )
 
     return run
@@ -314,7 +376,7 @@ def _by_word(counts: DataFrame) -> DataFrame:
 
 
 def _joined(counts: DataFrame, by_word: DataFrame) -> DataFrame:
-    """Counts of bigrams with a long word, and what is counted of their long words.
+    """Counts of those bigrams that have a long word, and what is counted of their long words.
 
     Long words are no hot keys, and short ones, which match nothing, are dealt by the whole bigram.
     """
@@ -356,8 +418,8 @@ def cross_entropy_difference(
     ids = ids.distinct()
     found = chosen.select("text").mapInArrow(_word_counts, "word long, n long")
     found = scratch.write(found.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-    frequent = _most_frequent(found, "n", short_words).select("word").toArrow()["word"].to_numpy()
-    short = spark.sparkContext.broadcast(np.sort(frequent))
+    frequent = found.where(_most_frequent(found, "n", short_words)).select("word")
+    short = spark.sparkContext.broadcast(np.sort(frequent.toArrow()["word"].to_numpy()))
     scratch.drop(found)
 
     id_type = chosen.schema["doc_id"].dataType.simpleString()
@@ -367,17 +429,23 @@ def cross_entropy_difference(
     # A word seen once is in one row.
     once = read.select("row", F.explode("long").alias("word")).groupBy("word")
     once = once.agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1")
-    once = once.groupBy("row").agg(F.collect_list("word").alias("once"))
-    tokens = read.join(once, "row", "left").select("row", "doc_id", "tokens", "long", "once")
-    tokens = scratch.write(tokens.mapInArrow(_settled, f"row long, {of_text}"), "tokens")
+    target = read.join(ids, read["doc_id"] == ids["id"], "left_semi")
+    marked = once.select("row", "word", F.lit(False).alias("in_target")).union(
+        target.select("row", F.lit(None).cast("long"), F.lit(True))
+    )
+    marked = marked.groupBy("row").agg(
+        F.collect_list("word").alias("once"), F.bool_or("in_target").alias("in_target")
+    )
+    tokens = read.join(marked, "row", "left").select(
+        "row", "doc_id", F.coalesce("in_target", F.lit(False)).alias("in_target"),
+        "tokens", "long", "once",
+    )
+    of_row = f"row long, doc_id {id_type}, in_target boolean, tokens binary, long array<long>"
+    tokens = scratch.write(tokens.mapInArrow(_settled, of_row), "tokens")
     scratch.drop(read)
 
-    # The target is joined to tokens, not texts: a fraction of their size.
-    target = tokens.join(ids, tokens["doc_id"] == ids["id"], "left_semi")
-    of_side = "before long, token long, n_target long, n long"
-    counts = tokens.select("tokens", "long").mapInArrow(_bigram_counts(False), of_side)
-    counts = counts.union(
-        target.select("tokens", "long").mapInArrow(_bigram_counts(True), of_side)
+    counts = tokens.select("in_target", "tokens", "long").mapInArrow(
+        _bigram_counts, "before long, token long, n_target long, n long"
     )
     counts = counts.groupBy("before", "token")
     counts = counts.agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
@@ -392,30 +460,51 @@ def cross_entropy_difference(
     arrays = {c: np.zeros(1 << 16, np.int64) for c in rows.column_names if c != "word"}
     for c, values in arrays.items():
         values[rows["word"].to_numpy()] = rows[c].to_numpy()
-    losses_of = _losses(spark.sparkContext.broadcast(arrays), totals)
-    of_bigram = "before long, token long, target float, background float"
+    arrays = spark.sparkContext.broadcast(arrays)
     of_short = counts.where("before >= 0 AND token >= 0")
-    often = _most_frequent(of_short, "n", common_bigrams).mapInArrow(losses_of, of_bigram).toArrow()
+    most = _most_frequent(of_short, "n", common_bigrams)
+    often = of_short.where(most).mapInArrow(
+        _losses(arrays, totals), "before long, token long, target float, background float"
+    )
+    often = often.toArrow()
     key = (often["before"].to_numpy() << 16) | often["token"].to_numpy()
     order = np.argsort(key)
     losses = [often[c].to_numpy()[order] for c in ("target", "background")]
     common = spark.sparkContext.broadcast((key[order], losses))
 
-    sums = tokens.mapInArrow(
-        _common_sums(common),
-        f"row long, doc_id {id_type}, n_tokens long, target double, background double",
+    # Only bigrams met more than once, a part of all, are joined with what is counted of their words.
+    corrected = _corrections(arrays, totals)
+    of_repeated = (
+        "before long, token long, slot long, out_target double, in_target double, background double"
     )
-    rare = tokens.select("row", "tokens", "long").mapInArrow(
-        _rare_bigrams(common), "row long, before long, token long, times long"
+    repeated = of_short.where(~most & (F.col("n") > 1)).mapInArrow(corrected, of_repeated)
+    joined = _joined(counts.where("n > 1"), by_word).mapInArrow(corrected, of_repeated)
+    repeated = scratch.write(repeated.union(joined), "repeated")
+    scratch.drop(counts)
+
+    # Steps are written apart, so that the shuffles of one are gone before the next begins.
+    stats = tokens.select("row", F.explode(F.array_distinct("long")).alias("word"))
+    stats = stats.join(by_word.where("word < 0"), "word").groupBy("row")
+    stats = stats.agg(F.collect_list(F.struct(*by_word.columns)).alias("stats"))
+    sums = scratch.write(
+        tokens.join(stats, "row", "left").mapInArrow(
+            _sums(common, arrays, totals),
+            f"row long, doc_id {id_type}, n_tokens long, target double, background double",
+        ),
+        "sums",
     )
-    loss = of_short.mapInArrow(losses_of, of_bigram).union(
-        _joined(counts, by_word).mapInArrow(losses_of, of_bigram)
+    scratch.drop(by_word)
+    bits = spark.sparkContext.broadcast(bits_of(repeated.select("slot")))
+    rare = tokens.select("row", "in_target", "tokens", "long").mapInArrow(
+        _repeated_bigrams(common, bits),
+        "row long, inside boolean, before long, token long, times long",
     )
+    under_target = F.when(F.col("inside"), F.col("in_target")).otherwise(F.col("out_target"))
     rest = (
-        rare.join(loss, ["before", "token"])
+        rare.join(repeated.drop("slot"), ["before", "token"])
         .groupBy("row")
         .agg(
-            F.sum(F.col("target") * F.col("times")).alias("rare_target"),
+            F.sum(under_target * F.col("times")).alias("rare_target"),
             F.sum(F.col("background") * F.col("times")).alias("rare_background"),
         )
     )
