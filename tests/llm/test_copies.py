@@ -144,3 +144,29 @@ def test_marks_never_drop_a_similar_pair(spark):
     df = spark.createDataFrame(rows, names)
     made = {r.k for r in df.where(_marks_meet(F.col("na"), F.col("nb"))).collect()}
     assert set(similar) <= made and 10 < len(similar) and len(made) < 200
+
+
+def test_python_gets_a_bounded_number_of_bytes_at_a_time(spark):
+    import pyarrow as pa
+
+    from textquarry.llm.tables import prepare
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    wide = prepare(spark).range(6000).selectExpr("repeat('x', 10000) AS text").coalesce(1)
+    found = [r.size for r in wide.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) >= 60_000_000 and max(found) < 10 << 20
+
+
+def test_filter_holds_its_slots_and_few_others(spark):
+    import numpy as np
+
+    from textquarry.llm.filters import FILTER_BITS, bits_of, has
+
+    inside = np.random.default_rng(1).integers(0, FILTER_BITS, 3000)
+    inside = np.concatenate([inside, [0, 7, 8, FILTER_BITS - 1]])
+    bits = bits_of(spark.createDataFrame([(int(x),) for x in inside], "slot long"))
+    assert bits.nbytes == FILTER_BITS // 8 and has(bits, inside).all()
+    assert int(np.bitwise_count(bits).sum()) == len(set(inside.tolist()))

@@ -26,12 +26,12 @@ from pyspark.sql.window import Window
 
 from textquarry.llm.arrow_text import chunks
 from textquarry.llm.components import components
+from textquarry.llm.filters import FILTER_BITS, bits_of, has
 from textquarry.llm.shingles import mixed, set_ids, shingle_sets
 from textquarry.llm.tables import Scratch, query, table
 
 SHARE, WHOLE = 75, 100  # similarity of at least SHARE / WHOLE
 FREQUENT = 1 << 20  # shingles in the table of frequent ones, at most
-FILTER_BITS = 1 << 26  # of the filter of sets to compare
 MAX_SMALL = 512
 MARKS = 8  # words of the sketch that goes with the entries of lists compared in full
 TRIED = 4  # sets of another component that a set is compared with in one turn
@@ -278,10 +278,9 @@ def _chosen(wanted):
     """Task: the rows whose sid may be in the filter."""
 
     def run(batches):
-        slots = np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
             sid = batch["sid"].to_numpy()
-            yield batch.filter(pa.array(slots[sid % len(slots)] > 0))
+            yield batch.filter(pa.array(has(wanted.value, sid % FILTER_BITS)))
 
     return run
 
@@ -301,13 +300,12 @@ def _whole_sets(wanted):
     """Task: (sid, n, shingles, sketch, marks) of texts whose set may be in the filter."""
 
     def run(batches):
-        slots = np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
             for chunk in chunks(batch["text"]):
                 value, ends = shingle_sets(chunk)
                 n = np.diff(ends, prepend=0)
                 sid = set_ids(value, ends, n)
-                rows = np.flatnonzero((n > 0) & (slots[sid % len(slots)] > 0))
+                rows = np.flatnonzero((n > 0) & has(wanted.value, sid % FILTER_BITS))
                 own = [value[ends[r] - n[r] : ends[r]] for r in rows]
                 marked = np.array([marks(v) for v in own], np.int64).reshape(-1, MARKS)
                 yield pa.RecordBatch.from_arrays(
@@ -346,18 +344,9 @@ class Near:
         self.docs = self.scratch.write(texts.mapInArrow(_sets(frequent), schema), "sets")
 
     def filter_of(self, sids: DataFrame):
-        """Broadcast of FILTER_BITS bits, whatever the input, that has one for each of ``sids``."""
-        slot = F.pmod("sid", F.lit(FILTER_BITS)) + 1
-        rows = (
-            sids.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-            .collect()
-        )
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in rows:
-            part = np.frombuffer(bytes(r.bits), np.uint8)
-            bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
-        return self.spark.sparkContext.broadcast(bits)
+        """Broadcast of a filter that has all of ``sids``."""
+        slots = sids.select(F.pmod("sid", F.lit(FILTER_BITS)).alias("slot"))
+        return self.spark.sparkContext.broadcast(bits_of(slots))
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
         """(sid, n, shingles, sketch, marks) of the distinct ids ``wanted``, read again from the texts.
@@ -366,9 +355,12 @@ class Near:
         """
         schema = "sid long, n long, shingles binary, sketch binary"
         schema += "".join(f", {m} long" for m in _MARKED)
-        sets = self.texts.mapInArrow(_whole_sets(self.filter_of(wanted)), schema)
+        kept = self.filter_of(wanted)
+        sets = self.texts.mapInArrow(_whole_sets(kept), schema)
         sets = sets.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
-        return self.scratch.write(sets, "whole")
+        whole = self.scratch.write(sets, "whole")
+        kept.unpersist()
+        return whole
 
     def linked(self, pairs: DataFrame, whole: DataFrame, best: bool) -> DataFrame:
         """Those of the pairs (a, b) of sets that are similar, with all their columns.

@@ -20,6 +20,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Shuffles go with the query that made them, not when the driver next collects its garbage.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # What a task hands to Python at a time: bytes, as rows may hold whole texts or sets.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
